@@ -5,12 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from storyloom.llm import packing, shards
+from storyloom.llm import langid, ngramjoin, packing, shards, tokencounts
 from storyloom.llm.shared import table
 from storyloom.llm.tokens import default_tokenizer
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.ngram_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"), tokencounts.piece_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), default_tokenizer()))
 
@@ -19,5 +30,11 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.read_shards(shards.write_shards(table(spark, sf_dir, "documents"), default_tokenizer()))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_best_fit_packing, op6_token_shards)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0)
+    model = langid.train(docs.where("not held_out"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "lang_spans")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_token_counts, op5_best_fit_packing, op6_token_shards, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}

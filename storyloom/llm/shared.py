@@ -46,40 +46,60 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def vector_sum(parts: DataFrame, n_lists: int = 64) -> DataFrame:
-    """Sum equally long count vectors by ``slot``: rows (slot int, counts binary of int64).
+def bounded(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Batches to Python end at ``size`` bytes too, since texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
-    Each task adds up what it reads batch by batch, so it holds one vector for each of its slots however
-    many tasks contributed to them.
+
+VECTOR = "slot int, kind string, places binary, counts binary"
+
+
+def vector_rows(vector: np.ndarray, width: int = 4096):
+    """A task's count vector as rows of VECTOR: slices of ``width`` counts in the narrowest type, sparse where that is shorter."""
+    grid = vector.reshape(-1, width)
+    out: list[tuple] = []
+    for slot in np.flatnonzero(grid.any(axis=1)):
+        v = grid[slot]
+        kind = next(k for k in ("<u1", "<u2", "<u4", "<i8") if v.max() <= np.iinfo(k).max)
+        used = np.flatnonzero(v)
+        size = np.dtype(kind).itemsize
+        if len(used) * (2 + size) < width * size:
+            out.append((int(slot), kind, used.astype("<u2").tobytes(), v[used].astype(kind).tobytes()))
+        else:
+            out.append((int(slot), kind, b"", v.astype(kind).tobytes()))
+        if len(out) == 256:
+            yield _vector_batch(out)
+            out = []
+    if out:
+        yield _vector_batch(out)
+
+
+def _vector_batch(rows: list[tuple]) -> pa.RecordBatch:
+    slot, kind, places, counts = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(kind), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], names=["slot", "kind", "places", "counts"])
+
+
+def vector_sum(parts: DataFrame, size: int, width: int = 4096) -> np.ndarray:
+    """The sum of the tasks' count vectors, on the driver. Its ``size`` is a parameter of the operator, not of the data.
+
+    Each reducing task adds up what it reads batch by batch, so it holds one slice for each of its slots however many
+    tasks contributed to them.
     """
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for slot, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                v = np.frombuffer(raw.as_buffer(), dtype="<i8")
-                if slot in total:
-                    total[slot] += v
+            for slot, kind, places, counts in zip(*(c.to_pylist() for c in b.columns)):
+                v = total.setdefault(slot, np.zeros(width, dtype=np.int64))
+                c = np.frombuffer(counts, dtype=kind)
+                if places:
+                    v[np.frombuffer(places, dtype="<u2")] += c
                 else:
-                    total[slot] = v.copy()
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["slot", "counts"])
-
-    return parts.repartition(n_lists, "slot").mapInArrow(add, "slot int, counts binary")
-
-
-def vector_rows(vector: np.ndarray, width: int):
-    """A task's count vector as the rows of ``vector_sum``; slots without a count are left out."""
-    grid = np.ascontiguousarray(vector.reshape(-1, width), dtype="<i8")
-    used = np.flatnonzero(grid.any(axis=1))
-    for k in range(0, len(used), 256):
-        some = used[k : k + 256]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([grid[i].tobytes() for i in some], pa.binary())], names=["slot", "counts"])
-
+                    v += c
+        for slot, v in total.items():
+            yield _vector_batch([(slot, "<i8", b"", v.tobytes())])
 
-def vector_of(rows: DataFrame, size: int, width: int) -> np.ndarray:
-    """The summed vector on the driver; its size is a parameter, not a property of the data."""
     out = np.zeros((size // width, width), dtype=np.int64)
-    for r in rows.toLocalIterator():
-        out[r[0]] = np.frombuffer(bytes(r[1]), dtype="<i8")
+    for r in parts.repartition("slot").mapInArrow(add, VECTOR).toLocalIterator():
+        out[r[0]] = np.frombuffer(bytes(r[3]), dtype="<i8")
     return out.reshape(-1)
