@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import langid, ngramjoin, packing, shards, tokencounts
+from storyloom.llm import langid, linededup, ngramjoin, packing, secrets, shards, tokencounts
 from storyloom.llm.shared import table
 from storyloom.llm.tokens import default_tokenizer
 
@@ -30,11 +30,23 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.read_shards(shards.write_shards(table(spark, sf_dir, "documents"), default_tokenizer()))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    sizes = [F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    base = F.sha2(secrets.joined(["assign", "access", "hex"]), 256)
+    return found.select("doc_id", *sizes, base.alias("base_sha256"), secrets.joined(["assign", "access", "hex", "markov"]).alias("spans"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0)
     model = langid.train(docs.where("not held_out"))
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "lang_spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_token_counts, op5_best_fit_packing, op6_token_shards, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_token_counts, op5_best_fit_packing, op6_token_shards, op7_secret_scan, op9_line_dedup, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
