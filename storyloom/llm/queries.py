@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontam, langid, linededup, ngramjoin, packing, secrets, shards, tokencounts
+from storyloom.llm import decontam, langid, linededup, ngramjoin, packing, pii, secrets, shards, tokencounts
 from storyloom.llm.shared import table
 from storyloom.llm.tokens import default_tokenizer
 
@@ -26,6 +26,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(table(spark, sf_dir, "documents"), tokencounts.piece_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), default_tokenizer()))
 
@@ -52,5 +56,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "lang_spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_token_counts, op5_best_fit_packing, op6_token_shards, op7_secret_scan, op9_line_dedup, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_token_counts, op4_pii, op5_best_fit_packing, op6_token_shards, op7_secret_scan, op9_line_dedup, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
