@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontam, langid, linededup, ngramjoin, packing, pii, secrets, shards, tokencounts
+from storyloom.llm import decontam, langid, linededup, neardup, ngramjoin, packing, pii, secrets, shards, tokencounts
 from storyloom.llm.shared import table
 from storyloom.llm.tokens import default_tokenizer
 
@@ -46,6 +46,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *sizes, base.alias("base_sha256"), secrets.joined(["assign", "access", "hex", "markov"]).alias("spans"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -56,5 +60,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "lang_spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_token_counts, op4_pii, op5_best_fit_packing, op6_token_shards, op7_secret_scan, op9_line_dedup, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_token_counts, op4_pii, op5_best_fit_packing, op6_token_shards, op7_secret_scan, op8_embedding_near_dedup, op9_line_dedup, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
