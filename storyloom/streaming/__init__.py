@@ -1,0 +1 @@
+"""Empty on purpose: all work here is batch, and incremental change is by source."""
