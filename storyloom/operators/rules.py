@@ -263,7 +263,7 @@ def broken_prohibitions(g: Graph, respect_intent: bool = False) -> DataFrame:
     rules = traits.union(facts).where(F.size("kws") > 0)
     cast = g.events.select("work_id", "id", "description", "story_order", "discourse_order", F.col("seq").alias("seq"), F.posexplode("characters_involved").alias("pos", "name"))
     cast = cast.join(names.withColumnRenamed("id", "cid"), ["work_id", "name"])
-    hits = cast.join(rules, ["work_id", "cid"]).withColumn("kw", F.expr("element_at(filter(kws, k -> contains(description, k)), 1)")).where("kw IS NOT NULL")
+    hits = cast.join(rules, ["work_id", "cid"]).withColumn("kw", F.expr("try_element_at(filter(kws, k -> contains(description, k)), 1)")).where("kw IS NOT NULL")
     bad = _first(hits.select("work_id", "cid", "kw", "key", "value", "fixed", "rank", "order", "description", "story_order", "discourse_order", "seq", "pos", "name"), ["work_id", "cid", "kw"], "seq", "rank", "pos", "order")
     bad = _named(bad, g, "cid").withColumns({"character_id": F.col("cid"), "at": F.coalesce(F.nullif("story_order", F.lit(0.0)), "discourse_order")})
     fixed, what = F.col("fixed"), F.when(F.col("rank") == 0, F.concat_ws(": ", "key", "value")).otherwise(F.substring("value", 1, 50))

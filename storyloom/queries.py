@@ -107,3 +107,173 @@ _parts = [ORACLE_SQL[k] for k in ("d01_mention_before_learning", "d07_relationsh
 ORACLE_SQL["c13_violation_summary"] = f"""WITH v AS ({' UNION ALL '.join(f'SELECT * FROM ({p})' for p in _parts)}), h AS (SELECT *, CASE WHEN is_hard THEN 'hard' ELSE 'soft' END AS hard_soft FROM v)
   SELECT work_id, CASE WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(type) = 0 THEN 'type' WHEN grouping(hard_soft) = 0 THEN 'hard_soft' ELSE 'all' END AS facet,
   coalesce(severity, type, hard_soft, 'all') AS value, count(*) AS total, count_if(needs_user_input) AS confirmations FROM h GROUP BY GROUPING SETS ((work_id, severity), (work_id, type), (work_id, hard_soft), (work_id))"""
+
+
+def knowledge_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storyloom.operators.graph_ops import knowledge_at as at
+
+    probes = bindings.read(spark, sf_dir, "customer").select((F.col("c_custkey") % 8).cast("string").alias("work_id"), F.col("c_custkey").cast("string").alias("id"), (F.col("c_custkey") * 40.0).alias("at"))
+    return at(bindings.event_graph(spark, sf_dir), probes).select("work_id", "id", "at", "fact_id", "story_order")
+
+
+QUERIES["q01_knowledge_at"] = knowledge_at
+ORACLE_SQL["q01_knowledge_at"] = f"WITH {EVENTS} SELECT work_id, from_id AS id, c_custkey * 40.0::DOUBLE AS at, to_id AS fact_id, so AS story_order FROM learns JOIN customer ON CAST(c_custkey AS VARCHAR) = from_id WHERE so <= c_custkey * 40.0"
+
+
+def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storyloom.operators.graph_ops import stats
+
+    return stats(bindings.event_graph(spark, sf_dir)).drop("traits")
+
+
+QUERIES["q03_graph_stats"] = graph_stats
+ORACLE_SQL["q03_graph_stats"] = f"WITH {EVENTS} SELECT work_id, count(DISTINCT from_id) AS characters, count(DISTINCT to_id) AS facts, count_if(event_type IN ('click', 'view')) AS events, count(DISTINCT to_id) AS items, count(*) AS related FROM e GROUP BY work_id"
+
+
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storyloom.operators.graph_ops import search
+
+    chunks = bindings.read(spark, sf_dir, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "role", F.col("text").alias("content"))
+    asked = bindings.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("query"))
+    return search(chunks, asked, 5)
+
+
+QUERIES["q04_keyword_search"] = keyword_search
+ORACLE_SQL["q04_keyword_search"] = """WITH q AS (SELECT item_id AS query_id, unnest(list_slice(string_split(text, ' '), 1, 4)) AS w FROM benchmark), q2 AS (SELECT query_id, unnest([x FOR x IN regexp_split_to_array(lower(w), '\\s+') IF x <> '']) AS word FROM q),
+  c AS (SELECT conv_id || '-' || turn AS id, conv_id * 1000 + turn AS seq, lower(text) AS low FROM conversations),
+  s AS (SELECT query_id, id, seq, count(*) AS score FROM q2 JOIN c ON contains(low, word) GROUP BY ALL)
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq, id) AS rank, id, score FROM s QUALIFY rank <= 5"""
+
+
+def removed_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges left when the facts of every fifth k are taken as one source and removed."""
+    from dataclasses import replace
+
+    from storyloom.operators.graph_ops import remove_sources
+
+    g = bindings.event_graph(spark, sf_dir)
+    source = F.when(F.col("id").cast("long") % 5 == 0, "s1").otherwise("s2")
+    g = replace(g, facts=g.facts.withColumn("source_id", source), items=g.items.withColumn("source_id", source))
+    left = remove_sources(g, spark.createDataFrame([("s1",)], "source_id string"))
+    return left.learns.groupBy("work_id").agg(F.count("*").alias("edges"), F.countDistinct("to_id").alias("facts"))
+
+
+QUERIES["m01_remove_source"] = removed_source
+ORACLE_SQL["m01_remove_source"] = f"WITH {EVENTS} SELECT work_id, count(*) AS edges, count(DISTINCT to_id) AS facts FROM learns WHERE CAST(to_id AS BIGINT) % 5 <> 0 OR EXISTS (SELECT 1 FROM people p WHERE p.work_id = learns.work_id AND p.id = to_id) OR EXISTS (SELECT 1 FROM e c WHERE c.work_id = learns.work_id AND c.event_type IN ('click', 'view') AND CAST(c.seq AS VARCHAR) = learns.to_id) GROUP BY work_id"
+
+
+def marked_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storyloom.operators.graph_ops import mark_intentional
+
+    g = bindings.event_graph(spark, sf_dir)
+    marks = g.characters.where(F.col("id").cast("long") % 3 == 0).select("work_id", "id", F.concat(F.lit("c"), "id").alias("confirmation_id"))
+    return mark_intentional(g.feels, marks).groupBy("work_id", "confirmed_intentional").agg(F.count("*").alias("edges"), F.countDistinct("confirmation_id").alias("confirmations"))
+
+
+QUERIES["m05_mark_intentional"] = marked_edges
+ORACLE_SQL["m05_mark_intentional"] = f"""WITH {EVENTS}, m AS (SELECT work_id, id FROM people WHERE CAST(id AS BIGINT) % 3 = 0),
+  f AS (SELECT e.work_id, coalesce(a.id, b.id) AS hit FROM e LEFT JOIN m a ON a.work_id = e.work_id AND a.id = e.from_id LEFT JOIN m b ON b.work_id = e.work_id AND b.id = e.to_id)
+  SELECT work_id, CASE WHEN hit IS NOT NULL THEN true END AS confirmed_intentional, count(*) AS edges, count(DISTINCT hit) AS confirmations FROM f GROUP BY ALL"""
+
+
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storyloom.operators.chunks import chunk
+
+    docs = bindings.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunk(docs).select("doc_id", "chunk_index", F.md5("content").alias("md5"), "chapter")
+
+
+QUERIES["t01_chunks"] = document_chunks
+ORACLE_SQL["t01_chunks"] = """WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents WHERE length(trim(text)) >= 10),
+  c AS (SELECT doc_id, w, unnest(range(0, greatest(0, CAST(ceil((len(w) - 500) / 400.0) AS BIGINT)) + 1)) AS chunk_index FROM t)
+  SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, md5(array_to_string(list_slice(w, chunk_index * 400 + 1, chunk_index * 400 + 500), ' ')) AS md5, CAST(NULL AS VARCHAR) AS chapter FROM c"""
+
+
+def normalized_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storyloom.functions.text import contains_negation, normalize_text, semantic_tokens, subject_keywords
+
+    c = bindings.read(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.md5(normalize_text("text")).alias("normal"), contains_negation("text").alias("negated"), F.size(semantic_tokens("text")).alias("tokens"), F.array_join(subject_keywords("text"), " ").alias("keywords"))
+
+
+QUERIES["t04_normalized_text"] = normalized_turns
+
+
+def fact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation that follow each other, with the similarity of their character pairs."""
+    from pyspark.sql import Window
+
+    from storyloom.functions.text import fact_similarity
+
+    c = bindings.read(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return c.where("before IS NOT NULL").select("conv_id", "turn", F.round(fact_similarity("before", "text"), 6).alias("similarity"))
+
+
+QUERIES["t10_fact_similarity"] = fact_pairs
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs: a case for each customer, a set for each nation; status F counts as found, P as missed, O as wrong."""
+    o = bindings.read(spark, sf_dir, "orders").join(bindings.read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    n = bindings.read(spark, sf_dir, "nation")
+    return o.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("set"), F.col("c_custkey").alias("case")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("tp"), F.count_if(F.col("o_orderstatus") == "P").alias("fn"), F.count_if(F.col("o_orderstatus") == "O").alias("fp"))
+
+
+def scores_by_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storyloom.operators.evaluate import by_set
+
+    return by_set(_runs(spark, sf_dir))
+
+
+QUERIES["x04_scores_by_set"] = scores_by_set
+ORACLE_SQL["x04_scores_by_set"] = """WITH r AS (SELECT n_name AS set, count_if(o_orderstatus = 'F') AS tp, count_if(o_orderstatus = 'O') AS fp, count_if(o_orderstatus = 'P') AS fn FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name)),
+  s AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM r)
+  SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM s"""
+
+
+def expected_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storyloom.operators.evaluate import expected_and_detected
+
+    r = _runs(spark, sf_dir).select(F.col("set").alias("group"), F.col("case").cast("string").alias("case"), (F.col("tp") + F.col("fn")).alias("expected"), (F.col("tp") + F.col("fp")).alias("total"), F.when(F.col("case") % 50 == 0, "timeout").alias("error"))
+    return expected_and_detected(r)
+
+
+QUERIES["x10_expected_detected"] = expected_detected
+ORACLE_SQL["x10_expected_detected"] = """WITH r AS (SELECT n_name AS "group", CAST(c_custkey AS VARCHAR) AS "case", count_if(o_orderstatus IN ('F', 'P')) AS expected, count_if(o_orderstatus IN ('F', 'O')) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 <> 0 GROUP BY ALL)
+  SELECT "group", "case", CAST(sum(expected) AS BIGINT) AS expected, CAST(sum(total) AS BIGINT) AS detected, CAST(sum(total) - sum(expected) AS BIGINT) AS diff FROM r GROUP BY ROLLUP ("group", "case")"""
+
+
+def usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storyloom.operators.evaluate import token_cost
+
+    model = F.when(F.col("o_orderstatus") == "F", "small").when(F.col("o_orderstatus") == "O", "large").otherwise("other")
+    return token_cost(bindings.read(spark, sf_dir, "orders").select(model.alias("model"), (F.col("o_orderkey") % 5000).alias("prompt_tokens"), (F.col("o_custkey") % 900).alias("completion_tokens")))
+
+
+QUERIES["x12_token_cost"] = usage_cost
+ORACLE_SQL["x12_token_cost"] = """WITH u AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'small' WHEN 'O' THEN 'large' ELSE 'other' END AS model, o_orderkey % 5000 AS p, o_custkey % 900 AS c FROM orders),
+  k AS (SELECT model, p, c, CASE model WHEN 'small' THEN 0.15::DOUBLE WHEN 'large' THEN 2.5::DOUBLE ELSE 1.0::DOUBLE END AS pp, CASE model WHEN 'small' THEN 0.6::DOUBLE WHEN 'large' THEN 10.0::DOUBLE ELSE 3.0::DOUBLE END AS cp FROM u)
+  SELECT model, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS completion_tokens, round(sum(p * pp / 1000000 + c * cp / 1000000), 6) AS cost FROM k GROUP BY ROLLUP (model)"""
+
+
+def detection_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold: benchmark items with their first words as keywords; detections: documents, in sixteen cases."""
+    from storyloom.operators.evaluate import assign
+
+    kw = F.slice(F.split("text", " "), 1, 6)
+    gold = bindings.read(spark, sf_dir, "benchmark").select((F.col("item_id") % 16).cast("string").alias("case"), F.col("item_id").cast("string").alias("gid"), F.col("item_id").alias("seq"), kw.alias("keywords"), F.lit("timeline").alias("category"), F.lit("hard").alias("hard_soft"))
+    docs = bindings.read(spark, sf_dir, "documents").select((F.col("doc_id") % 16).cast("string").alias("case"), F.col("doc_id").cast("string").alias("vid"), F.col("doc_id").alias("seq"), "text", (F.col("doc_id") % 2 == 0).alias("is_hard"))
+    return assign(docs, gold, 0.8)
+
+
+QUERIES["x02_detection_matches"] = detection_matches
+
+
+def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule over the event graph, consolidated."""
+    from storyloom.operators.consolidate import consolidate
+
+    return report(consolidate(rules.scan(bindings.event_graph(spark, sf_dir))))
+
+
+QUERIES["c01_full_scan"] = full_scan
