@@ -277,3 +277,83 @@ def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["c01_full_scan"] = full_scan
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as scripts: a chunk for each turn, ``role: sentence`` a line; a work for each conversation."""
+    c = bindings.read(spark, sf_dir, "conversations")
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.initcap("role"), F.lit(": "), x)), "\n")
+    return c.select(F.col("conv_id").cast("string").alias("work_id"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"), F.lit("scenario").alias("source_type"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), lines.alias("text"))
+
+
+def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storyloom.operators.extract import extract
+
+    out = None
+    for kind, rows in extract(_chunks(spark, sf_dir)).items():
+        one = rows.groupBy("work_id").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.union(one)
+    return out
+
+
+QUERIES["e10_extracted"] = extracted
+
+
+def merged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storyloom.operators.extract import facts
+    from storyloom.operators.normalize import merge_facts
+
+    return merge_facts(facts(_chunks(spark, sf_dir))).select("work_id", "content", "category", F.size("merged_from").alias("members"), "seq")
+
+
+QUERIES["n05_merged_facts"] = merged_facts
+
+
+def merged_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storyloom.operators.normalize import characters
+
+    p = bindings.read(spark, sf_dir, "part").select((F.col("p_partkey") % 8).cast("string").alias("work_id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.upper("p_name")).alias("name"), F.col("p_partkey").cast("string").alias("source_chunk_id"), F.col("p_partkey").alias("seq"))
+    return characters(p).select("work_id", "name", F.array_join("aliases", "|").alias("aliases"), F.size("merged_from").alias("members"), "seq")
+
+
+QUERIES["n02_merged_characters"] = merged_characters
+ORACLE_SQL["n02_merged_characters"] = """WITH p AS (SELECT CAST(p_partkey % 8 AS VARCHAR) AS work_id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) END AS name, p_partkey AS seq FROM part),
+  g AS (SELECT work_id, arg_min(name, seq) AS name, list_sort(list(DISTINCT name)) AS spelt, CAST(count(*) AS INT) AS members, min(seq) AS seq FROM p GROUP BY work_id, lower(replace(name, ' ', '')))
+  SELECT work_id, name, array_to_string([x FOR x IN spelt IF x <> name], '|') AS aliases, members, seq FROM g"""
+
+
+def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storyloom.operators.normalize import events
+
+    e = bindings.read(spark, sf_dir, "events")
+    raw = e.select((F.col("user_id") % 8).cast("string").alias("work_id"), F.concat(F.lit(" "), "event_type").alias("description"), F.get_json_object("props", "$.k").alias("location_hint"), F.array(F.col("user_id").cast("string")).alias("characters_involved"), F.col("event_type"), F.lit(None).cast("string").alias("status_char"), F.col("event_id").cast("string").alias("source_chunk_id"), F.col("event_id").alias("seq"))
+    return events(raw).select("work_id", "description", "location", F.array_join("characters_involved", ",").alias("who"), "source_chunk_id", "seq")
+
+
+QUERIES["n06_merged_events"] = merged_events
+ORACLE_SQL["n06_merged_events"] = """WITH e AS (SELECT CAST(user_id % 8 AS VARCHAR) AS work_id, event_type AS description, json_extract_string(props, '$.k') AS location, CAST(user_id AS VARCHAR) AS u, event_id FROM events),
+  f AS (SELECT work_id, description, location, u, min(event_id) AS first FROM e GROUP BY ALL)
+  SELECT work_id, description, location, string_agg(u, ',' ORDER BY first) AS who, CAST(min(first) AS VARCHAR) AS source_chunk_id, min(first) AS seq FROM f GROUP BY ALL"""
+
+
+def source_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from storyloom.operators.extract import facts
+    from storyloom.operators.normalize import source_conflicts as conflicts
+
+    return conflicts(facts(_chunks(spark, sf_dir))).select("work_id", "topic", F.size("conflicting_values").alias("values"))
+
+
+QUERIES["n07_source_conflicts"] = source_conflicts
+
+
+def built_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations through extraction, normalisation and materialisation: rows of each kind in each work."""
+    from storyloom.operators import extract, materialize, normalize
+
+    c = _chunks(spark, sf_dir)
+    raw = extract.extract(c)
+    n = raw | {"characters": normalize.characters(raw["characters"]), "facts": normalize.merge_facts(raw["facts"]), "events": normalize.events(raw["events"])}
+    return materialize.created(materialize.materialize(spark, n))
+
+
+QUERIES["g15_built_graph"] = built_graph
