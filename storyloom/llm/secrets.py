@@ -48,10 +48,10 @@ def _symbol(ch: str) -> str:
 
 
 def scan_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with scan_text (null as empty) and a span array for each rule: assign, access, hex."""
-    out = docs.withColumn("scan_text", F.coalesce(F.col(text_col), F.lit("")))
+    """``docs`` with __text (null as empty) and a span array for each rule: assign, access, hex."""
+    out = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
     for kind, pattern, group, least in RULES:
-        out = out.withColumn(kind, _spans("scan_text", pattern, group)).withColumn(kind, F.expr(f"filter({kind}, x -> x.v >= {least})"))
+        out = out.withColumn(kind, _spans("__text", pattern, group)).withColumn(kind, F.expr(f"filter({kind}, x -> x.v >= {least})"))
     return out
 
 
@@ -66,16 +66,20 @@ def train(docs: DataFrame, sample_docs: int = 4000, id_col: str = "doc_id", text
     last = docs.select(key.alias("k")).orderBy("k").limit(sample_docs).agg(F.max("k")).first()[0]
     ruled = scan_rules(docs.where(key <= F.lit(last if last is not None else 0)).select(text_col), text_col)
     base = F.concat("assign", "access", "hex")
-    caught = ruled.select(F.explode(base).alias("x"), "scan_text").select(F.lit(1).alias("random"), F.expr("substring(scan_text, x.e - x.v + 1, x.v)").alias("w"))
-    others = ruled.select(base.alias("base"), "scan_text", F.explode(_spans("scan_text", WORD)).alias("x")).where("NOT exists(base, b -> b.s < x.e AND x.s < b.e)")
-    words = caught.union(others.select(F.lit(0), F.expr("substring(scan_text, x.s + 1, x.e - x.s)")))
+    caught = ruled.select(F.explode(base).alias("x"), "__text").select(F.lit(1).alias("random"), F.expr("substring(__text, x.e - x.v + 1, x.v)").alias("w"))
+    others = ruled.select(base.alias("base"), "__text", F.explode(_spans("__text", WORD)).alias("x")).where("NOT exists(base, b -> b.s < x.e AND x.s < b.e)")
+    words = caught.union(others.select(F.lit(0), F.expr("substring(__text, x.s + 1, x.e - x.s)")))
     codes = words.withColumn("c", F.expr(f"transform(split(w, ''), ch -> {_symbol('ch')})")).where("size(c) > 1")
     counts = codes.select("random", F.explode(F.expr(f"zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (x, y) -> x * {SYMBOLS} + y)")).alias("g")).groupBy("random", "g").count()
-    table = [[alpha] * SYMBOLS**2 for _ in range(2)]
+    table = [[0] * SYMBOLS**2 for _ in range(2)]
     for r in counts.collect():  # at most 2 * SYMBOLS ** 2 rows
         table[r["random"]][r["g"]] += r["count"]
-    rows = [[sum(t[k * SYMBOLS : (k + 1) * SYMBOLS]) for k in range(SYMBOLS)] for t in table]
-    return [round(math.log(table[1][g] / rows[1][g // SYMBOLS]) - math.log(table[0][g] / rows[0][g // SYMBOLS]), 4) for g in range(SYMBOLS**2)]
+    chance = []
+    for t in table:  # P(second | first), smoothed towards how often the second symbol comes at all
+        seconds = [sum(t[k::SYMBOLS]) + alpha for k in range(SYMBOLS)]
+        firsts = [sum(t[k * SYMBOLS : (k + 1) * SYMBOLS]) for k in range(SYMBOLS)]
+        chance.append([(t[g] + 5 * seconds[g % SYMBOLS] / sum(seconds)) / (firsts[g // SYMBOLS] + 5) for g in range(SYMBOLS**2)])
+    return [round(math.log(y / x), 4) for x, y in zip(*chance)]
 
 
 def scan(docs: DataFrame, ratios: list[float], least: float = 12.0, text_col: str = "text") -> DataFrame:
@@ -88,11 +92,11 @@ def scan(docs: DataFrame, ratios: list[float], least: float = 12.0, text_col: st
     llr = F.lit(ratios)
     out = scan_rules(docs.drop("assign", "access", "hex", "markov"), text_col)
     base = F.concat("assign", "access", "hex")
-    out = out.withColumn("long", F.filter(_spans("scan_text", LONG), lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
-    coded = F.expr(f"transform(long, x -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'c', transform(split(substring(scan_text, x.s + 1, x.e - x.s), ''), ch -> {_symbol('ch')})))")
+    out = out.withColumn("__long", F.filter(_spans("__text", LONG), lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
+    coded = F.expr(f"transform(__long, x -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'c', transform(split(substring(__text, x.s + 1, x.e - x.s), ''), ch -> {_symbol('ch')})))")
     ratio = lambda x: F.aggregate(F.sequence(F.lit(1), F.size(x["c"]) - 1), F.lit(0.0), lambda a, i: a + F.element_at(llr, F.element_at(x["c"], i) * SYMBOLS + F.element_at(x["c"], i + 1) + 1))
-    markov = F.when(F.size("long") > 0, F.transform(F.filter(coded, lambda x: ratio(x) >= least), lambda x: F.struct(x["s"], x["e"], x["v"]))).otherwise(F.expr(f"CAST(array() AS {SPAN})"))
-    return out.withColumn("markov", markov).drop("long", "scan_text")
+    markov = F.when(F.size("__long") > 0, F.transform(F.filter(coded, lambda x: ratio(x) >= least), lambda x: F.struct(x["s"], x["e"], x["v"]))).otherwise(F.expr(f"CAST(array() AS {SPAN})"))
+    return out.withColumn("markov", markov).drop("__long", "__text")
 
 
 def joined(kinds: list[str]) -> Column:
