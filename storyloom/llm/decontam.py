@@ -20,6 +20,8 @@ from storyloom.llm.shared import bounded, id_text
 from storyloom.llm.textkernel import Words, pieces
 
 BLOCK = 8
+#: Cells of a table that is set rather than sorted.
+DENSE = 32_000_000
 K1, B = 1.2, 0.75
 
 
@@ -56,6 +58,22 @@ class ItemIndex:
         self.max = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
         self.common = df[first] > max(16, n_items // 10) if len(first) else np.zeros(0, dtype=bool)
 
+        # the places of terms by the first bits of their hashes; where two terms meet, the sorted terms are searched
+        bits = min(24, max(16, len(self.terms).bit_length() + 4))
+        self.shift = np.uint64(64 - bits)
+        self.slot = np.full(1 << bits, -1, dtype=np.int32)
+        at = (self.terms >> self.shift).astype(np.int64)
+        self.slot[at] = np.arange(len(self.terms))
+        self.slot[at[:-1][at[1:] == at[:-1]]] = -2
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash in terms, -1 for others."""
+        k = self.slot[h >> self.shift]
+        meet = np.flatnonzero(k == -2)
+        k[meet] = np.minimum(np.searchsorted(self.terms, h[meet]), len(self.terms) - 1)
+        k[(k >= 0) & (self.terms[k] != h)] = -1
+        return k
+
     def find(self, query: np.ndarray, term: np.ndarray, n_queries: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, item, score) of all scores >= least. query and term (a place in terms) are the queries' distinct terms, by query."""
         least -= 1e-5
@@ -63,9 +81,12 @@ class ItemIndex:
         more = np.bincount(query[~rare], weights=self.max[term[~rare]], minlength=n_queries)
         place, of = _ranges(self.first_block[term[rare]], np.diff(self.first_block)[term[rare]])
         cell = query[rare][of].astype(np.int64) * self.blocks + self.key[place] % self.blocks
-        cells, inverse = np.unique(cell, return_inverse=True)
-        bound = np.bincount(inverse, weights=self.top[place], minlength=len(cells)) + more[cells // self.blocks]
-        live = cells[bound >= least]
+        if n_queries * self.blocks <= DENSE:
+            live = np.flatnonzero(np.bincount(cell, weights=self.top[place], minlength=n_queries * self.blocks) >= np.repeat(least - more, self.blocks))
+        else:
+            cells, inverse = np.unique(cell, return_inverse=True)
+            bound = np.bincount(inverse, weights=self.top[place], minlength=len(cells)) + more[cells // self.blocks]
+            live = cells[bound >= least]
         if (whole := np.flatnonzero(more >= least)).size:  # the common terms alone could do: no block can be skipped
             live = np.unique(np.concatenate([live, (whole[:, None] * self.blocks + np.arange(self.blocks)).reshape(-1)]))
         if not len(live):
@@ -150,16 +171,21 @@ def _scan(rows: DataFrame, items: list, df: dict[int, int], n_items: int, mean:
                 continue
             w = Words(plain(b.column("text")))
             h = w.hashes()
-            at = np.searchsorted(index.terms, h)
-            at[at == len(index.terms)] = 0
-            use = np.flatnonzero(index.terms[at] == h)
+            at = index.places(h)
+            use = np.flatnonzero(at >= 0)
             # passages begin every ``longest`` words of a document and hold twice as many: a word is in its own and in the one before
             step = (use - w.first[w.doc[use]]) // longest
             count = -(-w.count // longest)
             base = np.concatenate([[0], np.cumsum(count)])
             own = base[w.doc[use]] + step
             query = np.concatenate([own, own[step > 0] - 1])
-            pair = np.unique(query * len(index.terms) + np.concatenate([at[use], at[use][step > 0]]))
+            pair = query * len(index.terms) + np.concatenate([at[use], at[use][step > 0]])
+            if base[-1] * len(index.terms) <= DENSE:
+                there = np.zeros(int(base[-1]) * len(index.terms), dtype=bool)
+                there[pair] = True
+                pair = np.flatnonzero(there)
+            else:
+                pair = np.unique(pair)
             q, found, score = index.find(pair // len(index.terms), pair % len(index.terms), int(base[-1]), least)
             best: dict[tuple[int, int], float] = {}
             for d, i, s in zip((np.searchsorted(base, q, side="right") - 1).tolist(), found.tolist(), score.tolist()):
