@@ -38,3 +38,22 @@ REPORT_ENDINGS = [
 #: Patterns of chapter and scene headings, tried in this order.
 CHAPTER_PATTERNS = [r"#\s*Scene\s*\d+", r"Scene\s*\d+", r"S#\d+", r"#\s*Chapter\s*\d+", r"제\s*\d+\s*[장|화]", r"EP\d+"]
 SECTIONS = {"[세계관]": "worldview", "[설정집]": "settings", "[시나리오]": "scenario"}
+#: Fixed values of gold annotation: patterns of each category, in this order; what none finds is TRAIT_SETTING.
+GOLD_CATEGORIES = [
+    ("DEATH_REAPPEAR", ["사망", "시체", "재등장", "사망 후", "죽은", "사망 판정", "처형", "사망자", "부활", "죽었", "사망했", "눈을 뜬", "의식을 잃"]),
+    ("TIMELINE_MOVE", ["이동 시간", "분 소요", "분 만에", "분 규칙", "분 이동", "도보", "소요 시간", "분이 걸", "분이면", "분 거리", "\\d+분", "위치가 바뀌", "장소가 바뀌", "장소가 다", "위치가 다", "에 있는데.*에 있", "도쿄.*방콕", "방콕.*도쿄", "에펠탑", "지리적", "출발.*도착", "도착.*출발"]),
+    ("INFO_ASYMMETRY", ["정보 비대칭", "알고 있", "전에 알", "먼저 알", "인지 전", "정보를 알", "이미 알", "알 수 없", "몰랐", "모르는데", "확인 전에", "발견 전에", "전에.*사실을", "전부터.*알", "어떻게 알", "듣기 전"]),
+    ("SECURITY_ITEM", ["열쇠", "카드", "마스터키", "토큰", "유일", "단 하나", "복제", "양도 불가", "소유.*위반", "보안 카드", "인증.*키", "하나뿐", "하나인데.*둘", "동시에 가지"]),
+    ("PHYSICS_RULE", [
+        "봉쇄", "금지", "잠금", "잠긴", "통제", "블랙아웃", "통신 차단", "봉인", "규칙 위반", "법칙", "물리적", "우주복", "장비 없이", "마법 봉인", "불가능", "조약", "전면 금지",
+        "날씨", "비가.*맑", "맑.*비가", "눈이.*비", "비.*눈이", "하늘.*비", "노을.*비", "폭우.*맑", "맑.*폭우", "보름달.*그믐", "그믐.*보름달", "달빛.*그믐", "달이 없.*달빛", "별.*보이지 않.*별빛", "별빛.*별.*보이지",
+        "벚꽃.*12월", "12월.*벚꽃", "겨울.*벚꽃", "벚꽃.*겨울", "패딩.*반팔", "반팔.*패딩", "산.*바다", "바다.*산", "민물.*바다", "바다.*민물", "해수.*민물", "민물.*해수", "산장.*파도", "파도.*산장",
+        "통신.*차단.*통화", "통화.*차단", "네트워크.*없.*접속", "신호.*없.*통화", "장비.*없이.*외부", "마법.*사용할 수 없", "마법이 봉인.*마법을 사용", "불가.*했지만.*한다", "금지.*했지만",
+    ]),
+    ("OTHER", ["관계.*모순", "어머니.*남매", "남매.*어머니", "형제.*부모", "부모.*형제", "배우자.*형제", "동료.*적", "적.*동료", "가족 관계", "관계가 바뀌", "관계.*동시"]),
+]
+GOLD_DEFAULT = "TRAIT_SETTING"
+GOLD_HARD = ["사망", "시체", "재등장", "죽은", "부활", "사망 후", "죽었", "관계.*동시", "어머니.*남매", "남매.*어머니", "형제.*부모.*동시", "부모.*형제.*동시"]
+GOLD_UNITS = ["분", "시", "살", "년", "명", "개", "번"]
+GOLD_WORDS = ["사망", "시체", "재등장", "봉쇄", "잠금", "열쇠", "카드", "마스터키", "우주복", "커피", "혐오", "마시", "습관", "설정", "견종", "고양이", "날씨", "비", "맑은", "노을", "보름달", "그믐", "의족", "입양", "펫샵", "유기견", "결혼", "혼자", "아내", "텔레포트", "순간이동", "마법", "봉인", "통신", "블랙아웃", "삼점슛", "레이업", "MVP", "승리", "패배"]
+GOLD_STOP_NAMES = ["이것", "그것", "저것", "여기", "거기"]

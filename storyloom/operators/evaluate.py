@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.functions import lexicons as L
+
 
 def match_scores(violations: DataFrame, gold: DataFrame) -> DataFrame:
     """Case, gold id and violation id with the share of the gold's keywords in the violation's text; gold without keywords gives none.
@@ -125,3 +127,21 @@ def extraction_metrics(characters: DataFrame, facts: DataFrame, gold_characters:
     recall = five.groupBy("case").agg(F.count("*").alias("facts")).join(known, "case", "left").fillna(0).select("case", ratio("known", "facts").alias("fact_recall"))
     out = n.withColumns({"precision": ratio("right", "found"), "recall": ratio("matched", "gold")}).withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     return out.select("case", "precision", "recall", "f1").join(recall, "case", "full_outer")
+
+
+def gold_annotations(expected: DataFrame) -> DataFrame:
+    """Expectations (case, idx, description) as gold rows: gid, category by the first pattern group that is found, hard_soft by
+    pattern, up to eight keywords (of quotations, numbers with units, known words) and up to four names."""
+    text = F.col("description")
+    kind = F.when(F.lit(False), "")
+    for category, patterns in L.GOLD_CATEGORIES:
+        kind = kind.when(F.rlike(text, F.lit("|".join(patterns))), category)
+    quoted = F.regexp_extract_all(text, F.lit('["\u201c\u201d]([^"\u201c\u201d]+)["\u201c\u201d]'), 1)
+    spoken = F.flatten(F.transform(quoted, lambda q: F.slice(F.filter(F.split(q, r"\s+"), lambda w: F.length(w) >= 2), 1, 3)))
+    numbers = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(rf"(\p{{Nd}}+{u})"), 1) for u in L.GOLD_UNITS)))
+    known = F.filter(F.array(*map(F.lit, L.GOLD_WORDS)), lambda w: F.contains(text, w))
+    names = F.filter(F.regexp_extract_all(text, F.lit("([가-힣]{2,3})(?:이|가|은|는|의|를|에게|와|과|한테)"), 1), lambda n: ~n.isin(L.GOLD_STOP_NAMES))
+    return expected.select(
+        "case", F.concat_ws("-", "case", F.col("idx").cast("string")).alias("gid"), kind.otherwise(L.GOLD_DEFAULT).alias("category"), F.when(F.rlike(text, F.lit("|".join(L.GOLD_HARD))), "hard").otherwise("soft").alias("hard_soft"),
+        "description", F.slice(F.array_distinct(names), 1, 4).alias("characters"), F.slice(F.array_distinct(F.concat(spoken, numbers, known)), 1, 8).alias("keywords"),
+    )

@@ -116,3 +116,11 @@ def test_removing_a_source_leaves_no_dangling_edge(spark):
     learns = spark.createDataFrame([("w", "A", "f1", 1), ("w", "A", "f2", 2)], "work_id string, from_id string, to_id string, seq long")
     left = graph_ops.remove_sources(Graph.of(spark, characters=chars, facts=facts, learns=learns), spark.createDataFrame([("s1",)], "source_id string"))
     assert [r.to_id for r in left.learns.collect()] == ["f2"]
+
+
+def test_gold_annotations(spark):
+    df = spark.createDataFrame([("x", 1, "민수는 사망 후 재등장한다"), ("x", 2, "도보로 12분 거리를 \u201c4분 만에 이동\u201d 했다"), ("x", 3, "머리 색이 바뀐다")], "case string, idx int, description string")
+    got = {r.gid: r for r in evaluate.gold_annotations(df).collect()}
+    assert [(got[k].category, got[k].hard_soft) for k in ("x-1", "x-2", "x-3")] == [("DEATH_REAPPEAR", "hard"), ("TIMELINE_MOVE", "soft"), ("TRAIT_SETTING", "soft")]
+    assert got["x-1"].keywords == ["사망", "재등장"] and "민수" in got["x-1"].characters
+    assert got["x-2"].keywords[:4] == ["4분", "만에", "이동", "12분"]
