@@ -134,3 +134,9 @@ def subgraph(g: Graph, ids: DataFrame) -> Graph:
         into = ids.withColumnRenamed("id", "to_id").withColumn("_t", F.lit(True))
         kept[n] = e.join(out, ["work_id", "from_id"], "left").join(into, ["work_id", "to_id"], "left").where("_f OR _t").select(e.columns)
     return Graph(**kept)
+
+
+def replace_source(g: Graph, sources: DataFrame, new: Graph) -> Graph:
+    """M7: the sources (source_id) taken out and what was built anew from them put in."""
+    kept = remove_sources(g, sources)
+    return Graph(**{n: t.unionByName(new.tables()[n]) for n, t in kept.tables().items()})

@@ -74,3 +74,19 @@ def diff(a: DataFrame, b: DataFrame, context: int = 3) -> DataFrame:
 
     both = a.select("source_id", F.col("version").alias("va"), F.col("text").alias("ta")).join(b.select("source_id", F.col("version").alias("vb"), F.col("text").alias("tb")), "source_id")
     return both.groupBy("source_id", "va", "vb").applyInPandas(one, "source_id string, diff string")
+
+
+def push(texts: DataFrame, fixes: DataFrame, versions: DataFrame, source_chunks=None) -> dict[str, DataFrame]:
+    """V4: staged fixes applied to their sources: ``results`` (V2), ``snapshots`` with their version numbers, the ``changed``
+    chunks that are to be extracted again, and the ``resolved`` contradictions. Only sources with fixes are read further."""
+    from storyloom.operators.chunks import chunk
+
+    queue = staging_queue(fixes)
+    results = apply_fixes(texts, queue, source_chunks)
+    pushes = results.select("source_id", F.lit(1).alias("seq"), F.size("applied").alias("fixes_count"), F.lit("").alias("description"))
+    numbered = next_versions(pushes, versions)
+    snapshots = results.select("source_id", F.col("new_text").alias("text")).join(numbered.select("source_id", "version", "fixes_count", "description"), "source_id")
+    done = results.select("source_id", F.explode("applied").alias("contradiction_id"))
+    applied = queue.join(done, ["source_id", "contradiction_id"], "left_semi")
+    changed = changed_chunks(chunk(results.select("source_id", F.col("new_text").alias("text"))), applied)
+    return {"results": results, "snapshots": snapshots, "changed": changed, "resolved": done}

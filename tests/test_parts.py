@@ -124,3 +124,12 @@ def test_gold_annotations(spark):
     assert [(got[k].category, got[k].hard_soft) for k in ("x-1", "x-2", "x-3")] == [("DEATH_REAPPEAR", "hard"), ("TIMELINE_MOVE", "soft"), ("TRAIT_SETTING", "soft")]
     assert got["x-1"].keywords == ["사망", "재등장"] and "민수" in got["x-1"].characters
     assert got["x-2"].keywords[:4] == ["4분", "만에", "이동", "12분"]
+
+
+def test_push_reaches_only_changed_chunks(spark):
+    texts = spark.createDataFrame([("s", " ".join(f"w{i}" for i in range(1200))), ("t", "nothing to fix here")], "source_id string, text string")
+    schema = "source_id string, contradiction_id string, original_text string, fixed_text string, is_intentional boolean, chunk_id string, staged_at long"
+    fixes = spark.createDataFrame([("s", "c1", "w1100 ", "fixed ", False, None, 1), ("s", "c1", " ", "x", False, None, 2)], schema)
+    out = versions.push(texts, fixes, spark.createDataFrame([("s", "v3")], "source_id string, version string"))
+    assert [(r.source_id, r.version, r.fixes_count) for r in out["snapshots"].collect()] == [("s", "v4", 1)]
+    assert [r.chunk_index for r in out["changed"].collect()] == [2] and [r.contradiction_id for r in out["resolved"].collect()] == ["c1"]
