@@ -106,19 +106,24 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_
 
 def _viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """The best language of each word; staying is free and changing costs ``penalty``. Ties go to staying, then to the first language."""
-    n, k = scores.shape
-    best, back = scores[0].astype(np.float64), np.zeros((n, k), dtype=np.int32)
-    own = np.arange(k)
-    for i in range(1, n):
-        top = int(best.argmax())
-        move = best < best[top] - penalty
-        back[i] = np.where(move, top, own)
-        best = np.where(move, best[top] - penalty, best) + scores[i]
-    path = np.zeros(n, dtype=np.int64)
-    path[-1] = int(best.argmax())
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
-    return path
+    rows = scores.tolist()
+    best, back = rows[0], []
+    for row in rows[1:]:
+        top = max(best)
+        floor = top - penalty
+        if min(best) < floor:
+            first = best.index(top)
+            back.append([first if x < floor else k for k, x in enumerate(best)])
+            best = [(floor if x < floor else x) + s for x, s in zip(best, row)]
+        else:  # nobody gains by changing here
+            back.append(None)
+            best = [x + s for x, s in zip(best, row)]
+    at = best.index(max(best))
+    path = [at]
+    for b in reversed(back):
+        at = at if b is None else b[at]
+        path.append(at)
+    return np.array(path[::-1])
 
 
 def _label(scores: np.ndarray, penalty: float) -> np.ndarray:
