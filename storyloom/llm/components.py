@@ -18,6 +18,13 @@ def _stars(e: DataFrame) -> DataFrame:
     return small.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether the edges are stars already: no node points to two others, or points and is pointed to."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(e.select("v", F.lit(0), F.lit(1)))
+    degrees = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return degrees.where("out > 1 OR (out = 1 AND into = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (its two columns, integers): component is the smallest node reachable.
 
@@ -27,12 +34,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns[:2]
     e = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    mark = None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
-        if now == mark or not now[0]:
-            break
-        mark, old = now, e
+    while not _settled(e):
+        old = e
         e = written(_stars(old))
         removed(old)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

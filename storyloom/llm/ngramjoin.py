@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.llm.components import components
-from storyloom.llm.shared import VECTOR, bounded, id_text, vector_rows, vector_sum, written
+from storyloom.llm.shared import VECTOR, bounded, id_text, removed, vector_rows, vector_sum, written
 from storyloom.llm.textkernel import Words, gram_sets, mix, pieces
 
 
@@ -58,7 +58,7 @@ def _prefixes(rows: DataFrame, frequencies, n: int, num: int, den: int) -> DataF
 
 
 def _filters(num: int, den: int):
-    """The condition on two postings a, b of one n-gram, a of the smaller set: length, positional, suffix."""
+    """The condition on two postings a, b of one n-gram: length, positional, suffix."""
     both = F.col("a.n") + F.col("b.n")
     need = F.ceil(both * F.lit(num) / F.lit(num + den))
     apart = F.lit(0)
@@ -67,8 +67,7 @@ def _filters(num: int, den: int):
             x, y = (F.shiftrightunsigned(F.col(f"{s}.{h}"), k).bitwiseAND(F.lit(255)) for s in "ab")
             apart = apart + F.abs(x - y)
     return (
-        ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.c") < F.col("b.c"))))
-        & (F.col("a.n") * den >= F.col("b.n") * num)
+        (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num)
         & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) * (num + den) >= both * num)
         & (apart <= both - need * 2)
     )
@@ -115,11 +114,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, n: int, num: int, den: int, bit
 
 
 def _pairs(a: DataFrame, b: DataFrame, on, num: int, den: int) -> DataFrame:
-    keep = (F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("c", "rep") for s in "ab")
-    return a.alias("a").join(b.alias("b"), on & _filters(num, den)).select(*keep).distinct()
+    """The distinct pairs of classes that pass the filters, the smaller name first."""
+    met = a.alias("a").join(b.alias("b"), on & _filters(num, den)).withColumn("turn", F.col("a.c") > F.col("b.c"))
+    keep = (F.when(F.col("turn"), F.col(f"{y}.{c}")).otherwise(F.col(f"{x}.{c}")).alias(f"{c}_{x}") for c in ("c", "rep") for x, y in ("ab", "ba"))
+    return met.select(*keep).distinct()
 
 
-def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bits: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links of Jaccard similarity >= num / den.
 
     Words are runs without ASCII white space, A-Z in lower case; a document with fewer than n words has its whole
@@ -130,18 +131,22 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bits:
     spark = docs.sparkSession
     bounded(spark)
     rows = id_text(docs, id_col, text_col)
-    frequencies = spark.sparkContext.broadcast(_frequencies(rows, n, bits))
-    known = written(_prefixes(rows, frequencies, n, num, den))
-    first = [F.first(x).alias(x) for x in ("n", "h0", "h1", "prefix")]
-    classes = written(known.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), *first))
-    postings = classes.select("c", "rep", "n", "h0", "h1", F.posexplode("prefix").alias("pos", "token"))
+    frequencies = spark.sparkContext.broadcast(np.minimum(_frequencies(rows, n, bits), 0xFFFFFFFF).astype(np.uint32))
+    table = written(_prefixes(rows, frequencies, n, num, den))
+    frequencies.destroy()
+    known = written(table.select("doc_id", "c", "n"))
+    classes = written(table.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in ("n", "h0", "h1"))))
+    # postings stay narrow until those of n-grams that only one class has are gone
+    postings = table.where("n > 0").groupBy("c").agg(F.first("prefix").alias("prefix")).select("c", F.posexplode("prefix").alias("pos", "token"))
     own = F.shiftleft(F.least("pos", F.lit(32767)).cast("long"), 48).bitwiseOR(F.shiftrightunsigned("c", 16))
     shared = postings.groupBy("token").agg(F.count("*").alias("k"), F.min(own).alias("lead")).where("k > 1").drop("k")
-    shared = written(postings.join(shared, "token").withColumn("leads", own == F.col("lead")).drop("lead"))
-    # either side may be the smaller set, so the star's condition is tried both ways
+    narrow = written(postings.join(shared, "token").withColumn("leads", own == F.col("lead")).drop("lead"))
+    removed(table)
+    shared = written(narrow.join(classes, "c"))
+    removed(narrow)
     rest, leaders = shared.where("not leads"), shared.where("leads")
     same = F.col("a.token") == F.col("b.token")
-    tried = written(_pairs(rest, leaders, same, num, den).union(_pairs(leaders, rest, same, num, den)).distinct())
+    tried = written(_pairs(rest, leaders, same, num, den))
     links = written(_verified(tried, rows, n, num, den))
     found = written(components(links))
     # what is still apart
@@ -149,10 +154,13 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bits:
     mixed = comp.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     apart = written(comp.join(mixed, "token").drop("leads"))
     short = apart.where(F.col("pos") * (num + den) <= F.col("n") * (den - num))
-    more = _pairs(short, apart, same & (F.col("a.component") != F.col("b.component")), num, den)
+    smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.c") < F.col("b.c")))
+    more = _pairs(short, apart, same & smaller & (F.col("a.component") != F.col("b.component")), num, den)
     more = written(more.join(tried, ["c_a", "c_b"], "left_anti"))
-    links = links.union(written(_verified(more, rows, n, num, den)))
-    found = written(components(links))
+    if not more.isEmpty():
+        added = written(_verified(more, rows, n, num, den))
+        if not added.isEmpty():
+            found = written(components(links.union(added)))
     # back to documents
     named = found.join(classes.select(F.col("c").alias("node"), "rep"), "node")
     lowest = named.groupBy("component").agg(F.min("rep").alias("lowest"))

@@ -46,7 +46,7 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def bounded(spark: SparkSession, size: int = 16 << 20) -> None:
+def bounded(spark: SparkSession, size: int = 8 << 20) -> None:
     """Batches to Python end at ``size`` bytes too, since texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 

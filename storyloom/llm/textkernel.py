@@ -120,7 +120,7 @@ def gram_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return d[new], g[new]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The rows in slices of about ``most`` bytes of text, so that a task's arrays stay small; a longer text is a slice of its own."""
     for b in batches:
         if not b.num_rows:
