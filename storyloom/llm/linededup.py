@@ -2,9 +2,10 @@
 
 Lines are compared by their sets of character shingles. MinHash signatures come from the shingles that begin words
 (all of them in a line of very long words), banding proposes pairs, and the exact Jaccard similarity of all shingles
-decides. The lines of a band are compared with its leader, and those that are still apart from it with a second one, so
-candidates grow with the lines and not with the square of a group. A line has eight bands and so up to sixteen
-leaders. Connected lines are one component, of which the first occurrence in the corpus stays.
+decides. The lines of a band are compared with its leader, and those that are still apart from it with a second one,
+which joins most groups without their pairs. Then every pair of a band that is still in two components is compared, but
+for pairs whose shingle bitmaps alone rule the similarity out. Connected lines are one component, of which the first
+occurrence in the corpus stays.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from storyloom.llm.components import components
 from storyloom.llm.shared import removed, written
 
 BANDS, ROWS, SHINGLE = 8, 3, 8
+#: Shingles cut from one window of a line, and 64-bit words of a line's bitmap of shingles.
+WINDOW, WORDS = 32, 8
 _draw = random.Random(20240607)
 #: Random masks: the smallest shingle hash after XOR with a mask is the MinHash of one permutation.
 MASKS = [_draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
@@ -44,13 +47,38 @@ def _signed(lines: DataFrame) -> DataFrame:
     return hashed.select("doc_id", "rid", "no", "id", bands.alias("bands"))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of line ids that are similar enough. A bit table of at most 65,536 words, which is broadcast,
-    lets only few other lines through to the shuffle."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+def _shingled(lines: DataFrame) -> DataFrame:
+    """id, h: the hash of every shingle. Windows are cut first, as a substring costs more the further in it begins."""
+    windows = F.expr(f"regexp_extract_all(line, '(?s)(?=(.{{{SHINGLE},{WINDOW + SHINGLE - 1}}})).{{1,{WINDOW}}}', 1)")
+    cut = lines.select("id", F.explode(windows).alias("w")).select("id", "w", F.explode(F.expr(f"sequence(1, length(w) - {SHINGLE - 1})")).alias("p"))
+    return cut.select("id", F.expr(f"xxhash64(substring(w, p, {SHINGLE}))").alias("h"))
+
+
+def _marked(texts: DataFrame) -> DataFrame:
+    """id, n (the number of shingles, with repeats), w0, w1, ...: a bitmap of the shingles."""
+    bit = "shiftleft(1L, CAST(shiftright(h, 8) & 63 AS INT))"
+    words = [F.bit_or(F.expr(f"CASE WHEN (h & 255) % {WORDS} = {k} THEN {bit} ELSE 0L END")).alias(f"w{k}") for k in range(WORDS)]
+    return _shingled(texts).groupBy("id").agg(F.count("*").alias("n"), *words)
+
+
+def _near(num: int, den: int) -> Column:
+    """Whether the bitmaps of a and b let their sets be similar enough: bits that differ stand for shingles that only
+    one set has, which are at most (den - num) / (den + num) of both sizes together."""
+    apart = sum((F.bit_count(F.col(f"a.w{k}").bitwiseXOR(F.col(f"b.w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("a.w0").bitwiseXOR(F.col("b.w0"))))
+    return apart * (num + den) <= (F.col("a.n") + F.col("b.n")) * (den - num)
+
+
+def _texts(ids: DataFrame, lines: DataFrame) -> DataFrame:
+    """id, line of the lines ``ids`` and few others: a bit table of at most 65,536 words, which is broadcast, lets
+    them through to the shuffle."""
     bits = ids.groupBy(F.shiftrightunsigned("id", 48).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(id & 63 AS INT))")).alias("mask"))
     some = lines.select("id", "line").withColumn("w", F.shiftrightunsigned("id", 48)).join(F.broadcast(bits), "w").where("shiftrightunsigned(mask, CAST(id & 63 AS INT)) & 1 = 1")
-    texts = written(some.groupBy("id").agg(F.first("line").alias("line")))
+    return written(some.groupBy("id").agg(F.first("line").alias("line")))
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of line ids that are similar enough."""
+    texts = _texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), lines)
     # texts are shuffled rather than their sets, which are many times as large
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
     sets = [F.expr(f"array_distinct(transform(regexp_extract_all({c}, '(?s)(?=(.{{{SHINGLE}}}))', 1), s -> xxhash64(s)))").alias(c) for c in "xy"]
@@ -75,7 +103,7 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 20,
     lead = bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band", "lo")
     shared = written(bands.join(lead, "band").distinct())
     removed(banded)
-    tried = written(shared.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct())
+    tried = written(shared.where("id <> lo").select(F.least("id", "lo").alias("a"), F.greatest("id", "lo").alias("b")).distinct())
     links = written(_verified(tried, lines, num, den))
     found = written(components(links))
     # lines that are still apart from their band's leader meet a second leader among them
@@ -88,9 +116,23 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 20,
     more = apart.join(second, "band").where("id <> lo").select(F.least("id", "lo").alias("a"), F.greatest("id", "lo").alias("b")).distinct()
     more = written(more.join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        added = written(_verified(more, lines, num, den))
-        if not added.isEmpty():
-            found = written(components(links.union(added)))
+        tried = tried.union(more)
+        links = links.union(written(_verified(more, lines, num, den)))
+        found = written(components(links))
+    # all other pairs of a band that are in two components
+    of = found.select(F.col("node").alias("id"), "component")
+    comp = shared.join(of, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    mixed = comp.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo < hi AND k > 2").select("band")
+    left = written(comp.join(mixed, "band"))
+    if not left.isEmpty():
+        marks = _marked(_texts(left.select("id"), lines))
+        left = written(left.join(marks, "id"))
+        differ = (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c"))
+        rest = left.alias("a").join(left.alias("b"), differ & _near(num, den)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+        rest = written(rest.join(tried, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            links = links.union(written(_verified(rest, lines, num, den)))
+            found = written(components(links))
     # the occurrences that go
     at = F.struct("doc_id", "rid", "no")
     first = signed.groupBy("id").agg(F.min(at).alias("first"), F.count("*").alias("k"))

@@ -342,6 +342,35 @@ def test_line_dedup(spark, docs, texts, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def kept_lines(lines, least=20):
+    """By brute force: the lines that stay of documents of one line each, in order."""
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in lines]
+    root = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if same and same * 100 >= 80 * (len(sets[i]) + len(sets[j]) - same):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return [x if r == i else "" for i, (x, r) in enumerate(zip(lines, root))]
+
+
+def line_rows(spark, lines):
+    out = linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(2)).collect()
+    return [r.text for r in sorted(out, key=lambda r: r.doc_id)]
+
+
+def test_line_dedup_of_many_clusters_in_a_band(spark):
+    rng, frame = random.Random(5), prose(40, 77).split()
+    lines = []
+    for k in range(60):
+        own = [w if i % 8 else f"{rng.getrandbits(24):x}" for i, w in enumerate(frame)]
+        lines += [" ".join(own), " ".join([*own[:-1], f"{rng.getrandbits(24):x}"])]
+    want = kept_lines(lines)
+    assert 0 < want.count("") < 100
+    assert line_rows(spark, lines) == want
+
+
 def test_language_id(spark, docs, empty):
     r = random.Random(4)
     words = {"en": ["the", "and", "house", "water", "with", "think"], "de": ["und", "haus", "wasser", "mit", "denken", "straße"], "ru": ["дом", "вода", "и", "думать", "с", "язык"]}
