@@ -371,6 +371,19 @@ def test_line_dedup_of_many_clusters_in_a_band(spark):
     assert line_rows(spark, lines) == want
 
 
+def test_line_dedup_of_lines_with_few_words(spark):
+    rng = random.Random(9)
+    lines = []
+    for k in range(40):
+        chars = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(23 + k))
+        two = "".join(rng.choice("abcdefghijklmnop") for _ in range(46))
+        path = "/".join(f"{rng.getrandbits(16):x}" for _ in range(8))
+        lines += [chars, "一" + chars[1:], f"{two[:23]} {two[23:]}", f"z{two[1:23]} {two[23:]}", path, path[:-1] + "z"]
+    want = kept_lines(lines)
+    assert want.count("") == 120
+    assert line_rows(spark, lines) == want
+
+
 def test_language_id(spark, docs, empty):
     r = random.Random(4)
     words = {"en": ["the", "and", "house", "water", "with", "think"], "de": ["und", "haus", "wasser", "mit", "denken", "straße"], "ru": ["дом", "вода", "и", "думать", "с", "язык"]}
