@@ -11,7 +11,7 @@ from storyloom.llm.tokens import default_tokenizer
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those of which no language has half the letters, go."""
+    """Documents without a letter, those of which no language has half the letters, and those that fit none well go."""
     model = langid.train(docs)
     return langid.identify(docs, model).where("lang_pred <> 'und' AND score >= 0.5").select(docs.columns)
 

@@ -18,6 +18,8 @@ from storyloom.llm.textkernel import pieces
 
 BITS = 16
 WIDTH = 4096
+#: The share of a language's expected fit from which a text fits fully.
+FULL = 0.5
 #: First code points of the ranges that part scripts, and each range's script.
 SCRIPT_FROM = np.array([0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3130, 0x3190, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0x20000])
 SCRIPT_NAME = ["latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "other", "indic", "thai", "other", "georgian", "hangul", "other", "latin", "greek", "other", "kana", "other", "hangul", "other", "han", "other", "hangul", "other", "han", "other", "han"]
@@ -76,6 +78,12 @@ class Model:
     allowed: np.ndarray  # (scripts, languages)
 
 
+def _levels(model: Model) -> np.ndarray:
+    """(4, languages): the mean log-probability of the three- and four-byte n-grams, as the language has them and of any."""
+    tables = (model.three.astype(np.float64), model.four.astype(np.float64))
+    return np.stack([*((np.exp(x) * x).sum(axis=0) for x in tables), *(x.mean(axis=0) for x in tables)])
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_langs: int = 256, alpha: float = 0.1) -> Model:
     """Count the n-grams of all labelled texts. Rows with a null text or label are left out; more than ``most_langs``
     labels raise an error, as the model is broadcast and its size is theirs times 2 ** (BITS + 1)."""
@@ -138,7 +146,9 @@ def _label(scores: np.ndarray, penalty: float) -> np.ndarray:
 def identify(docs: DataFrame, model: Model, penalty: float = 24.0, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with lang_pred, score and lang_spans (lang:first word:words, comma-joined).
 
-    lang_pred is the language of most letters, score their share, in (0, 1]; words are runs of letters. A null text,
+    lang_pred is the language of most letters. score, in [0, 1], is their share, without words in a script that the
+    language does not use, times the fit: how far the log-likelihood along the path lies from that of any n-gram (0) to
+    FULL of the way to that of the labelled texts (1). Words are runs of letters. A null text,
     a text without a letter, and any text under a model without languages get ``und``, 0 and ''. A word in a script
     that no language uses favours none. Columns of these names in ``docs`` are replaced.
     """
@@ -150,14 +160,15 @@ def identify(docs: DataFrame, model: Model, penalty: float = 24.0, text_col: str
 
     def label(batches):
         model = m.value
-        names = [*model.langs, "und"]
+        names, levels = [*model.langs, "und"], _levels(model)
         for b in pieces(batches, text_col):
             n = b.num_rows
             pred, score, spans = np.full(n, len(model.langs)), np.zeros(n), [""] * n
             t = _Letters(b.column(text_col))
             if len(t.begin) and model.langs:
                 raw = model.three[t.g3] + model.four[t.g4] * t.long[:, None]
-                words = np.add.reduceat(raw, t.begin, axis=0)
+                likely = words = np.add.reduceat(raw, t.begin, axis=0)
+                size, longs = t.end - t.begin, np.add.reduceat(t.long.astype(np.int64), t.begin)
                 script, letters = t.scripts()
                 allowed = model.allowed[script]
                 words = np.where(allowed | ~allowed.any(axis=1, keepdims=True), words, words.min(axis=1, keepdims=True) - 8)
@@ -172,7 +183,12 @@ def identify(docs: DataFrame, model: Model, penalty: float = 24.0, text_col: str
                     path = _label(words[own], penalty)
                     weight = np.bincount(path, weights=letters[own], minlength=len(model.langs))
                     pred[i] = weight.argmax()
-                    score[i] = weight[pred[i]] / weight.sum()
+                    own_script = letters[own] * allowed[own][np.arange(len(path)), path]
+                    text, any3, any4 = levels[:2, path], *levels[2:, path]
+                    least = any3 @ size[own] + any4 @ longs[own]
+                    usual = text[0] @ size[own] + text[1] @ longs[own]
+                    fit = (likely[own][np.arange(len(path)), path].sum(dtype=np.float64) - least) / max(FULL * (usual - least), 1e-9)
+                    score[i] = own_script[path == pred[i]].sum() / weight.sum() * min(1.0, max(0.0, fit))
                     change = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [len(path)]])
                     spans[i] = ",".join(f"{names[path[s]]}:{s}:{e - s}" for s, e in zip(change[:-1], change[1:]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([names[k] for k in pred]), pa.array(score), pa.array(spans)], names=[*b.schema.names, "lang_pred", "score", "lang_spans"])

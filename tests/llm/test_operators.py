@@ -400,6 +400,17 @@ def test_language_id(spark, docs, empty):
     assert {x.lang_pred for x in langid.identify(docs, none).collect()} == {"und"} and langid.identify(empty, model).count() == 0
 
 
+def test_texts_of_no_learned_language_fit_badly(spark):
+    r = random.Random(6)
+    words = {"en": ["the", "and", "house", "water", "with", "think"], "de": ["und", "haus", "wasser", "mit", "denken", "straße"]}
+    say = lambda k, n=40: " ".join(r.choice(words[k]) for _ in range(n))
+    model = langid.train(spark.createDataFrame([(say(k), k) for k in ["en", "de"] * 20], "text string, lang string"))
+    junk = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60))
+    test = [(0, say("en")), (1, say("de")), (2, "ქართული ენა არის ლამაზი"), (3, "漢字 漢字"), (4, junk), (5, f"{say('en', 20)} {'дом вода ' * 40}")]
+    got = {x.doc_id: x.score for x in langid.identify(spark.createDataFrame(test, "doc_id long, text string"), model).collect()}
+    assert got[0] == got[1] == 1.0 and got[2] == got[3] == 0 and got[4] < 0.5 and got[5] < 0.5
+
+
 def test_shortcut_equals_the_full_search():
     r = np.random.default_rng(5)
     for _ in range(200):
