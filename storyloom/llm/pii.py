@@ -83,7 +83,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
 
 def other_candidates(text: str) -> list[tuple[int, int, int]]:
     out = []
-    if "(at)" in text or "[at]" in text or " dot " in text:
+    if "(dot)" in text or "[dot]" in text or " dot " in text:  # as every match holds
         out += [(0, m.start(), m.end()) for m in SPELT.finditer(text)]
     out += [(3, m.start() - (m.start() > 0 and text[m.start() - 1] == "(" and ")" in m[0]), m.end()) for m in BARE.finditer(text)]
     for title in TITLES:

@@ -184,6 +184,11 @@ def test_pii(spark, docs, empty):
     assert pii.find_pii(docs).count() == docs.count() and pii.find_pii(empty).count() == 0
 
 
+def test_spelt_addresses_are_candidates_by_themselves():
+    for x in ("john at example (dot) com", "john at example[dot]com", "jane (at) mail dot com", "jane[at]mail [dot] com"):
+        assert pii.other_candidates(f"{x}\n1") == [(0, 0, len(x))], x
+
+
 def test_reliable_labelers_are_found():
     r = np.random.default_rng(1)
     counts = np.zeros(pii.CODES)
