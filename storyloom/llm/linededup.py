@@ -1,10 +1,10 @@
 """Fuzzy line deduplication with DataFrame functions alone.
 
 Lines are compared by their sets of character shingles. MinHash signatures come from all shingles, banding proposes
-pairs, and the exact Jaccard similarity decides. The lines of a band are compared with its leader, and those that are still apart from it with a second one,
-which joins most groups without their pairs. Then every pair of a band that is still in two components is compared, but
-for pairs whose shingle bitmaps alone rule the similarity out. Connected lines are one component, of which the first
-occurrence in the corpus stays.
+pairs, and the exact Jaccard similarity decides. The lines of a band are compared with its leader, and those that are
+still apart from it with a second one, which joins most groups without their pairs. Then every pair of a band that is
+still in two components is compared, but for pairs whose shingle bitmaps alone rule the similarity out. Connected lines
+are one component, of which the first occurrence in the corpus stays.
 """
 
 from __future__ import annotations
@@ -17,44 +17,60 @@ from pyspark.sql import functions as F
 from storyloom.llm.components import components
 from storyloom.llm.shared import removed, written
 
-BANDS, ROWS, SHINGLE = 8, 3, 8
-#: Shingles cut from one window of a line, and 64-bit words of a line's bitmap of shingles.
-WINDOW, WORDS = 32, 8
+SHINGLE = 8
+#: Shingles that one row hashes at once, and 64-bit words of a line's bitmap of shingles.
+WINDOW, WORDS = 4, 32
+#: Nine minima are the points of the affine plane of order three and its twelve lines are the bands, so any five equal
+#: minima hold a band: a pair at similarity 0.8 shares one with probability 0.99.
+MINIMA = 9
+BANDS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6)]
 _draw = random.Random(20240607)
-#: Random masks: the smallest shingle hash after XOR with a mask is the MinHash of one permutation.
-MASKS = [_draw.getrandbits(32) - (1 << 31) for _ in range(BANDS * ROWS)]
+#: Each minimum is over one of three rotations of the shingle hashes, XOR a mask; the masks of a rotation differ in their
+#: first two bits, so that its minima come from different quarters of the hashes.
+TURNS = [0, 21, 43]
+MASKS = [(k // 3 << 62 | _draw.getrandbits(62)) - (k // 3 >> 1 << 64) for k in range(MINIMA)]
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """doc_id, rid (names a row's key and text), no, line, id (names the line): the lines that are compared."""
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, rid (names a row's key and text), no, line, id (names the line): all lines but blank ones."""
     each = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _row_key(id_col, text_col).alias("rid"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
-    return each.where(F.length(F.trim("line")) >= least).withColumn("id", F.xxhash64("line"))
+    return each.where("trim(BOTH ' \t\r\x0b\x0c' FROM line) <> ''").withColumn("id", F.xxhash64("line"))
 
 
-def _shingled(lines: DataFrame) -> DataFrame:
-    """id, h: the hash of every shingle. Windows are cut first, as a substring costs more the further in it begins."""
-    windows = F.expr(f"regexp_extract_all(line, '(?s)(?=(.{{{SHINGLE},{WINDOW + SHINGLE - 1}}})).{{1,{WINDOW}}}', 1)")
-    cut = lines.select("id", F.explode(windows).alias("w")).select("id", "w", F.explode(F.expr(f"sequence(1, length(w) - {SHINGLE - 1})")).alias("p"))
-    return cut.select("id", F.expr(f"xxhash64(substring(w, p, {SHINGLE}))").alias("h"))
+def _placed(lines: DataFrame) -> DataFrame:
+    """id, b (the line at four bytes a character, so that any shingle is found at once), last (the last shingle's place).
+    A line shorter than a shingle is its own only one."""
+    return lines.select("id", F.encode("line", "UTF-32").alias("b")).withColumn("last", F.expr(f"greatest(0, CAST(length(b) / 4 AS INT) - {SHINGLE})"))
+
+
+def _hash(place: str) -> str:
+    return f"xxhash64(substring(b, 4 * {place} + 1, {4 * SHINGLE}))"
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """id, bands of the distinct lines: hashes of ROWS MinHash values each. The minima are aggregates, which are
-    combined within a task and are much cheaper than passes over arrays."""
-    least = [F.min(F.expr(f"CAST(shiftright(h, 32) AS INT) ^ {m}")).alias(f"m{k}") for k, m in enumerate(MASKS)]
-    bands = F.array(*[F.xxhash64(F.lit(b), *(f"m{k}" for k in range(b * ROWS, (b + 1) * ROWS))) for b in range(BANDS)])
-    return _shingled(lines).groupBy("id").agg(*least).select("id", bands.alias("bands"))
+    """id, bands of the distinct lines: hashes of three MinHash values each. A row hashes WINDOW shingles and takes
+    their minima in one generated expression, of a size that is still compiled; aggregates combine the rows of a line."""
+    rows = _placed(lines).select("id", "b", "last", F.explode(F.expr(f"sequence(0, last, {WINDOW})")).alias("p"))
+    names = [f"h{i}" for i in range(WINDOW)]
+    hashes = rows.select("id", *[F.expr(_hash(f"least(p + {i}, last)")).alias(h) for i, h in enumerate(names)])
+    turned = hashes.select("*", *[F.expr(f"shiftleft({h}, {t}) | shiftrightunsigned({h}, {64 - t})").alias(f"{h}_{t}") for h in names for t in TURNS[1:]])
+    each = lambda k: (h if k % 3 == 0 else f"{h}_{TURNS[k % 3]}" for h in names)
+    lows = [F.expr("least(" + ", ".join(f"{h} ^ CAST('{m}' AS BIGINT)" for h in each(k)) + ")").alias(f"m{k}") for k, m in enumerate(MASKS)]
+    signed = turned.select("id", *lows).groupBy("id").agg(*[F.min(f"m{k}").alias(f"m{k}") for k in range(MINIMA)])
+    bands = F.array(*[F.xxhash64(F.lit(b), *(f"m{k}" for k in of)) for b, of in enumerate(BANDS)])
+    return signed.select("id", bands.alias("bands"))
 
 
 def _marked(texts: DataFrame) -> DataFrame:
     """id, n (the number of shingles, with repeats), w0, w1, ...: a bitmap of the shingles."""
-    bit = "shiftleft(1L, CAST(shiftright(h, 8) & 63 AS INT))"
-    words = [F.bit_or(F.expr(f"CASE WHEN (h & 255) % {WORDS} = {k} THEN {bit} ELSE 0L END")).alias(f"w{k}") for k in range(WORDS)]
-    return _shingled(texts).groupBy("id").agg(F.count("*").alias("n"), *words)
+    cut = _placed(texts).select("id", "b", F.explode(F.expr("sequence(0, last)")).alias("p")).select("id", F.expr(_hash("p")).alias("h"))
+    bit = F.expr("shiftleft(1L, CAST(shiftrightunsigned(h, 58) AS INT))")
+    words = cut.groupBy("id", F.expr(f"CAST(h & {WORDS - 1} AS INT)").alias("word")).agg(F.bit_or(bit).alias("bits"), F.count("*").alias("k"))
+    return words.groupBy("id").agg(F.sum("k").alias("n"), *[F.max(F.expr(f"CASE WHEN word = {k} THEN bits END")).alias(f"w{k}") for k in range(WORDS)]).na.fill(0)
 
 
 def _near(num: int, den: int) -> Column:
@@ -64,71 +80,78 @@ def _near(num: int, den: int) -> Column:
     return apart * (num + den) <= (F.col("a.n") + F.col("b.n")) * (den - num)
 
 
-def _texts(ids: DataFrame, lines: DataFrame) -> DataFrame:
-    """id, line of the lines ``ids`` and few others: a bit table of at most 65,536 words, which is broadcast, lets
-    them through to the shuffle."""
-    bits = ids.groupBy(F.shiftrightunsigned("id", 48).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(id & 63 AS INT))")).alias("mask"))
-    some = lines.select("id", "line").withColumn("w", F.shiftrightunsigned("id", 48)).join(F.broadcast(bits), "w").where("shiftrightunsigned(mask, CAST(id & 63 AS INT)) & 1 = 1")
-    return written(some.groupBy("id").agg(F.first("line").alias("line")))
+def _among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is one of ``keys`` (its one column), and few others: a bit table of 65,536 words, which is
+    broadcast, keeps the rest out of a shuffle. However many keys there are, none of their rows is lost."""
+    k = keys.columns[0]
+    bits = keys.groupBy(F.shiftrightunsigned(k, 48).alias("__w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({k} & 63 AS INT))")).alias("__mask"))
+    return rows.withColumn("__w", F.shiftrightunsigned(key, 48)).join(F.broadcast(bits), "__w").where(F.expr(f"shiftrightunsigned(__mask, CAST({key} & 63 AS INT)) & 1 = 1")).drop("__w", "__mask")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of line ids that are similar enough."""
-    texts = _texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), lines)
-    # texts are shuffled rather than their sets, which are many times as large
+def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of line ids that are similar enough. Texts are shuffled rather than their sets, which are many times as large."""
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-    sets = [F.expr(f"array_distinct(transform(regexp_extract_all({c}, '(?s)(?=(.{{{SHINGLE}}}))', 1), s -> xxhash64(s)))").alias(c) for c in "xy"]
+    # the inner lambda takes the encoded line from the outer one, which hands it on without a copy for each shingle
+    hashes = f"transform(sequence(0, greatest(0, CAST(length(v) / 4 AS INT) - {SHINGLE})), p -> {_hash('p').replace('(b,', '(v,')})"
+    sets = [F.expr(f"transform(array(encode({c}, 'UTF-32')), v -> array_distinct({hashes}))[0]").alias(c) for c in "xy"]
     both = both.select("a", "b", *sets).withColumn("same", F.size(F.array_intersect("x", "y")))
     return both.where((F.col("same") > 0) & (F.col("same") * den >= (F.size("x") + F.size("y") - F.col("same")) * num)).select("a", "b")
 
 
-def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _pairs(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b), a < b, of the lines of a band with its leader ``lo``."""
+    return rows.join(leaders, "band").where("id <> lo").select(F.least("id", "lo").alias("a"), F.greatest("id", "lo").alias("b")).distinct()
+
+
+def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with duplicate lines taken out of the text, and n_lines, n_removed (0 for a null text).
 
     Of lines whose shingle sets have Jaccard similarity num / den or more, directly or through others, the first
-    stays: that of the smallest document key, then of the smallest row hash, then the first in the text. Lines with
-    fewer than ``least`` characters (without blanks around) are never compared and stay, so blank lines do. Rows
-    equal in key and text count as one document and keep the same lines; a null key comes before all others. Banding
-    finds a pair at similarity 0.8 with probability 0.99 and more above it. Columns n_lines and n_removed in ``docs``
-    are replaced.
+    stays: that of the smallest document key, then of the smallest row hash, then the first in the text. A line under
+    eight characters has itself as its only shingle, so only its copies go; blank lines stay. Rows equal in key and text
+    count as one document and keep the same lines; a null key comes before all others. Banding finds a pair at
+    similarity 0.8 with probability 0.99 and more above it; lines and shingles are compared as 64-bit hashes. Columns
+    n_lines and n_removed in ``docs`` are replaced.
     """
-    lines = _lines(docs, id_col, text_col, least)
-    signed = written(lines.drop("line"))
+    lines = _lines(docs, id_col, text_col)
     banded = written(_signed(lines))
     bands = banded.select("id", F.explode("bands").alias("band"))
-    lead = bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band", "lo")
-    shared = written(bands.join(lead, "band"))
+    lead = written(bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band", "lo"))
+    shared = written(_among(bands, "band", lead.select("band")).join(lead.select("band"), "band").select("band", "id"))
     removed(banded)
-    tried = written(shared.where("id <> lo").select(F.least("id", "lo").alias("a"), F.greatest("id", "lo").alias("b")).distinct())
-    links = written(_verified(tried, lines, num, den))
+    texts = written(_among(lines.select("id", "line"), "id", shared.select("id")).join(shared.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
+    tried = written(_pairs(shared, lead))
+    links = written(_verified(tried, texts, num, den))
     found = written(components(links))
-    # lines that are still apart from their band's leader meet a second leader among them
-    of = found.select(F.col("node").alias("id"), "component")
-    comp = shared.join(of, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    comp = comp.join(of.toDF("lo", "lead"), "lo", "left").withColumn("lead", F.coalesce("lead", "lo"))
-    apart = written(comp.where("c <> lead").select("band", "id"))
-    mask = F.lit(MASKS[0]).cast("long")
-    second = apart.groupBy("band").agg(F.min(F.col("id").bitwiseXOR(mask)).bitwiseXOR(mask).alias("lo"))
-    more = apart.join(second, "band").where("id <> lo").select(F.least("id", "lo").alias("a"), F.greatest("id", "lo").alias("b")).distinct()
-    more = written(more.join(tried, ["a", "b"], "left_anti"))
+
+    def open_bands(rows: DataFrame) -> DataFrame:
+        """band, id, c of the bands that hold lines of two components."""
+        comp = rows.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+        mixed = comp.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo < hi AND k > 2").select("band")
+        return written(comp.join(mixed, "band"))
+
+    # a second leader, from the lines that are still apart from the first, meets all lines of other components
+    apart = open_bands(shared)
+    first = apart.join(lead, "band").where("id = lo").select("band", F.col("c").alias("main"))
+    mask = F.lit(MASKS[0])
+    second = apart.join(first, "band").where("c <> main").groupBy("band").agg(F.min(F.col("id").bitwiseXOR(mask)).bitwiseXOR(mask).alias("lo"))
+    of = second.join(apart.select("band", F.col("id").alias("lo"), F.col("c").alias("main")), ["band", "lo"])
+    more = written(_pairs(apart.join(of.select("band", "main"), "band").where("c <> main"), second).join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        tried = tried.union(more)
-        links = links.union(written(_verified(more, lines, num, den)))
+        tried, links = tried.union(more), links.union(written(_verified(more, texts, num, den)))
         found = written(components(links))
     # all other pairs of a band that are in two components
-    of = found.select(F.col("node").alias("id"), "component")
-    comp = shared.join(of, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    mixed = comp.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo < hi AND k > 2").select("band")
-    left = written(comp.join(mixed, "band"))
+    left = open_bands(apart.select("band", "id"))
     if not left.isEmpty():
-        marks = _marked(_texts(left.select("id"), lines))
+        marks = _marked(texts.join(left.select("id").distinct(), "id", "left_semi"))
         left = written(left.join(marks, "id"))
         differ = (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c"))
         rest = left.alias("a").join(left.alias("b"), differ & _near(num, den)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
         rest = written(rest.join(tried, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
-            links = links.union(written(_verified(rest, lines, num, den)))
+            links = links.union(written(_verified(rest, texts, num, den)))
             found = written(components(links))
+    signed = lines.drop("line")
     # the occurrences that go
     at = F.struct("doc_id", "rid", "no")
     first = signed.groupBy("id").agg(F.min(at).alias("first"), F.count("*").alias("k"))
