@@ -1,10 +1,10 @@
 """Fuzzy line deduplication with DataFrame functions alone.
 
 Lines are compared by their sets of character shingles. MinHash signatures come from all shingles, banding proposes
-pairs, and the exact Jaccard similarity decides. The lines of a band are compared with its leader, and those that are
-still apart from it with a second one, which joins most groups without their pairs. Then every pair of a band that is
-still in two components is compared, but for pairs whose shingle bitmaps alone rule the similarity out. Connected lines
-are one component, of which the first occurrence in the corpus stays.
+pairs, and the exact Jaccard similarity decides. The lines of a band are compared with its leader, which joins most
+groups without their pairs. Lines of bands that then hold several components are signed with more minima and banded
+at growing depth: the deeper a band, the more alike its lines, until those of a pair lead their own. So every step
+makes a number of pairs in proportion to the lines, however large a group is. Connected lines are one component, of which the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -18,17 +18,25 @@ from storyloom.llm.components import components
 from storyloom.llm.shared import removed, written
 
 SHINGLE = 8
-#: Shingles that one row hashes at once, and 64-bit words of a line's bitmap of shingles.
-WINDOW, WORDS = 4, 32
+#: Shingles that one row hashes at once.
+WINDOW = 4
 #: Nine minima are the points of the affine plane of order three and its twelve lines are the bands, so any five equal
 #: minima hold a band: a pair at similarity 0.8 shares one with probability 0.99.
 MINIMA = 9
 BANDS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6)]
+#: For lines that are still apart: more minima, in TREES bands, each at several depths of minima.
+MORE, TREES, DEPTHS = 12, 12, (4, 6, 9)
 _draw = random.Random(20240607)
 #: Each minimum is over one of three rotations of the shingle hashes, XOR a mask; the masks of a rotation differ in their
-#: first two bits, so that its minima come from different quarters of the hashes.
+#: first bits, so that its minima come from different parts of the hashes.
 TURNS = [0, 21, 43]
-MASKS = [(k // 3 << 62 | _draw.getrandbits(62)) - (k // 3 >> 1 << 64) for k in range(MINIMA)]
+def _masks(n: int) -> list[int]:
+    """``n`` signed 64-bit masks, for each rotation in turn, whose first four bits are spread evenly."""
+    firsts = [k // 3 * 16 // max(1, n // 3) for k in range(n)]
+    return [(f << 60 | _draw.getrandbits(60)) - (f >> 3 << 64) for f in firsts]
+
+
+MASKS, MORE_MASKS = _masks(MINIMA), _masks(MORE)
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -37,7 +45,7 @@ def _row_key(id_col: str, text_col: str) -> Column:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, rid (names a row's key and text), no, line, id (names the line): all lines but blank ones."""
-    each = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _row_key(id_col, text_col).alias("rid"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
+    each = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("rid"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
     return each.where("trim(BOTH ' \t\r\x0b\x0c' FROM line) <> ''").withColumn("id", F.xxhash64("line"))
 
 
@@ -51,33 +59,27 @@ def _hash(place: str) -> str:
     return f"xxhash64(substring(b, 4 * {place} + 1, {4 * SHINGLE}))"
 
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """id, bands of the distinct lines: hashes of three MinHash values each. A row hashes WINDOW shingles and takes
+def _minima(lines: DataFrame, masks: list[int]) -> DataFrame:
+    """id, m0, m1, ... of the distinct lines: a MinHash value for each mask. A row hashes WINDOW shingles and takes
     their minima in one generated expression, of a size that is still compiled; aggregates combine the rows of a line."""
     rows = _placed(lines).select("id", "b", "last", F.explode(F.expr(f"sequence(0, last, {WINDOW})")).alias("p"))
     names = [f"h{i}" for i in range(WINDOW)]
     hashes = rows.select("id", *[F.expr(_hash(f"least(p + {i}, last)")).alias(h) for i, h in enumerate(names)])
     turned = hashes.select("*", *[F.expr(f"shiftleft({h}, {t}) | shiftrightunsigned({h}, {64 - t})").alias(f"{h}_{t}") for h in names for t in TURNS[1:]])
     each = lambda k: (h if k % 3 == 0 else f"{h}_{TURNS[k % 3]}" for h in names)
-    lows = [F.expr("least(" + ", ".join(f"{h} ^ CAST('{m}' AS BIGINT)" for h in each(k)) + ")").alias(f"m{k}") for k, m in enumerate(MASKS)]
-    signed = turned.select("id", *lows).groupBy("id").agg(*[F.min(f"m{k}").alias(f"m{k}") for k in range(MINIMA)])
-    bands = F.array(*[F.xxhash64(F.lit(b), *(f"m{k}" for k in of)) for b, of in enumerate(BANDS)])
-    return signed.select("id", bands.alias("bands"))
+    lows = [F.expr("least(" + ", ".join(f"{h} ^ CAST('{m}' AS BIGINT)" for h in each(k)) + ")").alias(f"m{k}") for k, m in enumerate(masks)]
+    return turned.select("id", *lows).groupBy("id").agg(*[F.min(f"m{k}").alias(f"m{k}") for k in range(len(masks))])
 
 
-def _marked(texts: DataFrame) -> DataFrame:
-    """id, n (the number of shingles, with repeats), w0, w1, ...: a bitmap of the shingles."""
-    cut = _placed(texts).select("id", "b", F.explode(F.expr("sequence(0, last)")).alias("p")).select("id", F.expr(_hash("p")).alias("h"))
-    bit = F.expr("shiftleft(1L, CAST(shiftrightunsigned(h, 58) AS INT))")
-    words = cut.groupBy("id", F.expr(f"CAST(h & {WORDS - 1} AS INT)").alias("word")).agg(F.bit_or(bit).alias("bits"), F.count("*").alias("k"))
-    return words.groupBy("id").agg(F.sum("k").alias("n"), *[F.max(F.expr(f"CASE WHEN word = {k} THEN bits END")).alias(f"w{k}") for k in range(WORDS)]).na.fill(0)
+def _signed(lines: DataFrame) -> DataFrame:
+    """id, bands: hashes of three MinHash values each."""
+    return _minima(lines, MASKS).select("id", F.array(*[F.xxhash64(F.lit(b), *(f"m{k}" for k in of)) for b, of in enumerate(BANDS)]).alias("bands"))
 
 
-def _near(num: int, den: int) -> Column:
-    """Whether the bitmaps of a and b let their sets be similar enough: bits that differ stand for shingles that only
-    one set has, which are at most (den - num) / (den + num) of both sizes together."""
-    apart = sum((F.bit_count(F.col(f"a.w{k}").bitwiseXOR(F.col(f"b.w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("a.w0").bitwiseXOR(F.col("b.w0"))))
-    return apart * (num + den) <= (F.col("a.n") + F.col("b.n")) * (den - num)
+def _deeper(lines: DataFrame) -> DataFrame:
+    """id, band: TREES bands at each of DEPTHS for every line."""
+    each = [F.xxhash64(F.lit(t), F.lit(d), *(f"m{(t + k) % MORE}" for k in range(d))) for t in range(TREES) for d in DEPTHS]
+    return _minima(lines, MORE_MASKS).select("id", F.explode(F.array(*each)).alias("band"))
 
 
 def _among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
@@ -89,13 +91,18 @@ def _among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of line ids that are similar enough. Texts are shuffled rather than their sets, which are many times as large."""
+    """The pairs (a, b) of line ids that are similar enough. Texts are shuffled rather than their sets, which are many
+    times as large. Lambdas hand on what they are given, so each line is encoded and each set made once."""
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-    # the inner lambda takes the encoded line from the outer one, which hands it on without a copy for each shingle
     hashes = f"transform(sequence(0, greatest(0, CAST(length(v) / 4 AS INT) - {SHINGLE})), p -> {_hash('p').replace('(b,', '(v,')})"
-    sets = [F.expr(f"transform(array(encode({c}, 'UTF-32')), v -> array_distinct({hashes}))[0]").alias(c) for c in "xy"]
-    both = both.select("a", "b", *sets).withColumn("same", F.size(F.array_intersect("x", "y")))
-    return both.where((F.col("same") > 0) & (F.col("same") * den >= (F.size("x") + F.size("y") - F.col("same")) * num)).select("a", "b")
+    x, y = (f"transform(array(encode({c}, 'UTF-32')), v -> array_distinct({hashes}))[0]" for c in "xy")
+    alike = f"same > 0 AND same * {den} >= (size(s.x) + size(s.y) - same) * {num}"
+    return both.where(F.expr(f"exists(array(named_struct('x', {x}, 'y', {y})), s -> exists(array(size(array_intersect(s.x, s.y))), same -> {alike}))")).select("a", "b")
+
+
+def _leaders(bands: DataFrame) -> DataFrame:
+    """band, lo: the smallest line of each band that has others too."""
+    return bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band", "lo")
 
 
 def _pairs(rows: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -103,64 +110,57 @@ def _pairs(rows: DataFrame, leaders: DataFrame) -> DataFrame:
     return rows.join(leaders, "band").where("id <> lo").select(F.least("id", "lo").alias("a"), F.greatest("id", "lo").alias("b")).distinct()
 
 
+def _place() -> Column:
+    """An occurrence's place in the corpus as one number, which hash aggregates can keep the smallest of: the document's
+    key (null before all others), half of the row's hash, the line's number."""
+    key = F.coalesce(F.col("doc_id").cast("decimal(20,0)") + F.expr("9223372036854775808BD"), F.lit(0).cast("decimal(20,0)"))
+    rest = F.expr("shiftrightunsigned(rid, 33) * 2147483648 + no").cast("decimal(20,0)")
+    return (key * F.expr("4611686018427387904BD") + rest).cast("decimal(38,0)")
+
+
 def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with duplicate lines taken out of the text, and n_lines, n_removed (0 for a null text).
 
     Of lines whose shingle sets have Jaccard similarity num / den or more, directly or through others, the first
     stays: that of the smallest document key, then of the smallest row hash, then the first in the text. A line under
     eight characters has itself as its only shingle, so only its copies go; blank lines stay. Rows equal in key and text
-    count as one document and keep the same lines; a null key comes before all others. Banding finds a pair at
-    similarity 0.8 with probability 0.99 and more above it; lines and shingles are compared as 64-bit hashes. Columns
+    count as one document and keep the same lines; keys are whole numbers, and null comes before all others. Banding finds
+    a pair at similarity 0.8 with probability 0.99 and more above it; lines and shingles are compared as 64-bit hashes. Columns
     n_lines and n_removed in ``docs`` are replaced.
     """
     lines = _lines(docs, id_col, text_col)
+    occurrences = written(lines.drop("line"))
+    first = written(occurrences.groupBy("id").agg(F.min(_place()).alias("first"), F.count("*").alias("k")))
     banded = written(_signed(lines))
     bands = banded.select("id", F.explode("bands").alias("band"))
-    lead = written(bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band", "lo"))
+    lead = written(_leaders(bands))
     shared = written(_among(bands, "band", lead.select("band")).join(lead.select("band"), "band").select("band", "id"))
     removed(banded)
-    texts = written(_among(lines.select("id", "line"), "id", shared.select("id")).join(shared.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
+    # the text of a line is fetched once, from its first occurrence
+    own = F.xxhash64("id", "doc_id", "rid", "no")
+    at = written(first.join(shared.select("id").distinct(), "id").select("id", "first").join(occurrences, "id").where(_place() == F.col("first")).select(own.alias("own")))
+    texts = written(_among(lines.withColumn("own", own), "own", at.select("own")).join(at, "own").dropDuplicates(["id"]).select("id", "line"))
     tried = written(_pairs(shared, lead))
     links = written(_verified(tried, texts, num, den))
     found = written(components(links))
-
-    def open_bands(rows: DataFrame) -> DataFrame:
-        """band, id, c of the bands that hold lines of two components."""
-        comp = rows.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-        mixed = comp.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo < hi AND k > 2").select("band")
-        return written(comp.join(mixed, "band"))
-
-    # a second leader, from the lines that are still apart from the first, meets all lines of other components
-    apart = open_bands(shared)
-    first = apart.join(lead, "band").where("id = lo").select("band", F.col("c").alias("main"))
-    mask = F.lit(MASKS[0])
-    second = apart.join(first, "band").where("c <> main").groupBy("band").agg(F.min(F.col("id").bitwiseXOR(mask)).bitwiseXOR(mask).alias("lo"))
-    of = second.join(apart.select("band", F.col("id").alias("lo"), F.col("c").alias("main")), ["band", "lo"])
-    more = written(_pairs(apart.join(of.select("band", "main"), "band").where("c <> main"), second).join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        tried, links = tried.union(more), links.union(written(_verified(more, texts, num, den)))
+    # lines of bands with several components meet the leaders of deeper bands
+    of = found.select(F.col("node").alias("id"), "component")
+    comp = shared.join(of, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    mixed = comp.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo < hi AND k > 2").select("band")
+    apart = written(comp.join(mixed, "band").select("id").distinct())
+    if not apart.isEmpty():
+        deep = written(_deeper(texts.join(apart, "id", "left_semi")))
+        more = _pairs(deep, _leaders(deep)).join(tried, ["a", "b"], "left_anti")
+        more = more.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+        links = links.union(written(_verified(more, texts, num, den)))
         found = written(components(links))
-    # all other pairs of a band that are in two components
-    left = open_bands(apart.select("band", "id"))
-    if not left.isEmpty():
-        marks = _marked(texts.join(left.select("id").distinct(), "id", "left_semi"))
-        left = written(left.join(marks, "id"))
-        differ = (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c"))
-        rest = left.alias("a").join(left.alias("b"), differ & _near(num, den)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-        rest = written(rest.join(tried, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            links = links.union(written(_verified(rest, texts, num, den)))
-            found = written(components(links))
-    signed = lines.drop("line")
     # the occurrences that go
-    at = F.struct("doc_id", "rid", "no")
-    first = signed.groupBy("id").agg(F.min(at).alias("first"), F.count("*").alias("k"))
-    first = written(first.join(found.withColumnRenamed("node", "id"), "id", "left"))
-    of = first.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("kept"))
-    kept = first.where("component IS NOT NULL").join(of, "component").select("id", "kept").union(first.where("component IS NULL AND k > 1").select("id", "first"))
-    gone = signed.select("id", "rid", "no", at.alias("at")).join(kept, "id").where("at <> kept OR (at <=> kept) = false").select("rid", "no").distinct()
+    whole_first = first.join(found.withColumnRenamed("node", "id"), "id", "left")
+    kept = whole_first.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("kept"))
+    kept = written(whole_first.where("component IS NOT NULL OR k > 1").join(kept, "component", "left").select("id", F.coalesce("kept", "first").alias("kept")))
+    gone = _among(occurrences, "id", kept.select("id")).join(kept, "id").where(_place() != F.col("kept")).select("rid", "no").distinct()
     lost = gone.groupBy("rid").agg(F.collect_list("no").alias("__lost")).withColumnRenamed("rid", "__rid")
-    whole = docs.drop("n_lines", "n_removed").withColumn("__rid", _row_key(id_col, text_col)).join(lost, "__rid", "left").drop("__rid").withColumn("__lines", F.split(text_col, "\n"))
+    whole = docs.drop("n_lines", "n_removed").withColumn("__rid", _row_key(id_col, text_col)).join(lost.hint("shuffle_hash"), "__rid", "left").drop("__rid").withColumn("__lines", F.split(text_col, "\n"))
     kept_text = "array_join(transform(array_except(sequence(0, size(__lines) - 1), __lost), i -> element_at(__lines, i + 1)), '\\n')"
     size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0)
     out = whole.withColumns({text_col: F.when(F.col("__lost").isNull(), F.col(text_col)).otherwise(F.expr(kept_text)), "n_lines": size("__lines"), "n_removed": size("__lost")})

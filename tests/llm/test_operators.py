@@ -338,8 +338,8 @@ def test_line_dedup(spark, docs, texts, empty):
         got.setdefault(r.doc_id, r)
     assert got[0].text == rows[0][1] and got[0].n_removed == 0
     for i in range(1, 12):
-        assert got[i].text == f"{line(i)}\nshort\n", i
-        assert (got[i].n_lines, got[i].n_removed) == (5, 2)
+        assert got[i].text == f"{line(i)}\n", i
+        assert (got[i].n_lines, got[i].n_removed) == (5, 3)
     assert got[50].text is None and got[51].text == "" and got[52].n_removed == 0 and got[53].n_removed == 1
     assert got[54].text == line(300)
     out = linededup.dedup_lines(docs)
@@ -347,7 +347,7 @@ def test_line_dedup(spark, docs, texts, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
-def kept_lines(lines, least=20):
+def kept_lines(lines):
     """By brute force: the lines that stay of documents of one line each, in order."""
     sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in lines]
     root = list(range(len(lines)))
@@ -376,6 +376,31 @@ def test_line_dedup_of_many_clusters_in_a_band(spark):
     assert line_rows(spark, lines) == want
 
 
+def test_line_dedup_of_one_dense_group(spark):
+    rng, frame = random.Random(8), prose(60, 88).split()
+    lines = []
+    for _ in range(150):
+        own = list(frame)
+        for i in rng.sample(range(60), 2):
+            own[i] = f"{rng.getrandbits(24):x}"
+        other = list(own)
+        other[rng.randrange(60)] = f"{rng.getrandbits(24):x}"
+        lines += [" ".join(own), " ".join(other)]
+    want, got = kept_lines(lines), line_rows(spark, lines)
+    assert want.count("") > 250
+    assert got.count("") >= 0.95 * want.count("")
+    assert got[0] == lines[0]
+
+
+def test_short_and_blank_lines(spark):
+    assert line_rows(spark, ["a\na\n\n \t\n\n}", "}\nab\na", " \n\n"]) == ["a\n\n \t\n\n}", "ab", " \n\n"]
+
+
+def test_one_very_long_line(spark):
+    long = prose(40_000, 99)
+    assert line_rows(spark, [long, edited(long, 3, 40), prose(40_000, 98)])[1] == ""
+
+
 def test_line_dedup_of_lines_with_few_words(spark):
     rng = random.Random(9)
     lines = []
