@@ -3,7 +3,8 @@
 Lines are compared by their sets of character shingles. MinHash signatures come from all shingles, banding proposes
 pairs, and the exact Jaccard similarity decides. The lines of a band are compared with its leader, which joins most
 groups without their pairs. Lines of bands that then hold several components are signed with more minima and banded
-at growing depth: the deeper a band, the more alike its lines, until those of a pair lead their own. So every step
+at growing depth, with several leaders each: the deeper a band, the more alike its lines, until those of a pair lead
+their own. So every step
 makes a number of pairs in proportion to the lines, however large a group is. Connected lines are one component, of which the first occurrence stays.
 """
 
@@ -24,19 +25,19 @@ WINDOW = 4
 #: minima hold a band: a pair at similarity 0.8 shares one with probability 0.99.
 MINIMA = 9
 BANDS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6)]
-#: For lines that are still apart: more minima, in TREES bands, each at several depths of minima.
-MORE, TREES, DEPTHS = 12, 12, (4, 6, 9)
-_draw = random.Random(20240607)
+#: For lines that are still apart: more minima, in TREES bands, each at several depths of minima. A deeper band has LEADERS
+#: leaders, the smallest lines under as many masks. Rounds with new masks end when one links fewer than YIELD of the lines.
+MORE, TREES, DEPTHS, LEADERS, YIELD = 12, 12, (4, 6, 9), 2, 0.1
 #: Each minimum is over one of three rotations of the shingle hashes, XOR a mask; the masks of a rotation differ in their
 #: first bits, so that its minima come from different parts of the hashes.
 TURNS = [0, 21, 43]
-def _masks(n: int) -> list[int]:
-    """``n`` signed 64-bit masks, for each rotation in turn, whose first four bits are spread evenly."""
-    firsts = [k // 3 * 16 // max(1, n // 3) for k in range(n)]
-    return [(f << 60 | _draw.getrandbits(60)) - (f >> 3 << 64) for f in firsts]
 
 
-MASKS, MORE_MASKS = _masks(MINIMA), _masks(MORE)
+def _masks(n: int, seed: int) -> list[int]:
+    """``n`` signed 64-bit masks, for each rotation in turn, whose first four bits are spread evenly."""
+    draw = random.Random(seed)
+    firsts = [(k // 3 * 16 // max(1, n // 3) + seed) % 16 for k in range(n)]
+    return [(f << 60 | draw.getrandbits(60)) - (f >> 3 << 64) for f in firsts]
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -73,13 +74,13 @@ def _minima(lines: DataFrame, masks: list[int]) -> DataFrame:
 
 def _signed(lines: DataFrame) -> DataFrame:
     """id, bands: hashes of three MinHash values each."""
-    return _minima(lines, MASKS).select("id", F.array(*[F.xxhash64(F.lit(b), *(f"m{k}" for k in of)) for b, of in enumerate(BANDS)]).alias("bands"))
+    return _minima(lines, _masks(MINIMA, 0)).select("id", F.array(*[F.xxhash64(F.lit(b), *(f"m{k}" for k in of)) for b, of in enumerate(BANDS)]).alias("bands"))
 
 
-def _deeper(lines: DataFrame) -> DataFrame:
+def _deeper(lines: DataFrame, turn: int) -> DataFrame:
     """id, band: TREES bands at each of DEPTHS for every line."""
     each = [F.xxhash64(F.lit(t), F.lit(d), *(f"m{(t + k) % MORE}" for k in range(d))) for t in range(TREES) for d in DEPTHS]
-    return _minima(lines, MORE_MASKS).select("id", F.explode(F.array(*each)).alias("band"))
+    return _minima(lines, _masks(MORE, turn)).select("id", F.explode(F.array(*each)).alias("band"))
 
 
 def _among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
@@ -100,9 +101,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFra
     return both.where(F.expr(f"exists(array(named_struct('x', {x}, 'y', {y})), s -> exists(array(size(array_intersect(s.x, s.y))), same -> {alike}))")).select("a", "b")
 
 
-def _leaders(bands: DataFrame) -> DataFrame:
-    """band, lo: the smallest line of each band that has others too."""
-    return bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band", "lo")
+def _leaders(bands: DataFrame, masks: tuple[int, ...] = (0,)) -> DataFrame:
+    """band, lo: of each band with several lines the one that is smallest under each mask."""
+    least = [F.min(F.expr(f"id ^ {m}L")).alias(f"x{k}") for k, m in enumerate(masks)]
+    lead = bands.groupBy("band").agg(*least, F.count("*").alias("k")).where("k > 1")
+    names = F.array(*[F.expr(f"x{k} ^ {m}L") for k, m in enumerate(masks)])
+    return lead.select("band", F.explode(F.array_distinct(names)).alias("lo"))
 
 
 def _pairs(rows: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -144,16 +148,23 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "d
     links = written(_verified(tried, texts, num, den))
     found = written(components(links))
     # lines of bands with several components meet the leaders of deeper bands
-    of = found.select(F.col("node").alias("id"), "component")
-    comp = shared.join(of, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    mixed = comp.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo < hi AND k > 2").select("band")
-    apart = written(comp.join(mixed, "band").select("id").distinct())
-    if not apart.isEmpty():
-        deep = written(_deeper(texts.join(apart, "id", "left_semi")))
-        more = _pairs(deep, _leaders(deep)).join(tried, ["a", "b"], "left_anti")
+    rows, turn = shared, 0
+    while True:
+        of, turn = found.select(F.col("node").alias("id"), "component"), turn + 1
+        comp = rows.join(of, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+        mixed = comp.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo < hi AND k > 2").select("band")
+        rows = written(comp.join(mixed, "band").select("band", "id"))
+        apart = rows.select("id").distinct()
+        deep = written(_deeper(texts.join(apart, "id", "left_semi"), turn))
+        more = _pairs(deep, _leaders(deep, tuple(_masks(LEADERS, turn)))).join(tried, ["a", "b"], "left_anti")
         more = more.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-        links = links.union(written(_verified(more, texts, num, den)))
-        found = written(components(links))
+        new = written(_verified(more, texts, num, den))
+        n = new.count()
+        if n:
+            links = links.union(new)
+            found = written(components(links))
+        if n <= YIELD * apart.count():
+            break
     # the occurrences that go
     whole_first = first.join(found.withColumnRenamed("node", "id"), "id", "left")
     kept = whole_first.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("kept"))
