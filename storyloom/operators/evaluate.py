@@ -114,9 +114,9 @@ def token_cost(usage: DataFrame, prices: dict[str, tuple[float, float]] = PRICES
     return out
 
 
-def extraction_metrics(characters: DataFrame, facts: DataFrame, gold_characters: DataFrame, gold_facts: DataFrame) -> DataFrame:
+def extraction_metrics(characters: DataFrame, facts: DataFrame, gold_characters: DataFrame, gold_facts: DataFrame, relations: DataFrame | None = None, gold_relations: DataFrame | None = None) -> DataFrame:
     """For each case, characters' precision, recall and F1 by name or alias, and the recall of facts: half of a gold
-    fact's first five words are in one fact. characters: case, name, aliases; facts: case, content; gold: case, name / case, content."""
+    fact's first five words are in one fact. With relations also their recall (``relation_recall``). characters: case, name, aliases; facts: case, content; gold: case, name / case, content."""
     names = characters.select("case", "name", F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("all"))
     spelt = names.select("case", "name", F.explode("all").alias("spelt"))
     hit = gold_characters.withColumnRenamed("name", "gold").join(spelt, (gold_characters["case"] == spelt["case"]) & (F.col("gold") == F.col("spelt"))).select(spelt["case"], "gold", spelt["name"])
@@ -126,7 +126,23 @@ def extraction_metrics(characters: DataFrame, facts: DataFrame, gold_characters:
     known = with_any.select("case", "gold").distinct().groupBy("case").agg(F.count("*").alias("known"))
     recall = five.groupBy("case").agg(F.count("*").alias("facts")).join(known, "case", "left").fillna(0).select("case", ratio("known", "facts").alias("fact_recall"))
     out = n.withColumns({"precision": ratio("right", "found"), "recall": ratio("matched", "gold")}).withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
-    return out.select("case", "precision", "recall", "f1").join(recall, "case", "full_outer")
+    scored = out.select("case", "precision", "recall", "f1").join(recall, "case", "full_outer")
+    return scored if relations is None else scored.join(relation_recall(relations, gold_relations), "case", "full_outer")
+
+
+def relation_recall(relations: DataFrame, gold: DataFrame) -> DataFrame:
+    """Case, relation_recall: the share of gold relations (case, char_a, char_b) of which both names hold, or are held
+    in, the names of one extracted relation (case, char_a, char_b), in this order.
+
+    Names are matched once for each distinct pair of them, so relations meet only where their first names do.
+    """
+    g = gold.select("case", F.monotonically_increasing_id().alias("gid"), F.col("char_a").alias("ga"), F.col("char_b").alias("gb"))
+    e = relations.select("case", F.col("char_a").alias("ea"), F.col("char_b").alias("eb")).distinct()
+    within = lambda a, b: F.contains(a, b) | F.contains(b, a)
+    firsts = g.select("case", "ga").distinct().join(e.select("case", "ea").distinct(), "case").where(within(F.col("ga"), F.col("ea")))
+    known = g.join(firsts, ["case", "ga"]).join(e, ["case", "ea"]).where(within(F.col("gb"), F.col("eb"))).select("case", "gid").distinct()
+    n = g.groupBy("case").agg(F.count("*").alias("gold")).join(known.groupBy("case").agg(F.count("*").alias("matched")), "case", "left").fillna(0)
+    return n.select("case", ratio("matched", "gold").alias("relation_recall"))
 
 
 def gold_annotations(expected: DataFrame) -> DataFrame:

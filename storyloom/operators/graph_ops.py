@@ -96,6 +96,17 @@ def remove_sources(g: Graph, sources: DataFrame) -> Graph:
     return _without(g, "source_id", sources.select("source_id").distinct(), True)
 
 
+def removed_counts(before: Graph, after: Graph) -> DataFrame:
+    """M1: work_id, vertices, edges: how many of each a removal has taken out."""
+    counted = None
+    for sign, g in ((1, before), (-1, after)):
+        for name, t in g.tables().items():
+            kind = "vertices" if name in VERTICES else "edges"
+            one = t.groupBy("work_id").agg((F.count("*") * sign).alias("n")).withColumn("kind", F.lit(kind))
+            counted = one if counted is None else counted.union(one)
+    return counted.groupBy("work_id").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("vertices", "edges")))
+
+
 def rebuild_from_canonical(g: Graph, sources: DataFrame, canonical_id: str) -> Graph:
     """M2: without what comes from inactive sources (source_id, status) other than the canonical one."""
     return remove_sources(g, sources.where((F.col("status") == "inactive") & (F.col("source_id") != canonical_id)))
@@ -124,6 +135,15 @@ def mark_intentional(edges: DataFrame, marks: DataFrame) -> DataFrame:
     return out.withColumns({"confirmed_intentional": F.when(hit.isNotNull(), True).otherwise(F.col("confirmed_intentional")), "confirmation_id": F.coalesce(hit, "confirmation_id")}).select(edges.columns)
 
 
+def resolve_trait_violations(g: Graph, marks: DataFrame) -> Graph:
+    """M6: the graph with the VIOLATES_TRAIT edges into the given traits (work_id, id, confirmation_id) marked as intended."""
+    m = marks.groupBy("work_id", F.col("id").alias("to_id")).agg(F.min("confirmation_id").alias("_by"))
+    e = g.violates_trait.join(m, ["work_id", "to_id"], "left")
+    hit = F.col("_by").isNotNull()
+    done = e.withColumns({"confirmed_intentional": F.when(hit, True).otherwise(F.col("confirmed_intentional")), "confirmation_id": F.coalesce("_by", "confirmation_id")})
+    return replace(g, violates_trait=done.select(g.violates_trait.columns))
+
+
 def subgraph(g: Graph, ids: DataFrame) -> Graph:
     """The vertices with these ids (work_id, id) and the edges that touch one at either end."""
     ids = ids.select("work_id", "id").distinct()

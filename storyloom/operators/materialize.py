@@ -48,11 +48,29 @@ def time_axes(events: DataFrame, start: int = 0) -> DataFrame:
     return out.withColumns({"is_linear": ~jump, "story_order": F.when(~jump, F.col("discourse_order"))})
 
 
-def named_deaths(facts: DataFrame, names: DataFrame) -> DataFrame:
-    """The first known name in each fact that tells of a death. Facts without such a word never meet the names."""
+def named_deaths(facts: DataFrame, chars: DataFrame) -> DataFrame:
+    """For each fact that tells of a death the first character, in order of seq, of whom a name or alias is in it:
+    work_id, fact_id, cid, name (canonical), content, seq.
+
+    Facts without a word of death never meet the names, and a name meets only facts that hold its first character.
+    facts: work_id, id, content, seq; chars: work_id, id, name, aliases, seq.
+    """
     told = facts.where(F.rlike("content", F.lit(DEATH))).select("work_id", F.col("id").alias("fact_id"), "content", "seq")
-    hit = told.join(names, "work_id").where(F.contains("content", "name"))
-    return hit.groupBy("work_id", "fact_id").agg(F.min_by(F.struct("cid", "name", "content", "seq"), "name").alias("x")).select("work_id", "fact_id", "x.*")
+    spelt = chars.select("work_id", F.col("id").alias("cid"), "name", F.col("seq").alias("rank"), F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("spelt")).where("spelt <> ''")
+    initial = told.withColumn("initial", F.explode(F.array_distinct(F.split("content", ""))))
+    hit = initial.join(spelt.withColumn("initial", F.substring("spelt", 1, 1)), ["work_id", "initial"]).where(F.contains("content", "spelt"))
+    return hit.groupBy("work_id", "fact_id").agg(F.min_by(F.struct("cid", "name", "content", "seq"), F.struct("rank", "name", "cid")).alias("x")).select("work_id", "fact_id", "x.*")
+
+
+def conflict_confirmations(conflicts: DataFrame) -> DataFrame:
+    """Conflicts of sources (work_id, topic, conflicting_values, descriptions) as rows for ``create_confirmations``: one
+    for each, which asks for the source that holds, with the text of each source in order as excerpts."""
+    excerpts = F.transform(F.array_sort("descriptions"), lambda d: F.struct(d["chunk"].alias("source_name"), F.lit("").alias("source_location"), d["v"].alias("text")))
+    return conflicts.select(
+        "work_id", _id("confirmation-", "work_id", "topic").alias("id"), F.lit("source_conflict").alias("confirmation_type"),
+        F.concat(F.lit("소스 충돌: 'fact:"), "topic", F.lit("'의 정본을 선택하세요.")).alias("question"), F.concat(F.lit("충돌 값: "), F.array_join("conflicting_values", ", ")).alias("context_summary"),
+        excerpts.alias("source_excerpts"), F.array().cast("array<string>").alias("related_entity_ids"),
+    )
 
 
 def link_facts(knowledge: DataFrame, facts: DataFrame, least: float = 0.5) -> DataFrame:
@@ -107,8 +125,12 @@ def materialize(spark: SparkSession, n: dict[str, DataFrame], existing: Graph |
     ev = time_axes(n["events"]).withColumn("id", _id("event-", "work_id", "description", "location")).withColumn("chunk_id", F.col("source_chunk_id"))
     dead_events = resolved(ev.where(F.col("status_char").isNotNull() & ((F.col("event_type") == "death") | F.rlike("description", F.lit(DEATH)))), names, "status_char", "from_id")
     at = F.coalesce(F.nullif("story_order", F.lit(0.0)), F.nullif("discourse_order", F.lit(0.0)), F.lit(0.0))
-    by_fact = named_deaths(facts, names)
-    statuses = dead_events.select("work_id", "from_id", F.col("id").alias("to_id"), at.alias("story_order"), "discourse_order", "chunk_id", "seq").unionByName(by_fact.select("work_id", F.col("cid").alias("from_id"), F.col("fact_id").alias("to_id"), F.lit(0.0).alias("story_order"), F.lit(0.0).alias("discourse_order"), F.lit(None).cast("string").alias("chunk_id"), "seq")).withColumn("status_type", F.lit("dead"))
+    by_fact = named_deaths(facts, chars)
+    told = ev.groupBy("work_id").agg(F.count("*").alias("_n"))
+    nth = F.row_number().over(Window.partitionBy("work_id").orderBy("seq", "fact_id"))
+    by_fact = by_fact.join(told, "work_id", "left").withColumns({"id": _id("event-", "work_id", "fact_id", F.lit("death")), "story_order": F.lit(0.0), "discourse_order": F.round((F.coalesce("_n", F.lit(0)) + nth) * 0.1, 4)})
+    deaths = by_fact.select("work_id", "id", F.col("content").alias("description"), F.lit("death").alias("event_type"), "story_order", "discourse_order", F.lit(True).alias("is_linear"), F.array("name").alias("characters_involved"), "seq")
+    statuses = dead_events.select("work_id", "from_id", F.col("id").alias("to_id"), at.alias("story_order"), "discourse_order", "chunk_id", "seq").unionByName(by_fact.select("work_id", F.col("cid").alias("from_id"), F.col("id").alias("to_id"), "story_order", "discourse_order", F.lit(None).cast("string").alias("chunk_id"), "seq")).withColumn("status_type", F.lit("dead"))
     tr = resolved(n["traits"], names, "character_name", "from_id").withColumns({"id": _id("trait-", "work_id", "from_id", "key", "value", "seq"), "is_immutable": F.rlike(F.concat_ws(" ", "key", "value"), F.lit(IMMUTABLE)), "chunk_id": F.col("source_chunk_id"), "category": F.col("category_hint")})
     feels = resolved(resolved(n["emotions"], names, "from_char", "from_id"), names, "to_char", "to_id").withColumns({"intensity": F.lit(0.5), "discourse_order": F.round(F.row_number().over(Window.partitionBy("work_id").orderBy("seq")) * 0.1, 4)}).withColumn("story_order", F.col("discourse_order"))
     know = resolved(n["knowledge"], names, "character_name", "from_id")
@@ -125,7 +147,7 @@ def materialize(spark: SparkSession, n: dict[str, DataFrame], existing: Graph |
     full = facts.select("work_id", "id", "content", "category", "is_true", "is_secret", "established_order", "chunk_id", "seq").unionByName(new_facts, allowMissingColumns=True)
     return Graph.of(
         spark,
-        characters=chars, facts=full, events=ev, traits=tr, items=things, statuses=statuses, feels=feels, related=rel,
+        characters=chars, facts=full, events=ev.unionByName(deaths, allowMissingColumns=True), traits=tr, items=things, statuses=statuses, feels=feels, related=rel,
         learns=linked.where("event_type = 'learns'"), mentions=linked.where("event_type = 'mentions'"), has_trait=tr.withColumn("to_id", F.col("id")),
         possesses=own.where("action <> 'loses'"), loses=own.where("action = 'loses'"),
     )

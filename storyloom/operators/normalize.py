@@ -116,7 +116,14 @@ def source_conflicts(facts: DataFrame) -> DataFrame:
     a, b = (near.select("work_id", "t", *(F.col(c).alias(f"{c}_{s}") for c in ("content", "chunk", "seq", "tokens"))) for s in "ab")
     pairs = a.join(b, ["work_id", "t"]).where("seq_a < seq_b AND chunk_a <> chunk_b").drop("t").dropDuplicates(["work_id", "seq_a", "seq_b"])
     bad = pairs.where(T.polarity_conflict("content_a", "content_b") | T.numeric_conflict("content_a", "content_b"))
-    shared = F.slice(F.array_sort(F.filter(F.array_intersect("tokens_a", "tokens_b"), lambda t: ~t.isin(L.NEGATIONS) & ~F.rlike(t, F.lit(r"\p{Nd}")))), 1, 4)
-    both = bad.select("work_id", F.array_join(shared, " ").alias("topic"), F.explode(F.array(F.struct(F.col("content_a").alias("v"), F.col("chunk_a").alias("chunk")), F.struct(F.col("content_b").alias("v"), F.col("chunk_b").alias("chunk")))).alias("x"))
+    core = lambda a: F.array_sort(F.filter(a, lambda t: ~t.isin(L.NEGATIONS)))
+    common, either = core(F.array_intersect("tokens_a", "tokens_b")), core(F.array_union("tokens_a", "tokens_b"))
+    shared = F.slice(F.when(F.size(common) > 0, common).when(F.size(either) > 0, either).otherwise(F.array(F.lit("general"))), 1, 4)
+    both = bad.select("work_id", F.array_join(shared, "_").alias("topic"), F.explode(F.array(F.struct(F.col("content_a").alias("v"), F.col("chunk_a").alias("chunk")), F.struct(F.col("content_b").alias("v"), F.col("chunk_b").alias("chunk")))).alias("x"))
     g = both.groupBy("work_id", "topic").agg(F.array_sort(F.collect_set("x.v")).alias("conflicting_values"), F.array_sort(F.collect_set("x")).alias("descriptions"))
     return g.where("size(conflicting_values) >= 2")
+
+
+def normalized(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Raw entities by kind with characters, facts and events merged, and the conflicts of sources among the facts."""
+    return raw | {"characters": characters(raw["characters"]), "facts": merge_facts(raw["facts"]), "events": events(raw["events"]), "conflicts": source_conflicts(raw["facts"])}

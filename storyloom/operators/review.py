@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
-from storyloom.operators.graph_ops import mark_intentional, remove_sources
+from storyloom.operators.graph_ops import mark_intentional, remove_sources, resolve_trait_violations
 from storyloom.plans.graph import Graph
 
 #: The edges a confirmation marks when it is intended, and the type of the report when it is not.
@@ -53,10 +53,11 @@ def apply_intent(g: Graph, confirmations: DataFrame) -> Graph:
 
 
 def end_traits(g: Graph, changes: DataFrame) -> Graph:
-    """Traits whose change is intended are valid until then, and their edges marked. changes: work_id, id, at, confirmation_id."""
+    """Traits whose change is intended are valid until then, and their edges and violations marked. changes: work_id, id, at, confirmation_id."""
     ends = changes.groupBy("work_id", "id").agg(F.min("at").alias("at"))
     traits = g.traits.join(ends, ["work_id", "id"], "left").withColumn("valid_until", F.coalesce("at", "valid_until")).select(g.traits.columns)
-    return replace(g, traits=traits, has_trait=mark_intentional(g.has_trait, changes.select("work_id", "id", "confirmation_id")))
+    marks = changes.select("work_id", "id", "confirmation_id")
+    return resolve_trait_violations(replace(g, traits=traits, has_trait=mark_intentional(g.has_trait, marks)), marks)
 
 
 def settle_sources(g: Graph, answers: DataFrame, sources: DataFrame) -> tuple[Graph, DataFrame]:

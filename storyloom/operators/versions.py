@@ -8,16 +8,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyloom.operators.chunks import chunk
+from storyloom.operators.extract import extract
+from storyloom.operators.graph_ops import remove_sources
+from storyloom.operators.materialize import materialize
+from storyloom.operators.normalize import normalized
+from storyloom.plans.graph import VERTICES, Graph, saved, saved_tables
+
 
 def _lines(c):
     return F.regexp_replace(c, "\r\n?", "\n")
 
 
+def _staged(fixes: DataFrame) -> DataFrame:
+    """fixes with a reason why a row is refused, if it is."""
+    blank = ~F.coalesce("is_intentional", F.lit(False)) & ((F.coalesce(F.trim("original_text"), F.lit("")) == "") | (F.coalesce(F.trim("fixed_text"), F.lit("")) == ""))
+    w = Window.partitionBy("contradiction_id", "_blank").orderBy("staged_at", "original_text", "fixed_text")
+    rows = fixes.withColumn("_blank", blank).withColumn("_r", F.row_number().over(w))
+    return rows.withColumn("reason", F.when(F.col("_blank"), "blank text").when(F.col("_r") > 1, "already staged")).drop("_blank", "_r")
+
+
 def staging_queue(fixes: DataFrame) -> DataFrame:
-    """V1: the staged fixes, oldest first: texts are not blank unless the fix is an intent, and each contradiction has its latest."""
-    ok = F.col("is_intentional") | ((F.trim("original_text") != "") & (F.trim("fixed_text") != ""))
-    w = Window.partitionBy("contradiction_id").orderBy(F.desc("staged_at"))
-    return fixes.where(ok).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").orderBy("staged_at", "contradiction_id")
+    """V1: the staged fixes, oldest first: texts are not blank unless the fix is an intent, and each contradiction has its first fix."""
+    return _staged(fixes).where("reason IS NULL").drop("reason").orderBy("staged_at", "contradiction_id")
+
+
+def refused_fixes(fixes: DataFrame) -> DataFrame:
+    """V1: the fixes that are not staged, with a reason: blank text, or a contradiction that has a fix already."""
+    return _staged(fixes).where("reason IS NOT NULL")
 
 
 def apply_fixes(texts: DataFrame, fixes: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
@@ -78,15 +96,42 @@ def diff(a: DataFrame, b: DataFrame, context: int = 3) -> DataFrame:
 
 def push(texts: DataFrame, fixes: DataFrame, versions: DataFrame, source_chunks=None) -> dict[str, DataFrame]:
     """V4: staged fixes applied to their sources: ``results`` (V2), ``snapshots`` with their version numbers, the ``changed``
-    chunks that are to be extracted again, and the ``resolved`` contradictions. Only sources with fixes are read further."""
-    from storyloom.operators.chunks import chunk
-
+    chunks that are to be extracted again, the ``resolved`` contradictions and the ``refused`` fixes. Only sources with
+    fixes are read further; a source none of whose fixes is found gets no version."""
     queue = staging_queue(fixes)
     results = apply_fixes(texts, queue, source_chunks)
-    pushes = results.select("source_id", F.lit(1).alias("seq"), F.size("applied").alias("fixes_count"), F.lit("").alias("description"))
+    applied_any = results.where(F.size("applied") > 0)
+    pushes = applied_any.select("source_id", F.lit(1).alias("seq"), F.size("applied").alias("fixes_count"), F.lit("").alias("description"))
     numbered = next_versions(pushes, versions)
-    snapshots = results.select("source_id", F.col("new_text").alias("text")).join(numbered.select("source_id", "version", "fixes_count", "description"), "source_id")
+    snapshots = applied_any.select("source_id", F.col("new_text").alias("text")).join(numbered.select("source_id", "version", "fixes_count", "description"), "source_id")
     done = results.select("source_id", F.explode("applied").alias("contradiction_id"))
     applied = queue.join(done, ["source_id", "contradiction_id"], "left_semi")
-    changed = changed_chunks(chunk(results.select("source_id", F.col("new_text").alias("text"))), applied)
-    return {"results": results, "snapshots": snapshots, "changed": changed, "resolved": done}
+    changed = changed_chunks(chunk(applied_any.select("source_id", F.col("new_text").alias("text"))), applied)
+    return {"results": results, "snapshots": snapshots, "changed": changed, "resolved": done, "refused": refused_fixes(fixes)}
+
+
+def rebuild(g: Graph, changed: DataFrame, sources: DataFrame) -> Graph:
+    """V4, M7: the graph after a push. Everything of the sources with changed chunks goes, and what those chunks give by
+    extraction, normalisation and materialisation comes in; characters, facts and items that other sources still hold
+    keep their ids. A source without a changed chunk is left alone.
+
+    changed: source_id, chunk_index, content (from ``push``); sources: work_id, source_id, source_type.
+    """
+    of = sources.groupBy("source_id").agg(F.min("work_id").alias("work_id"), F.min("source_type").alias("source_type"))
+    rows = changed.join(of, "source_id").select(
+        "work_id", "source_id", F.concat_ws("#", "source_id", F.col("chunk_index").cast("string")).alias("chunk_id"), F.coalesce("source_type", F.lit("scenario")).alias("source_type"),
+        F.col("chunk_index").cast("long").alias("seq"), F.col("content").alias("text"),
+    )
+    kept = remove_sources(g, rows.select("source_id"))
+    new = saved(materialize(g.characters.sparkSession, saved_tables(normalized(saved_tables(extract(rows)))), saved(kept)))
+    source = rows.select("work_id", "chunk_id", F.col("source_id").alias("_source"))
+
+    def sourced(t: DataFrame) -> DataFrame:
+        out = t.join(source, ["work_id", "chunk_id"], "left")
+        return out.withColumn("source_id", F.coalesce("source_id", "_source")).select(t.columns)
+
+    tables = {}
+    for n, t in kept.tables().items():
+        made = sourced(new.tables()[n])
+        tables[n] = t.unionByName(made.join(t.select("work_id", "id"), ["work_id", "id"], "left_anti") if n in VERTICES else made)
+    return Graph(**tables)

@@ -6,6 +6,8 @@ and seq; both have the columns of their label besides. ``seq`` is the order of i
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
@@ -20,10 +22,11 @@ EDGE = "work_id string, from_id string, to_id string, story_order double, discou
 LEARNS = EDGE + ", method string, believed_true boolean, via_character string"
 STATUS = EDGE + ", status_type string"
 RELATED = EDGE + ", relationship_type string, valid_from double, valid_until double"
+VIOLATES = EDGE + ", character_id string, violation string"
 FEELS = EDGE + ", emotion string, intensity double, trigger_event_id string"
 
 VERTICES = {"characters": CHARACTER, "facts": FACT, "events": EVENT, "traits": TRAIT, "items": ITEM}
-EDGES = {"learns": LEARNS, "mentions": EDGE, "statuses": STATUS, "locations": EDGE, "related": RELATED, "feels": FEELS, "has_trait": EDGE, "possesses": EDGE, "loses": EDGE}
+EDGES = {"learns": LEARNS, "mentions": EDGE, "statuses": STATUS, "locations": EDGE, "related": RELATED, "feels": FEELS, "has_trait": EDGE, "violates_trait": VIOLATES, "possesses": EDGE, "loses": EDGE}
 
 
 @dataclass
@@ -40,6 +43,7 @@ class Graph:
     related: DataFrame
     feels: DataFrame
     has_trait: DataFrame
+    violates_trait: DataFrame
     possesses: DataFrame
     loses: DataFrame
 
@@ -68,3 +72,22 @@ def union(a: Graph, b: Graph) -> Graph:
 def unmarked(edges: DataFrame) -> DataFrame:
     """Edges that a reviewer has not marked as intended."""
     return edges.where(~F.coalesce("confirmed_intentional", F.lit(False)))
+
+
+def saved_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables as Parquet in the folder that spark.checkpoint.dir names (a local one where it is unset, as in tests),
+    so that later steps read them and not all that led to them, and a lost executor costs one table at most."""
+    spark = next(iter(tables.values())).sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = f"file://{tempfile.mkdtemp(prefix='storyloom-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/storyloom/tables-{uuid.uuid4().hex}"
+    for name, t in tables.items():
+        t.write.parquet(f"{path}/{name}")
+    return {name: spark.read.schema(t.schema).parquet(f"{path}/{name}") for name, t in tables.items()}
+
+
+def saved(g: Graph) -> Graph:
+    """The graph over saved tables."""
+    return Graph(**saved_tables(g.tables()))
