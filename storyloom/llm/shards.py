@@ -23,6 +23,8 @@ from storyloom.llm.textkernel import mix, pieces
 from storyloom.llm.tokens import encoder
 
 MAGIC = b"TOKSHRD1"
+#: Stands for a null key in the files, before all others.
+NO_KEY = -(1 << 63)
 
 
 def _level(keys: np.ndarray, level: int) -> np.ndarray:
@@ -122,15 +124,13 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_bytes:
     """Encode all documents into shard files in ascending key order and return the manifest.
 
     Manifest: shard, uri, first_key, last_key, n_docs, n_ids, start (ids in the shards before). A shard holds about
-    ``shard_bytes`` of text; a null or empty text is the end id alone. Rows with a null key have no place in a keyed
-    index and raise an error. Repeated keys are kept side by side (ordered by a hash of their text); keyed access gives the first.
+    ``shard_bytes`` of text; a null or empty text is the end id alone. A null key is
+    kept as NO_KEY, before all others, and comes back as null. Repeated keys are kept side by side (ordered by a hash of their text); keyed access gives the first.
     A task writes under a name of its own attempt and renames, so a repeated task leaves one whole file.
     """
     spark = docs.sparkSession
-    rows = id_text(docs, id_col, text_col)
-    size, nulls = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(F.col("doc_id").isNull())).first()
-    if nulls:
-        raise ValueError(f"{nulls} documents have no key")
+    rows = id_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_KEY)))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     folder = folder or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
@@ -187,7 +187,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 row[repeat] = np.flatnonzero(repeat)  # repeated keys stand after their first row
                 begin = np.concatenate([[0], ends[:-1]])
                 crc = [zlib.crc32(shard.read(int(r)).astype("<u4").tobytes()) for r in row]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys), "start": pa.array(begin + start), "n_tokens": pa.array(ends - begin), "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, mask=keys == NO_KEY), "start": pa.array(begin + start), "n_tokens": pa.array(ends - begin), "ids_crc32": pa.array(crc, pa.int64())})
 
     return manifest.repartition(F.col("shard")).select("uri", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

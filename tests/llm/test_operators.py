@@ -284,8 +284,9 @@ def test_shards(spark, docs, texts, empty, tmp_path):
     assert shards.lookup(manifest, 8).tolist() == [*enc.tokenizer.encode("one", add_special_tokens=False).ids, 2]
     assert shards.lookup(manifest, 999) is None
     assert shards.read_shards(shards.write_shards(empty, default_tokenizer())).count() == 0
-    with pytest.raises(ValueError, match="no key"):
-        shards.write_shards(docs, default_tokenizer())
+    nulls = shards.read_shards(shards.write_shards(docs, default_tokenizer())).where("doc_id IS NULL").collect()
+    own = np.array([*enc.tokenizer.encode(prose(40, 7), add_special_tokens=False).ids, 2], "<u4")
+    assert [(r.start, r.n_tokens, r.ids_crc32) for r in nulls] == [(0, len(own), zlib.crc32(own.tobytes()))]
 
 
 def test_perfect_hash():
