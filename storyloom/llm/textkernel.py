@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,6 +121,15 @@ def gram_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return d[new], g[new]
 
 
+def _trimmed() -> None:
+    """Give freed memory back to the system: a worker lives on for later stages, whose executor it shares."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The rows in slices of about ``most`` bytes of text, so that a task's arrays stay small; a longer text is a slice of its own."""
     for b in batches:
@@ -133,3 +143,4 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_000_000
                 at, size = i, 0
             size += int(k)
         yield b.slice(at)
+    _trimmed()
