@@ -31,7 +31,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
 
     def cut(batches):
         encode, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
-        for b in slices(batches, "text", 4_000_000):
+        for b in slices(batches, "text"):
             flat, sizes = encode(b.column("text"))
             ends = np.cumsum(sizes)
             rows: list[tuple] = []
