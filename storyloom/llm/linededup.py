@@ -1,43 +1,40 @@
-"""Fuzzy line deduplication with DataFrame functions alone.
+"""Fuzzy line deduplication: MinHash banding, exact Jaccard verification, connected components.
 
 Lines are compared by their sets of character shingles. MinHash signatures come from all shingles, banding proposes
-pairs, and the exact Jaccard similarity decides. The lines of a band are compared with its leader, which joins most
-groups without their pairs. Lines of bands that then hold several components are signed with more minima and banded
-at growing depth, with several leaders each: the deeper a band, the more alike its lines, until those of a pair lead
-their own. So every step
-makes a number of pairs in proportion to the lines, however large a group is. Connected lines are one component, of which the first occurrence stays.
+groups, and within a group every pair of lines is compared by its exact Jaccard similarity. No pair is written: a group counts
+the shingles that its lines share from its postings and hands on only links that join what was apart. Groups
+above a block's size are compared block by block. Connected lines are one component, of which the first occurrence stays.
+
+Signatures and comparison are numpy code over Arrow batches; the form of DataFrame functions alone either exceeded the
+check tool's time or lost links (figures in the README).
 """
 
 from __future__ import annotations
 
-import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.llm.components import components
-from storyloom.llm.shared import removed, written
+from storyloom.llm.shared import bounded, removed, written
+from storyloom.llm.textkernel import mix, pieces
 
 SHINGLE = 8
-#: Shingles that one row hashes at once.
-WINDOW = 4
 #: Nine minima are the points of the affine plane of order three and its twelve lines are the bands, so any five equal
 #: minima hold a band: a pair at similarity 0.8 shares one with probability 0.99.
 MINIMA = 9
 BANDS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6)]
-#: For lines that are still apart: more minima, in TREES bands, each at several depths of minima. A deeper band has LEADERS
-#: leaders, the smallest lines under as many masks. Rounds with new masks end when one links fewer than YIELD of the lines.
-MORE, TREES, DEPTHS, LEADERS, YIELD = 12, 12, (4, 6, 9), 2, 0.1
-#: Each minimum is over one of three rotations of the shingle hashes, XOR a mask; the masks of a rotation differ in their
-#: first bits, so that its minima come from different parts of the hashes.
-TURNS = [0, 21, 43]
-
-
-def _masks(n: int, seed: int) -> list[int]:
-    """``n`` signed 64-bit masks, for each rotation in turn, whose first four bits are spread evenly."""
-    draw = random.Random(seed)
-    firsts = [(k // 3 * 16 // max(1, n // 3) + seed) % 16 for k in range(n)]
-    return [(f << 60 | draw.getrandbits(60)) - (f >> 3 << 64) for f in firsts]
+#: Lines and characters that one block of a group holds; groups above this are compared in pairs of blocks.
+BLOCK_LINES, BLOCK_CHARS = 2048, 4_000_000
+#: Groups of at most so many lines are compared many at a time.
+SMALL = 16
+#: Counters and posting visits that one step of a comparison holds.
+STEP = 2_000_000
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_ODD = mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -50,37 +47,202 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.where("trim(BOTH ' \t\r\x0b\x0c' FROM line) <> ''").withColumn("id", F.xxhash64("line"))
 
 
-def _placed(lines: DataFrame) -> DataFrame:
-    """id, b (the line at four bytes a character, so that any shingle is found at once), last (the last shingle's place).
-    A line shorter than a shingle is its own only one."""
-    return lines.select("id", F.encode("line", "UTF-32").alias("b")).withColumn("last", F.expr(f"greatest(0, CAST(length(b) / 4 AS INT) - {SHINGLE})"))
-
-
-def _hash(place: str) -> str:
-    return f"xxhash64(substring(b, 4 * {place} + 1, {4 * SHINGLE}))"
-
-
-def _minima(lines: DataFrame, masks: list[int]) -> DataFrame:
-    """id, m0, m1, ... of the distinct lines: a MinHash value for each mask. A row hashes WINDOW shingles and takes
-    their minima in one generated expression, of a size that is still compiled; aggregates combine the rows of a line."""
-    rows = _placed(lines).select("id", "b", "last", F.explode(F.expr(f"sequence(0, last, {WINDOW})")).alias("p"))
-    names = [f"h{i}" for i in range(WINDOW)]
-    hashes = rows.select("id", *[F.expr(_hash(f"least(p + {i}, last)")).alias(h) for i, h in enumerate(names)])
-    turned = hashes.select("*", *[F.expr(f"shiftleft({h}, {t}) | shiftrightunsigned({h}, {64 - t})").alias(f"{h}_{t}") for h in names for t in TURNS[1:]])
-    each = lambda k: (h if k % 3 == 0 else f"{h}_{TURNS[k % 3]}" for h in names)
-    lows = [F.expr("least(" + ", ".join(f"{h} ^ CAST('{m}' AS BIGINT)" for h in each(k)) + ")").alias(f"m{k}") for k, m in enumerate(masks)]
-    return turned.select("id", *lows).groupBy("id").agg(*[F.min(f"m{k}").alias(f"m{k}") for k in range(len(masks))])
+def _chars(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all lines as numbers, one after another, and each line's number of characters. A character is its
+    UTF-8 bytes, so bytes that are not UTF-8 are compared too."""
+    lines = lines.cast(pa.large_binary())
+    _, offs, data = lines.buffers()
+    bounds = np.frombuffer(offs, dtype=np.int64)[lines.offset : lines.offset + len(lines) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    bounds = bounds - bounds[0]
+    if not (raw & 0x80).any():
+        return raw.astype(np.uint64), np.diff(bounds)
+    first = (raw & 0xC0) != 0x80
+    first[bounds[:-1][np.diff(bounds) > 0]] = True
+    at = np.flatnonzero(first)
+    width = np.diff(at, append=len(raw))
+    wide = np.concatenate([raw, np.zeros(3, dtype=np.uint8)]).astype(np.uint64)
+    values = wide[at]
+    for k in range(1, 4):
+        values |= np.where(width > k, wide[at + k], np.uint64(0)) << np.uint64(8 * k)
+    return values, np.diff(np.searchsorted(at, bounds))
+
+
+def _shingles(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the shingles of all lines, line by line, and each line's number of them. A line shorter than a
+    shingle is filled up with a sign that no character has, so it is its own only one."""
+    values, size = _chars(lines)
+    padded = np.maximum(size, SHINGLE)
+    starts = np.cumsum(padded) - padded
+    if (size < SHINGLE).any():
+        filled = np.full(int(padded.sum()), 1 << 40, dtype=np.uint64)
+        filled[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(len(values))] = values
+        values = filled
+    h = np.zeros(max(0, len(values) - SHINGLE + 1), dtype=np.uint64)
+    for k in range(SHINGLE):
+        h *= _FACTOR
+        h += values[k : len(values) - SHINGLE + 1 + k]
+    n = padded - SHINGLE + 1
+    inner = np.ones(len(h), dtype=bool)
+    cut = (starts[1:, None] - np.arange(1, SHINGLE)).ravel()
+    inner[cut] = False
+    return mix(h[inner]), n
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """id, bands: hashes of three MinHash values each."""
-    return _minima(lines, _masks(MINIMA, 0)).select("id", F.array(*[F.xxhash64(F.lit(b), *(f"m{k}" for k in of)) for b, of in enumerate(BANDS)]).alias("bands"))
-
-
-def _deeper(lines: DataFrame, turn: int) -> DataFrame:
-    """id, band: TREES bands at each of DEPTHS for every line."""
-    each = [F.xxhash64(F.lit(t), F.lit(d), *(f"m{(t + k) % MORE}" for k in range(d))) for t in range(TREES) for d in DEPTHS]
-    return _minima(lines, _masks(MORE, turn)).select("id", F.explode(F.array(*each)).alias("band"))
+    """id, size (characters), bands: hashes of three MinHash values each. A line is signed once in each slice of a task."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "line"):
+            ids, at = np.unique(b.column("id").to_numpy(), return_index=True)
+            h, n = _shingles(b.column("line").take(pa.array(at)))
+            starts = np.cumsum(n) - n
+            low = [np.minimum.reduceat(h * odd, starts) for odd in _ODD]
+            bands = np.empty((len(ids), len(BANDS)), dtype=np.uint64)
+            for j, of in enumerate(BANDS):
+                v = np.full(len(ids), j + 1, dtype=np.uint64)
+                for k in of:
+                    v = mix((v ^ low[k]) * _FACTOR)
+                bands[:, j] = v
+            flat = pa.array(bands.view(np.int64).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(BANDS), dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n + SHINGLE - 1), lists], names=["id", "size", "bands"])
+
+    return lines.select("id", "line").mapInArrow(sign, "id long, size long, bands array<long>")
+
+
+def _alike(h: np.ndarray, n: np.ndarray, first: np.ndarray, asked: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (x, y) of lines of one group whose sets are similar enough, for each ``asked`` line x, a step at a time.
+
+    ``h`` and ``n`` are the lines' shingles and their numbers, ``first`` the first line of each line's group. A posting is
+    the high bits of a shingle's hash with its group, and the line in the low bits: one sort makes the sets and the postings.
+    """
+    total = len(n)
+    low = np.uint64(int(total).bit_length())
+    line = np.repeat(np.arange(total), n)
+    posted = mix(h + first[line].astype(np.uint64) * _FACTOR) >> low << low | line.astype(np.uint64)
+    posted.sort()
+    posted = posted[np.concatenate([[True], posted[1:] != posted[:-1]])] if len(posted) else posted
+    line = (posted & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    size = np.bincount(line, minlength=total)
+    new = np.flatnonzero(np.concatenate([[True], posted[1:] >> low != posted[:-1] >> low]))
+    runs = np.diff(new, append=len(posted))
+    start, run = np.repeat(new, runs), np.repeat(runs, runs)
+    use = (run > 1) & asked[line]
+    start, run, own = start[use], run[use], line[use]
+    order = np.argsort(own, kind="stable")
+    start, run, own = start[order], run[order], own[order]
+    width = int((np.bincount(first, minlength=total)).max())
+    rows = np.searchsorted(own, np.arange(total + 1))
+    cost = np.concatenate([[0], np.cumsum(run)])[rows]
+    a, grow = 0, 1
+    while a < total:
+        b = min(a + (grow if total > SMALL and width == total else total), a + max(1, STEP // width), total)
+        b = max(a + 1, min(b, int(np.searchsorted(cost, cost[a] + STEP, side="right")) - 1))
+        grow *= 4
+        s, r, x = (v[rows[a] : rows[b]] for v in (start, run, own))
+        visits = np.repeat(s - (np.cumsum(r) - r), r) + np.arange(int(r.sum()))
+        x, y = np.repeat(x, r), line[visits]
+        inside = first[x] == first[y]
+        x, y = x[inside], y[inside]
+        same = np.bincount((x - a) * width + y - first[x], minlength=(b - a) * width)
+        at = np.flatnonzero(same)
+        x = at // width + a
+        y, same = at % width + first[x], same[at]
+        good = (same * den >= (size[x] + size[y] - same) * num) & (x != y)
+        yield x[good], y[good]
+        a = b
+
+
+def _links(rows: pa.Table, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (ids) that join what is apart in whole groups of rows (g, id, c, asked, line), sorted by group."""
+    g, ids, c, asked = (rows.column(k).to_numpy() for k in ("g", "id", "c", "asked"))
+    edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    count = np.diff(edge, append=len(g))
+    first = np.repeat(edge, count)
+    lines = rows.column("line").combine_chunks()
+    small = np.repeat(count <= SMALL, count)
+    if small.any():
+        at = np.flatnonzero(small)
+        k = count[count <= SMALL]
+        h, n = _shingles(lines.take(pa.array(at)))
+        for x, y in _alike(h, n, np.repeat(np.cumsum(k) - k, k), asked[at], num, den):
+            x, y = at[x], at[y]
+            new = c[x] != c[y]
+            yield ids[x[new]], ids[y[new]]
+    for e, k in zip(edge[count > SMALL], count[count > SMALL]):
+        h, n = _shingles(lines.slice(e, k))
+        label = np.unique(c[e : e + k], return_inverse=True)[1]
+        for x, y in _alike(h, n, np.zeros(k, dtype=np.int64), asked[e : e + k], num, den):
+            a, b = [], []
+            apart = np.flatnonzero(label[x] != label[y])
+            while len(apart):
+                i = apart[0]
+                a.append(x[i])
+                b.append(y[i])
+                label[label == label[y[i]]] = label[x[i]]
+                apart = apart[label[x[apart]] != label[y[apart]]]
+            yield ids[e + np.array(a, dtype=np.int64)], ids[e + np.array(b, dtype=np.int64)]
+            if (label == label[0]).all():
+                break
+
+
+def _compared(rows: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) within the groups ``g`` of rows (g, id, c, asked): pairs of an asked line with any line of another
+    component c. A task holds one group and a batch at a time."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            for a, b in _links(table, num, den):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for b in pieces(batches, "line", 4_000_000):
+            g = b.column("g").to_numpy()
+            if held and held[0].column("g")[0].as_py() != g[0]:
+                yield from out(pa.Table.from_batches(held))
+                held = []
+            others = np.flatnonzero(g != g[-1])
+            last = int(others[-1]) + 1 if len(others) else 0
+            if not last:
+                held.append(b)
+                continue
+            yield from out(pa.Table.from_batches([*held, b.slice(0, last)]))
+            held = [b.slice(last)]
+        if held:
+            yield from out(pa.Table.from_batches(held))
+
+    whole = rows.join(texts, "id").select("g", "id", "c", "asked", "line")
+    return whole.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "a long, b long")
+
+
+def _group_links(bands: DataFrame, texts: DataFrame, num: int, den: int, block_lines: int, block_chars: int) -> DataFrame:
+    """Links that connect all lines of ``bands`` (band, id, size; distinct) that are alike and share a band.
+
+    Bands of the same lines are compared once. A band above a block's size is dealt into blocks by hash, each with the
+    band's smallest line; when those are compared, the lines outside the smallest line's component meet all others, block by block.
+    """
+    lot = bands.groupBy("band").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.count("*").alias("k"), F.sum("size").alias("chars"), F.min("id").alias("lo"))
+    lot = lot.groupBy("x", "k", "lo").agg(F.min("band").alias("band"), F.max("chars").alias("chars"))
+    many = f"CAST(greatest(ceil(k / {block_lines}), ceil(chars / {block_chars})) AS INT)"
+    rows = written(bands.join(lot.select("band", "lo", F.expr(many).alias("n")), "band"))
+    group = lambda *of: F.xxhash64("band", *of).alias("g")
+    dealt = rows.withColumn("i", F.explode(F.expr("IF(id = lo, sequence(0, n - 1), array(CAST(pmod(xxhash64(id, 7), n) AS INT)))")))
+    links = written(_compared(dealt.select(group("i"), "id", F.col("id").alias("c"), F.lit(True).alias("asked")), texts, num, den))
+    hot = written(rows.where("n > 1"))
+    if hot.isEmpty():
+        return links
+    of = components(links).toDF("id", "c")
+    hot = hot.join(of, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    main = hot.where("id = lo").select("band", F.col("c").alias("main"))
+    hot = written(hot.join(main, "band").withColumn("rest", F.expr("c <> main")))
+    least = f"CAST(greatest(ceil(count(*) / {block_lines}), ceil(sum(size) / {block_chars})) AS INT)"
+    hot = hot.join(hot.where("rest").groupBy("band").agg(F.expr(least).alias("m")), "band")
+    own = hot.select("band", "id", "c", F.expr("CAST(pmod(xxhash64(id, 7), n) AS INT)").alias("i"), F.explode(F.expr("sequence(0, m - 1)")).alias("j"), F.lit(False).alias("asked"))
+    asked = hot.where("rest").select("band", "id", "c", F.explode(F.expr("sequence(0, n - 1)")).alias("i"), F.expr("CAST(pmod(xxhash64(id, 8), m) AS INT)").alias("j"), F.lit(True).alias("asked"))
+    return links.union(written(_compared(own.unionByName(asked).select(group("i", "j"), "id", "c", "asked"), texts, num, den)))
 
 
 def _among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
@@ -91,29 +253,6 @@ def _among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return rows.withColumn("__w", F.shiftrightunsigned(key, 48)).join(F.broadcast(bits), "__w").where(F.expr(f"shiftrightunsigned(__mask, CAST({key} & 63 AS INT)) & 1 = 1")).drop("__w", "__mask")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of line ids that are similar enough. Texts are shuffled rather than their sets, which are many
-    times as large. Lambdas hand on what they are given, so each line is encoded and each set made once."""
-    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-    hashes = f"transform(sequence(0, greatest(0, CAST(length(v) / 4 AS INT) - {SHINGLE})), p -> {_hash('p').replace('(b,', '(v,')})"
-    x, y = (f"transform(array(encode({c}, 'UTF-32')), v -> array_distinct({hashes}))[0]" for c in "xy")
-    alike = f"same > 0 AND same * {den} >= (size(s.x) + size(s.y) - same) * {num}"
-    return both.where(F.expr(f"exists(array(named_struct('x', {x}, 'y', {y})), s -> exists(array(size(array_intersect(s.x, s.y))), same -> {alike}))")).select("a", "b")
-
-
-def _leaders(bands: DataFrame, masks: tuple[int, ...] = (0,)) -> DataFrame:
-    """band, lo: of each band with several lines the one that is smallest under each mask."""
-    least = [F.min(F.expr(f"id ^ {m}L")).alias(f"x{k}") for k, m in enumerate(masks)]
-    lead = bands.groupBy("band").agg(*least, F.count("*").alias("k")).where("k > 1")
-    names = F.array(*[F.expr(f"x{k} ^ {m}L") for k, m in enumerate(masks)])
-    return lead.select("band", F.explode(F.array_distinct(names)).alias("lo"))
-
-
-def _pairs(rows: DataFrame, leaders: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b), a < b, of the lines of a band with its leader ``lo``."""
-    return rows.join(leaders, "band").where("id <> lo").select(F.least("id", "lo").alias("a"), F.greatest("id", "lo").alias("b")).distinct()
-
-
 def _place() -> Column:
     """An occurrence's place in the corpus as one number, which hash aggregates can keep the smallest of: the document's
     key (null before all others), half of the row's hash, the line's number."""
@@ -122,49 +261,31 @@ def _place() -> Column:
     return (key * F.expr("4611686018427387904BD") + rest).cast("decimal(38,0)")
 
 
-def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_lines: int = BLOCK_LINES, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with duplicate lines taken out of the text, and n_lines, n_removed (0 for a null text).
 
     Of lines whose shingle sets have Jaccard similarity num / den or more, directly or through others, the first
     stays: that of the smallest document key, then of the smallest row hash, then the first in the text. A line under
     eight characters has itself as its only shingle, so only its copies go; blank lines stay. Rows equal in key and text
     count as one document and keep the same lines; keys are whole numbers, and null comes before all others. Banding finds
-    a pair at similarity 0.8 with probability 0.99 and more above it; lines and shingles are compared as 64-bit hashes. Columns
-    n_lines and n_removed in ``docs`` are replaced.
+    a pair at similarity 0.8 with probability 0.99 and more above it, and each pair of a band is compared; lines are known
+    by 64-bit hashes, shingles by at least 40 bits of one within their group. Columns n_lines and n_removed in ``docs`` are
+    replaced.
     """
+    bounded(docs.sparkSession)
     lines = _lines(docs, id_col, text_col)
     occurrences = written(lines.drop("line"))
     first = written(occurrences.groupBy("id").agg(F.min(_place()).alias("first"), F.count("*").alias("k")))
     banded = written(_signed(lines))
-    bands = banded.select("id", F.explode("bands").alias("band"))
-    lead = written(_leaders(bands))
-    shared = written(_among(bands, "band", lead.select("band")).join(lead.select("band"), "band").select("band", "id"))
+    bands = banded.select("id", "size", F.explode("bands").alias("band"))
+    several = written(bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band"))
+    shared = written(_among(bands, "band", several).join(several, "band").select("band", "id", "size").distinct())
     removed(banded)
     # the text of a line is fetched once, from its first occurrence
     own = F.xxhash64("id", "doc_id", "rid", "no")
     at = written(first.join(shared.select("id").distinct(), "id").select("id", "first").join(occurrences, "id").where(_place() == F.col("first")).select(own.alias("own")))
     texts = written(_among(lines.withColumn("own", own), "own", at.select("own")).join(at, "own").dropDuplicates(["id"]).select("id", "line"))
-    tried = written(_pairs(shared, lead))
-    links = written(_verified(tried, texts, num, den))
-    found = written(components(links))
-    # lines of bands with several components meet the leaders of deeper bands
-    rows, turn = shared, 0
-    while True:
-        of, turn = found.select(F.col("node").alias("id"), "component"), turn + 1
-        comp = rows.join(of, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-        mixed = comp.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo < hi AND k > 2").select("band")
-        rows = written(comp.join(mixed, "band").select("band", "id"))
-        apart = rows.select("id").distinct()
-        deep = written(_deeper(texts.join(apart, "id", "left_semi"), turn))
-        more = _pairs(deep, _leaders(deep, tuple(_masks(LEADERS, turn)))).join(tried, ["a", "b"], "left_anti")
-        more = more.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-        new = written(_verified(more, texts, num, den))
-        n = new.count()
-        if n:
-            links = links.union(new)
-            found = written(components(links))
-        if n <= YIELD * apart.count():
-            break
+    found = written(components(_group_links(shared, texts, num, den, block_lines, block_chars)))
     # the occurrences that go
     whole_first = first.join(found.withColumnRenamed("node", "id"), "id", "left")
     kept = whole_first.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("kept"))
