@@ -111,85 +111,96 @@ def _signed(lines: DataFrame) -> DataFrame:
     return lines.select("id", "line").mapInArrow(sign, "id long, size long, bands array<long>")
 
 
-def _alike(h: np.ndarray, n: np.ndarray, first: np.ndarray, asked: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (x, y) of lines of one group whose sets are similar enough, for each ``asked`` line x, a step at a time.
+class _Postings:
+    """The postings of the shingles of lines, group by group; ``first`` is the first line of each line's group.
 
-    ``h`` and ``n`` are the lines' shingles and their numbers, ``first`` the first line of each line's group. A posting is
-    the high bits of a shingle's hash with its group, and the line in the low bits: one sort makes the sets and the postings.
+    A posting is the high bits of a shingle's hash with its group, and the line in the low bits: one sort makes the sets
+    and the postings.
     """
-    total = len(n)
-    low = np.uint64(int(total).bit_length())
-    line = np.repeat(np.arange(total), n)
-    posted = mix(h + first[line].astype(np.uint64) * _FACTOR) >> low << low | line.astype(np.uint64)
-    posted.sort()
-    posted = posted[np.concatenate([[True], posted[1:] != posted[:-1]])] if len(posted) else posted
-    line = (posted & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
-    size = np.bincount(line, minlength=total)
-    new = np.flatnonzero(np.concatenate([[True], posted[1:] >> low != posted[:-1] >> low]))
-    runs = np.diff(new, append=len(posted))
-    start, run = np.repeat(new, runs), np.repeat(runs, runs)
-    use = (run > 1) & asked[line]
-    start, run, own = start[use], run[use], line[use]
-    order = np.argsort(own, kind="stable")
-    start, run, own = start[order], run[order], own[order]
-    width = int((np.bincount(first, minlength=total)).max())
-    rows = np.searchsorted(own, np.arange(total + 1))
-    cost = np.concatenate([[0], np.cumsum(run)])[rows]
-    a, grow = 0, 1
-    while a < total:
-        b = min(a + (grow if total > SMALL and width == total else total), a + max(1, STEP // width), total)
-        b = max(a + 1, min(b, int(np.searchsorted(cost, cost[a] + STEP, side="right")) - 1))
-        grow *= 4
-        s, r, x = (v[rows[a] : rows[b]] for v in (start, run, own))
-        visits = np.repeat(s - (np.cumsum(r) - r), r) + np.arange(int(r.sum()))
-        x, y = np.repeat(x, r), line[visits]
-        inside = first[x] == first[y]
-        x, y = x[inside], y[inside]
-        same = np.bincount((x - a) * width + y - first[x], minlength=(b - a) * width)
-        at = np.flatnonzero(same)
-        x = at // width + a
-        y, same = at % width + first[x], same[at]
-        good = (same * den >= (size[x] + size[y] - same) * num) & (x != y)
-        yield x[good], y[good]
-        a = b
+
+    def __init__(self, h: np.ndarray, n: np.ndarray, first: np.ndarray):
+        total = len(n)
+        low = np.uint64(int(total).bit_length())
+        line = np.repeat(np.arange(total), n)
+        posted = mix(h + first[line].astype(np.uint64) * _FACTOR) >> low << low | line.astype(np.uint64)
+        posted.sort()
+        posted = posted[np.concatenate([[True], posted[1:] != posted[:-1]])]
+        self.line = (posted & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+        self.size = np.bincount(self.line, minlength=total)
+        new = np.flatnonzero(np.concatenate([[True], posted[1:] >> low != posted[:-1] >> low]))
+        runs = np.diff(new, append=len(posted))
+        start, run = np.repeat(new, runs), np.repeat(runs, runs)
+        use = np.flatnonzero(run > 1)
+        use = use[np.argsort(self.line[use], kind="stable")]
+        self.start, self.run, self.first = start[use], run[use], first
+        self.rows = np.searchsorted(self.line[use], np.arange(total + 1))
+        self.cost = np.diff(np.concatenate([[0], np.cumsum(self.run)])[self.rows])
+        self.width = int(np.bincount(first, minlength=total).max())
+
+    def alike(self, asked: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (x, y) of an asked line x and another of its group whose sets are similar enough, a step at a time."""
+        weight = self.cost[asked] + self.width
+        steps = np.cumsum(weight) // STEP
+        for part in np.split(asked, np.flatnonzero(np.diff(steps)) + 1):
+            k = self.rows[part + 1] - self.rows[part]
+            at = np.repeat(self.rows[part] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+            s, r = self.start[at], self.run[at]
+            i = np.repeat(np.repeat(np.arange(len(part)), k), r)
+            y = self.line[np.repeat(s - (np.cumsum(r) - r), r) + np.arange(int(r.sum()))]
+            first = self.first[part]
+            inside = self.first[y] == first[i]
+            i, y = i[inside], y[inside]
+            same = np.bincount(i * self.width + y - first[i], minlength=len(part) * self.width)
+            at = np.flatnonzero(same)
+            i, same = at // self.width, same[at]
+            x, y = part[i], at % self.width + first[i]
+            good = (same * den >= (self.size[x] + self.size[y] - same) * num) & (x != y)
+            yield x[good], y[good]
+
+
+def _joined(posted: _Postings, label: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the lines of one group whose labels differ. Two lines that are apart are not both in the largest
+    component, so the lines outside it are asked, a few at first, until all that are still outside have been."""
+    a, b, done, step = [], [], np.zeros(len(label), dtype=bool), 1
+    while True:
+        wait = np.flatnonzero(~done & (label != np.bincount(label).argmax()))
+        if not len(wait):
+            return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        asked, step = wait[:step], step * 2
+        done[asked] = True
+        for x, y in posted.alike(asked, num, den):
+            apart = np.flatnonzero(label[x] != label[y])
+            while len(apart):
+                i = apart[0]
+                a.append(x[i])
+                b.append(y[i])
+                label[label == label[y[i]]] = label[x[i]]
+                apart = apart[label[x[apart]] != label[y[apart]]]
 
 
 def _links(rows: pa.Table, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (ids) that join what is apart in whole groups of rows (g, id, c, asked, line), sorted by group."""
-    g, ids, c, asked = (rows.column(k).to_numpy() for k in ("g", "id", "c", "asked"))
+    """Links (ids) that join what is apart in whole groups of rows (g, id, c, line), sorted by group."""
+    g, ids, c = (rows.column(k).to_numpy() for k in ("g", "id", "c"))
     edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
     count = np.diff(edge, append=len(g))
-    first = np.repeat(edge, count)
     lines = rows.column("line").combine_chunks()
     small = np.repeat(count <= SMALL, count)
     if small.any():
-        at = np.flatnonzero(small)
-        k = count[count <= SMALL]
-        h, n = _shingles(lines.take(pa.array(at)))
-        for x, y in _alike(h, n, np.repeat(np.cumsum(k) - k, k), asked[at], num, den):
+        at, k = np.flatnonzero(small), count[count <= SMALL]
+        posted = _Postings(*_shingles(lines.take(pa.array(at))), np.repeat(np.cumsum(k) - k, k))
+        for x, y in posted.alike(np.arange(len(at)), num, den):
             x, y = at[x], at[y]
-            new = c[x] != c[y]
+            new = (c[x] != c[y]) & (ids[x] < ids[y])
             yield ids[x[new]], ids[y[new]]
     for e, k in zip(edge[count > SMALL], count[count > SMALL]):
-        h, n = _shingles(lines.slice(e, k))
-        label = np.unique(c[e : e + k], return_inverse=True)[1]
-        for x, y in _alike(h, n, np.zeros(k, dtype=np.int64), asked[e : e + k], num, den):
-            a, b = [], []
-            apart = np.flatnonzero(label[x] != label[y])
-            while len(apart):
-                i = apart[0]
-                a.append(x[i])
-                b.append(y[i])
-                label[label == label[y[i]]] = label[x[i]]
-                apart = apart[label[x[apart]] != label[y[apart]]]
-            yield ids[e + np.array(a, dtype=np.int64)], ids[e + np.array(b, dtype=np.int64)]
-            if (label == label[0]).all():
-                break
+        posted = _Postings(*_shingles(lines.slice(e, k)), np.zeros(k, dtype=np.int64))
+        a, b = _joined(posted, np.unique(c[e : e + k], return_inverse=True)[1], num, den)
+        yield ids[e + a], ids[e + b]
 
 
 def _compared(rows: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) within the groups ``g`` of rows (g, id, c, asked): pairs of an asked line with any line of another
-    component c. A task holds one group and a batch at a time."""
+    """Links (a, b) within the groups ``g`` of rows (g, id, c): they join the lines that are alike and of different
+    components c. A task holds one group and a batch at a time."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -214,7 +225,7 @@ def _compared(rows: DataFrame, texts: DataFrame, num: int, den: int) -> DataFram
         if held:
             yield from out(pa.Table.from_batches(held))
 
-    whole = rows.join(texts, "id").select("g", "id", "c", "asked", "line")
+    whole = rows.join(texts, "id").select("g", "id", "c", "line")
     return whole.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "a long, b long")
 
 
@@ -230,7 +241,7 @@ def _group_links(bands: DataFrame, texts: DataFrame, num: int, den: int, block_l
     rows = written(bands.join(lot.select("band", "lo", F.expr(many).alias("n")), "band"))
     group = lambda *of: F.xxhash64("band", *of).alias("g")
     dealt = rows.withColumn("i", F.explode(F.expr("IF(id = lo, sequence(0, n - 1), array(CAST(pmod(xxhash64(id, 7), n) AS INT)))")))
-    links = written(_compared(dealt.select(group("i"), "id", F.col("id").alias("c"), F.lit(True).alias("asked")), texts, num, den))
+    links = written(_compared(dealt.select(group("i"), "id", F.col("id").alias("c")), texts, num, den))
     hot = written(rows.where("n > 1"))
     if hot.isEmpty():
         return links
@@ -240,9 +251,9 @@ def _group_links(bands: DataFrame, texts: DataFrame, num: int, den: int, block_l
     hot = written(hot.join(main, "band").withColumn("rest", F.expr("c <> main")))
     least = f"CAST(greatest(ceil(count(*) / {block_lines}), ceil(sum(size) / {block_chars})) AS INT)"
     hot = hot.join(hot.where("rest").groupBy("band").agg(F.expr(least).alias("m")), "band")
-    own = hot.select("band", "id", "c", F.expr("CAST(pmod(xxhash64(id, 7), n) AS INT)").alias("i"), F.explode(F.expr("sequence(0, m - 1)")).alias("j"), F.lit(False).alias("asked"))
-    asked = hot.where("rest").select("band", "id", "c", F.explode(F.expr("sequence(0, n - 1)")).alias("i"), F.expr("CAST(pmod(xxhash64(id, 8), m) AS INT)").alias("j"), F.lit(True).alias("asked"))
-    return links.union(written(_compared(own.unionByName(asked).select(group("i", "j"), "id", "c", "asked"), texts, num, den)))
+    own = hot.select("band", "id", "c", F.expr("CAST(pmod(xxhash64(id, 7), n) AS INT)").alias("i"), F.explode(F.expr("sequence(0, m - 1)")).alias("j"))
+    asked = hot.where("rest").select("band", "id", "c", F.explode(F.expr("sequence(0, n - 1)")).alias("i"), F.expr("CAST(pmod(xxhash64(id, 8), m) AS INT)").alias("j"))
+    return links.union(written(_compared(own.unionByName(asked).select(group("i", "j"), "id", "c"), texts, num, den)))
 
 
 def _among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:

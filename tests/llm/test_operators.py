@@ -402,9 +402,9 @@ def test_alike_lines_of_a_group_by_brute_force():
     sets = [{x[i : i + 8] for i in range(len(x) - 7)} or {x} for x in lines]
     h, n = linededup._shingles(pa.array(lines))
     assert n.tolist() == [max(1, len(x) - 7) for x in lines]
-    asked = np.arange(len(lines)) % 3 > 0
-    want = {(i, j) for i in range(len(lines)) for j in range(len(lines)) if asked[i] and i != j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
-    got = [p for x, y in linededup._alike(h, n, np.zeros(len(lines), dtype=np.int64), asked, 80, 100) for p in zip(x.tolist(), y.tolist())]
+    asked = np.flatnonzero(np.arange(len(lines)) % 3)
+    want = {(i, j) for i in range(len(lines)) for j in range(len(lines)) if i in asked and i != j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    got = [p for x, y in linededup._Postings(h, n, np.zeros(len(lines), dtype=np.int64)).alike(asked, 80, 100) for p in zip(x.tolist(), y.tolist())]
     assert len(want) > 20 and sorted(got) == sorted(want)
 
 
