@@ -130,12 +130,16 @@ class _Postings:
         new = np.flatnonzero(np.concatenate([[True], posted[1:] >> low != posted[:-1] >> low]))
         runs = np.diff(new, append=len(posted))
         start, run = np.repeat(new, runs), np.repeat(runs, runs)
-        use = np.flatnonzero(run > 1)
+        self.width = int(np.bincount(first, minlength=total).max())
+        # shingles that an eighth of a large group has are counted by one matrix product
+        often = run * 8 >= self.width if total == self.width > SMALL else np.zeros(len(run), dtype=bool)
+        self.grid = np.zeros((total, len(np.unique(start[often]))), dtype=np.float32)
+        self.grid[self.line[often], np.unique(start[often], return_inverse=True)[1]] = 1
+        use = np.flatnonzero((run > 1) & ~often)
         use = use[np.argsort(self.line[use], kind="stable")]
         self.start, self.run, self.first = start[use], run[use], first
         self.rows = np.searchsorted(self.line[use], np.arange(total + 1))
         self.cost = np.diff(np.concatenate([[0], np.cumsum(self.run)])[self.rows])
-        self.width = int(np.bincount(first, minlength=total).max())
 
     def alike(self, asked: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (x, y) of an asked line x and another of its group whose sets are similar enough, a step at a time."""
@@ -151,6 +155,8 @@ class _Postings:
             inside = self.first[y] == first[i]
             i, y = i[inside], y[inside]
             same = np.bincount(i * self.width + y - first[i], minlength=len(part) * self.width)
+            if self.grid.shape[1]:
+                same += (self.grid[part] @ self.grid.T).astype(np.int64).ravel()
             at = np.flatnonzero(same)
             i, same = at // self.width, same[at]
             x, y = part[i], at % self.width + first[i]
@@ -226,7 +232,9 @@ def _compared(rows: DataFrame, texts: DataFrame, num: int, den: int) -> DataFram
             yield from out(pa.Table.from_batches(held))
 
     whole = rows.join(texts, "id").select("g", "id", "c", "line")
-    return whole.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "a long, b long")
+    # few bytes can be much work here, so small partitions stay apart
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return whole.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(compare, "a long, b long")
 
 
 def _group_links(bands: DataFrame, texts: DataFrame, num: int, den: int, block_lines: int, block_chars: int) -> DataFrame:
