@@ -23,10 +23,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents whose five-word shingles are similar by 0.8 or more, the one of the smallest key stays."""
-    found = ngramjoin.ngram_join(docs, n=5, num=80, den=100)
-    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of documents whose five-word shingles are similar by 0.8 or more, the one of the smallest key stays;
+    null keys come last. Of rows equal in key and text any one stays. Documents without words are in no group."""
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    found = ngramjoin.ngram_join(rows, n=5, num=80, den=100, id_col="__row").where("n_shingles > 0").withColumnRenamed("doc_id", "__row")
+    several = found.groupBy("component_id").agg(F.count("*").alias("k")).where("k > 1").select("component_id")
+    grouped = written(found.join(several, "component_id").groupBy("component_id", "__row").agg(F.count("*").alias("k")))
+    keys = rows.select("__row", "doc_id").join(grouped, "__row").groupBy("component_id", "__row").agg(F.min("doc_id").alias("key"))
+    first = keys.groupBy("component_id").agg(F.min_by("__row", F.struct(F.col("key").isNull(), "key", "__row")).alias("__row")).select("__row", F.lit(True).alias("first"))
+    marked = written(grouped.join(first, "__row", "left").where("first IS NULL OR k > 1").select("__row", "first"))
+    alone = rows.join(marked, "__row", "left_anti")
+    repeated = rows.join(marked.where("first"), "__row", "left_semi").dropDuplicates(["doc_id", "text"])
+    return alone.unionByName(repeated).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

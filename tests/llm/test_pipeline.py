@@ -25,3 +25,16 @@ def test_stages(spark):
     placed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
     assert set(placed.doc_id) == set(kept.doc_id)
     assert placed.sequence_id.nunique() <= -(-placed.length.sum() // 2048) + 1
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, null keys, equal keys with other texts, texts without words, and near copies against brute force."""
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(base[:-1] + ["other"])
+    other = " ".join(f"v{i}" for i in range(30))
+    last = " ".join(f"u{i}" for i in range(30))
+    rows = [(7, " ".join(base)), (7, " ".join(base)), (9, near), (None, near), (3, other), (3, other), (3, last), (None, "only null keys"), (None, "only null keys"), (4, ""), (4, ""), (5, None)]
+    out = corpus_pipeline.join_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    want = [(7, " ".join(base)), (3, other), (3, last), (None, "only null keys"), (4, ""), (4, ""), (5, None)]
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, want))
+    assert corpus_pipeline.join_near_copies(spark, spark.createDataFrame([], "doc_id long, text string"), SF).count() == 0
