@@ -7,16 +7,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import lexicons as L
+from storyloom.operators.holding import holding
 
 
 def match_scores(violations: DataFrame, gold: DataFrame) -> DataFrame:
-    """Case, gold id and violation id with the share of the gold's keywords in the violation's text; gold without keywords gives none.
+    """Case, gold id and violation id with the share of the gold's keywords in the violation's text, where it is above 0.
 
-    violations: case, vid, seq, text, is_hard; gold: case, gid, seq, keywords, category, hard_soft. Joined by case.
+    violations: case, vid, seq, text, is_hard; gold: case, gid, seq, keywords, category, hard_soft. Only pairs of a case
+    that share a keyword are made; keywords that are empty or blank count as not found.
     """
-    pairs = gold.where("size(keywords) > 0").withColumnRenamed("seq", "gseq").join(violations, "case")
-    hit = F.size(F.filter("keywords", lambda k: F.contains("text", k)))
-    return pairs.withColumn("score", hit / F.size("keywords")).select("case", "gid", "gseq", "category", "hard_soft", "vid", "seq", "is_hard", "score")
+    own = ["case", "gid", "gseq", "category", "hard_soft"]
+    asked = gold.withColumnRenamed("seq", "gseq").select(*own, F.size("keywords").alias("all"), F.explode("keywords").alias("word"))
+    held = holding(violations.select(F.struct("case", "vid").alias("id"), "text"), asked).select("id.case", "id.vid", "word")
+    hits = asked.join(held, ["case", "word"]).groupBy(*own, "vid").agg((F.count("*") / F.first("all")).alias("score"))
+    return hits.join(violations.select("case", "vid", "seq", "is_hard"), ["case", "vid"]).select(*own, "vid", "seq", "is_hard", "score")
 
 
 def assign(violations: DataFrame, gold: DataFrame, least: float = 0.3) -> DataFrame:

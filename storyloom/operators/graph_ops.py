@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyloom.operators.holding import holding
 from storyloom.plans.graph import EDGES, VERTICES, Graph
 
 
@@ -32,20 +33,16 @@ def stats(g: Graph) -> DataFrame:
     return counted.groupBy("work_id").pivot("label", [*VERTICES, "related"]).agg(F.coalesce(F.sum("n"), F.lit(0))).fillna(0)
 
 
-def search(chunks: DataFrame, queries: DataFrame, top: int = 5, most_words: int = 20_000) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
     """Q4: for each query the ``top`` chunks with most of its words in them, as substrings in any case; ties in order of seq.
 
-    chunks: id, seq, content; queries: query_id, query. The queries are a stated set: their distinct words, bounded by
-    ``most_words``, go with the scan, which looks up all of them in each chunk; no pairs of queries and chunks are made
-    but those that share a word.
+    chunks: id, seq, content; queries: query_id, query; repeated words of a query count each time. Words are looked up in the
+    index of the chunks' tokens; no pairs of queries and chunks are made but those that share a word.
     """
     words = queries.select("query_id", F.explode(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "")).alias("word"))
-    known = [r[0] for r in words.select("word").distinct().limit(most_words + 1).collect()]
-    if len(known) > most_words:
-        raise ValueError(f"the queries have more than {most_words} words")
-    low = F.lower("content")
-    hits = chunks.select("id", "seq", F.explode(F.filter(F.lit(known) if known else F.array().cast("array<string>"), lambda w: F.contains(low, w))).alias("word"))
-    scored = hits.join(words, "word").groupBy("query_id", "id", "seq").agg(F.count("*").alias("score"))
+    hits = holding(chunks.select(F.struct("id", "seq").alias("id"), F.lower("content").alias("text")), words).select("id.id", "id.seq", "word")
+    asked = words.groupBy("query_id", "word").agg(F.count("*").alias("n"))
+    scored = hits.join(asked, "word").groupBy("query_id", "id", "seq").agg(F.sum("n").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq", "id")
     # of each part of a query's hits only its best are sorted together
     part = scored.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import lexicons as L
 from storyloom.functions import text as T
+from storyloom.operators.holding import holding
 from storyloom.plans.graph import Graph, unmarked
 
 COLUMNS = ["work_id", "rule", "type", "severity", "description", "confidence", "character_id", "character_name", "evidence", "needs_user_input", "confirmation_type", "dialogue", "chunk_id", "is_hard", "seq"]
@@ -279,8 +280,8 @@ def constraints(g: Graph) -> DataFrame:
 def broken_numbers(g: Graph) -> DataFrame:
     """An elapsed time or hour in an event or another fact breaks a numeric rule; once for each fact, kind and value.
 
-    Rules meet only texts with a value of their kind and unit; the keywords, which are substrings, are a filter on what
-    that join gives.
+    Rules meet only texts of their work that hold one of their keywords and a value of their kind and unit; a rule without
+    keywords is about every text.
     """
     at = F.coalesce(F.nullif("story_order", F.lit(0.0)), F.nullif("discourse_order", F.lit(0.0)), F.lit(0.0))
     texts = g.events.select("work_id", F.col("id").alias("text_id"), F.col("description").alias("txt"), at.alias("at"), F.lit(0).alias("src"), "seq", "chunk_id")
@@ -288,8 +289,10 @@ def broken_numbers(g: Graph) -> DataFrame:
     values = texts.select("*", F.posexplode(T.event_values("txt")).alias("vpos", "v")).select("*", F.when(F.col("v.kind") == "clock_time", "hour").otherwise("lasting").alias("axis"), F.col("v.value").alias("found"), F.col("v.unit").alias("unit")).drop("v")
     rules = constraints(g).withColumn("axis", F.when(F.col("kind") == "lockout_after_hour", "hour").otherwise("lasting"))
     broken = F.when(F.col("axis") == "hour", F.col("found") >= F.col("least")).otherwise(F.col("found") < F.col("least"))
-    about = (F.size("kws") == 0) | F.expr("exists(kws, k -> contains(txt, k))")
-    hits = values.join(rules, ["work_id", "axis", "unit"]).where(broken & (F.col("text_id") != F.col("fact_id")) & about)
+    words = rules.select("*", F.explode("kws").alias("word"))
+    held = holding(texts.where(F.size(T.event_values("txt")) > 0).select(F.struct("work_id", "src", "text_id").alias("id"), F.col("txt").alias("text")), words).select("id.*", "word")
+    about = values.join(held, ["work_id", "src", "text_id"]).join(words, ["work_id", "axis", "unit", "word"])
+    hits = about.unionByName(values.join(rules.where(F.size("kws") == 0), ["work_id", "axis", "unit"]), allowMissingColumns=True).where(broken & (F.col("text_id") != F.col("fact_id")))
     bad = _first(hits.select("work_id", "fact_id", "kind", "least", "unit", "content", "text_id", "txt", "at", "found", "src", "seq", "vpos", "order", "nth", F.coalesce("fact_chunk", "chunk_id").alias("chunk_id")), ["work_id", "fact_id", "kind", "least"], "src", "seq", "order", "nth", "vpos")
     n, u, f = F.col("least"), F.col("unit"), F.col("found")
     tail = ["만에 이동(story_order=", F.col("at"), "): ", F.substring("txt", 1, 80)]
