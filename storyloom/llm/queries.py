@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontam, langid, linededup, neardup, ngramjoin, packing, pii, secrets, shards, tokencounts
+from storyloom.llm import decontam, langid, linededup, neardup, ngramjoin, packing, pii, resampling, secrets, shards, tokencounts
 from storyloom.llm.shared import table
 from storyloom.llm.tokens import default_tokenizer
 
@@ -60,5 +60,32 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "lang_spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_token_counts, op4_pii, op5_best_fit_packing, op6_token_shards, op7_secret_scan, op8_embedding_near_dedup, op9_line_dedup, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_token_counts, op4_pii, op5_best_fit_packing, op6_token_shards, op7_secret_scan, op8_embedding_near_dedup, op9_line_dedup, op10_language_id, op11_importance_resampling)}
+
+#: The steps of the CRC over one byte, in SQL: eight halvings of each byte, by its rule.
+CRC_STEPS = "list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op11_importance_resampling": rf"""
+WITH steps AS MATERIALIZED (SELECT {CRC_STEPS} AS step),
+own AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+aim AS (SELECT unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+words AS (SELECT r, unnest(ws) AS w FROM own),
+counted AS (SELECT w, sum(s)::BIGINT AS s, sum(t)::BIGINT AS t FROM (SELECT w, count(*) AS s, 0 AS t FROM words GROUP BY w UNION ALL SELECT w, 0, count(*) FROM aim GROUP BY w) GROUP BY w),
+bytes AS (SELECT w, s, t, hex(encode(w)) AS h FROM counted),
+hashed AS (SELECT w, s, t, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)), lambda c, b: xor(c // 256, step[xor(c % 256, b) + 1]))) % 10000 AS bucket FROM bytes, steps),
+buckets AS (SELECT bucket, sum(s)::BIGINT AS s, sum(t)::BIGINT AS t FROM hashed GROUP BY bucket),
+total AS (SELECT coalesce(sum(s), 0)::BIGINT AS all_s, coalesce(sum(t), 0)::BIGINT AS all_t FROM buckets),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (all_s + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * (all_t + 10000.0::DOUBLE))))::BIGINT AS g FROM buckets, total),
+weighed AS (SELECT r, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM words JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY r),
+scored AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM own LEFT JOIN weighed USING (r)),
+ranked AS (SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (WHERE n_features >= 20) OVER () AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS "rank" FROM ranked""",
+}

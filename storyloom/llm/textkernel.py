@@ -16,6 +16,9 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LETTER, _POINT = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _POINT[list(b".,;:!?")] = True
+#: ASCII but its letters and digits.
+NOT_WORD = np.zeros(256, dtype=bool)
+NOT_WORD[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
@@ -44,9 +47,10 @@ class Words:
     """The words (maximal runs without ASCII white space) of the texts of one Arrow array, in order.
 
     lower: ASCII capitals as small letters. part: a word also ends between an ASCII letter and one of .,;:!?
+    gap: a table of the 256 bytes that stand between words, in place of white space.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False, part: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, part: bool = False, gap: np.ndarray = _SPACE):
         texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
         texts = texts.fill_null("")
         _, offs, data = texts.buffers()
@@ -55,7 +59,7 @@ class Words:
         self.bounds = bounds - bounds[0]
         self.data = _LOWER[raw] if lower else raw
         n = len(raw)
-        inside = ~_SPACE[raw]
+        inside = ~gap[raw]
         edge = np.zeros(n + 1, dtype=bool)
         edge[self.bounds] = True
         if part:
@@ -144,3 +148,32 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_000_000
             size += int(k)
         yield b.slice(at)
     _trimmed()
+
+
+def _cut(text: bytes, gap: np.ndarray, most: int) -> Iterator[bytes]:
+    """A text in parts of about ``most`` bytes that end before a byte of ``gap``, so that no word is parted."""
+    data, at = np.frombuffer(text, dtype=np.uint8), 0
+    while len(data) - at > most:
+        end, step = at + most, 4096
+        while end < len(data):
+            between = np.flatnonzero(gap[data[end : end + step]])
+            if len(between):
+                end += int(between[0])
+                break
+            end, step = min(end + step, len(data)), step * 2
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def parted(batches: Iterator[pa.RecordBatch], column: str, gap: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[pa.Array, bool]]]]:
+    """Slices of rows as ``pieces`` makes them, each with its texts: all in one array, or, where the slice is one text longer
+    than ``most``, its parts one at a time (True: a part of row 0). Arrays over texts then stay small however long a text is."""
+    for b in pieces(batches, column, most):
+        texts = b.column(column)
+        size = pa.compute.binary_length(texts[0]).as_py() if b.num_rows == 1 else 0
+        if size and size > most:
+            whole = texts[0].as_py().encode("utf-8", "surrogatepass")
+            yield b, ((pa.array([p], pa.large_binary()).cast(pa.large_string()), True) for p in _cut(whole, gap, most))
+        else:
+            yield b, iter([(texts, False)])
