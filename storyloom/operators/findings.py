@@ -7,8 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
-from storyloom.operators.consolidate import display_evidence
+from storyloom.operators.alike import alike_pairs
+from storyloom.operators.consolidate import batches, display_evidence
+from storyloom.operators.firstfit import first_fit
 from storyloom.plans.graph import Graph
+from storyloom.plans.numbering import numbered
+from storyloom.plans.stored import stored
 
 FINDING = "array<struct<rule_index:int,event_index:int,event_a_index:int,event_b_index:int,description:string,confidence:double,severity:string>>"
 
@@ -25,6 +29,29 @@ def comparison_corpus(g: Graph) -> DataFrame:
     return facts.union(traits).union(speech)
 
 
+def comparison_batches(g: Graph, most: int = 15_000) -> tuple[DataFrame, DataFrame]:
+    """What findings are made of: (corpus with work_id, batch, idx, content, chunk_id; events with work_id, idx, description,
+    chunk_id), where indices count from 0, in a batch of the corpus and over a work's events."""
+    told = numbered(g.events.where("description <> ''").select("work_id", "id", "description", "chunk_id", "seq"), ["seq", "id"], ["work_id"], "n")
+    events = stored(told.select("work_id", (F.col("n") - 1).cast("int").alias("idx"), "description", "chunk_id"))
+    corpus = numbered(comparison_corpus(g), ["part", "seq", "id", "content"], ["work_id"], "n")
+    rows = corpus.select("work_id", F.col("n").alias("seq"), F.col("content").alias("text"), "chunk_id")
+    placed = stored(batches(rows, events.select("work_id", F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("] "), "description").alias("text")), most))
+    first = placed.groupBy("work_id", "batch").agg(F.min("seq").alias("first"))
+    return stored(placed.join(first, ["work_id", "batch"]).select("work_id", "batch", (F.col("seq") - F.col("first")).cast("int").alias("idx"), F.col("text").alias("content"), "chunk_id")), events
+
+
+def dedup_findings(findings: DataFrame, least: float = 0.5) -> DataFrame:
+    """Findings (work_id, batch, seq, rule, event, description) in order: of those with the same beginnings of rule and event the first,
+    and of these each unless it shares more than ``least`` of its Korean words with one kept before."""
+    placed = stored(numbered(findings, ["work_id", "batch", "seq"], name="place"))
+    pair = placed.where("rule <> '' AND event <> ''").groupBy("work_id", F.substring("rule", 1, 50), F.substring("event", 1, 50)).agg(F.min("place").alias("place")).select("place")
+    first = placed.where("NOT coalesce(rule <> '' AND event <> '', false)").unionByName(placed.join(pair, "place", "left_semi").select(placed.columns))
+    words = first.select("work_id", "place", F.lit(True).alias("asks"), T.hangul_words("description").alias("words"))
+    gone = first_fit(alike_pairs(words, "words", least).where(F.col("score") > least).select("a", "b"))
+    return first.join(gone.withColumnRenamed("b", "place"), "place", "left_anti").drop("place")
+
+
 def _severity(c: Column) -> Column:
     return F.when(c.isin("critical", "major", "minor"), c).otherwise("major")
 
@@ -70,7 +97,7 @@ def cross_dedup(existing: DataFrame, findings: DataFrame, alike: float = 0.5, le
     characters in a row with it, or if its keywords, three or more, are like those of a row kept before. A hard finding
     takes the place of a soft row that it is like by keywords. One pass for each work over its violations, which are few.
     """
-    e = existing.select("work_id", "id", F.lit(0).alias("new"), F.monotonically_increasing_id().alias("seq"), "is_report", F.substring("fact", 1, 60).alias("fact"), T.report_keywords("description").alias("kw"))
+    e = existing.select("work_id", "id", F.lit(0).alias("new"), "seq" if "seq" in existing.columns else F.monotonically_increasing_id().alias("seq"), "is_report", F.substring("fact", 1, 60).alias("fact"), T.report_keywords("description").alias("kw"))
     f = findings.select("work_id", "id", F.lit(1).alias("new"), "seq", F.col("is_hard").alias("is_report"), F.substring("rule", 1, 60).alias("fact"), T.report_keywords("description").alias("kw"))
 
     def like_text(a: str, b: str) -> bool:

@@ -153,7 +153,12 @@ def subgraph(g: Graph, ids: DataFrame) -> Graph:
     return Graph(**kept)
 
 
+def extended(g: Graph, new: Graph) -> Graph:
+    """A graph with what ``materialize`` adds to it: new rows, and items that have become unique in place of the old ones."""
+    out = {n: t.unionByName(new.tables()[n]) for n, t in g.tables().items() if n != "items"}
+    return Graph(**out, items=upsert(g.items, new.items))
+
+
 def replace_source(g: Graph, sources: DataFrame, new: Graph) -> Graph:
     """M7: the sources (source_id) taken out and what was built anew from them put in."""
-    kept = remove_sources(g, sources)
-    return Graph(**{n: t.unionByName(new.tables()[n]) for n, t in kept.tables().items()})
+    return extended(remove_sources(g, sources), new)

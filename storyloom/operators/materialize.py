@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
+from storyloom.operators.alike import alike_pairs
+from storyloom.operators.firstfit import first_fit
+from storyloom.operators.holding import holding
 from storyloom.plans.graph import Graph
+from storyloom.plans.numbering import numbered
+from storyloom.plans.stored import stored
 
 #: Words by which facts and events are read.
 TIME_JUMPS = "전|후|년 전|일 전|며칠 후|그날 밤|그때|과거에|회상|flashback|그 무렵"
@@ -37,15 +41,38 @@ def resolved(rows: DataFrame, names: DataFrame, column: str, as_: str) -> DataFr
     return rows.join(names.select("work_id", F.col("name").alias(column), F.col("cid").alias(as_)), ["work_id", column])
 
 
-def time_axes(events: DataFrame, start: int = 0) -> DataFrame:
-    """discourse_order as a running count of tenths in order of seq; a word of a time jump leaves story_order open.
+def time_axes(events: DataFrame) -> DataFrame:
+    """Events with a discourse_order get a story_order like it, but for those with a word of a time jump, where it is open."""
+    jump = F.rlike("description", F.lit(TIME_JUMPS))
+    return events.withColumns({"is_linear": ~jump, "story_order": F.when(~jump, F.col("discourse_order"))})
+
+
+def highest_orders(g: Graph) -> DataFrame:
+    """work_id, n: how many tenths the orders of a graph have come to in each work."""
+    own = [g.facts.select("work_id", F.col("established_order").alias("o")), *(t.select("work_id", F.col("discourse_order").alias("o")) for t in (g.events, g.feels, g.learns, g.mentions, g.possesses, g.loses, g.related))]
+    out = own[0]
+    for t in own[1:]:
+        out = out.union(t)
+    return out.groupBy("work_id").agg(F.round(F.coalesce(F.max("o"), F.lit(0.0)) * 10).cast("long").alias("n"))
+
 
-    The count runs over one work's events, so a work is one window.
+def ordered(steps: tuple[tuple[DataFrame, list[str]], ...], start: DataFrame) -> list[DataFrame]:
+    """The rows of all steps (rows, order) with ``discourse_order``: one running count of tenths for each work over all
+    steps, one step after the other and by its order within a step, that goes on from ``start`` (work_id, n).
+
+    Each step is numbered over sorted ranges, so a work of any size is spread over tasks; only the number of rows of each work
+    and step meet.
     """
-    n = F.row_number().over(Window.partitionBy("work_id").orderBy("seq", "description"))
-    out = events.withColumn("discourse_order", F.round((n + start) * 0.1, 4))
-    jump = F.rlike("description", F.lit(TIME_JUMPS))
-    return out.withColumns({"is_linear": ~jump, "story_order": F.when(~jump, F.col("discourse_order"))})
+    placed = [numbered(t, order, ["work_id"], "_n") for t, order in steps]
+    counts = start.select("work_id", F.lit(-1).alias("_step"), F.col("n").alias("_k"))
+    for i, t in enumerate(placed):
+        counts = counts.union(t.groupBy("work_id").agg(F.count("*").alias("_k")).select("work_id", F.lit(i).alias("_step"), "_k"))
+    w = Window.partitionBy("work_id").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    before = stored(counts.withColumn("_before", F.coalesce(F.sum("_k").over(w), F.lit(0))).drop("_k"))
+    return [
+        t.join(before.where(F.col("_step") == i).drop("_step"), "work_id", "left").withColumn("discourse_order", F.round((F.col("_before") + F.col("_n")) * 0.1, 4)).drop("_before", "_n")
+        for i, t in enumerate(placed)
+    ]
 
 
 def named_deaths(facts: DataFrame, chars: DataFrame) -> DataFrame:
@@ -75,84 +102,99 @@ def conflict_confirmations(conflicts: DataFrame) -> DataFrame:
 
 def link_facts(knowledge: DataFrame, facts: DataFrame, least: float = 0.5) -> DataFrame:
     """Each knowledge row's fact: of equal content, else the most alike by character pairs (``least`` or more, the earliest on
-    ties), else a new one, which later rows may find. Rows: work_id, seq, fact_id, content, is_new.
+    ties), else a new one, which later rows may find: work_id, k, fact_id, content, is_new (on the row that makes the fact).
 
-    Exact matches are joined; the rest goes in order through one group for each work, with an index of character pairs.
+    Equal contents are joined. Of the rest only contents that are alike meet, by their rarest character pairs. Which of them become
+    facts is an ordered first fit among contents that no fact is like; all else follows by joins.
+    knowledge: work_id, k (its place in the work), fact_content; facts: work_id, id, content, place (their order in the work).
     """
-    exact = facts.groupBy("work_id", F.col("content").alias("fact_content")).agg(F.min_by("id", "seq").alias("fact_id"))
-    k = knowledge.join(exact, ["work_id", "fact_content"], "left")
-    rest = k.where("fact_id IS NULL").select("work_id", "seq", F.col("fact_content").alias("content"), F.lit(None).cast("string").alias("id"), F.lit(1).alias("kind"), _id("fact-", "work_id", "fact_content").alias("new_id"), T.fact_bigrams("fact_content").alias("pairs"))
-    base = facts.join(rest.select("work_id").distinct(), "work_id", "left_semi").select("work_id", "seq", "content", "id", F.lit(0).alias("kind"), F.col("id").alias("new_id"), T.fact_bigrams("content").alias("pairs"))
-
-    def assign(df: pd.DataFrame) -> pd.DataFrame:
-        ids: list[str] = []
-        sets: list[set] = []
-        at: dict[str, list[int]] = {}
-        known: dict[str, str] = {}
-        out = []
-        for r in df.sort_values(["kind", "seq"]).itertuples(index=False):
-            pairs = set(r.pairs)
-            if r.kind:
-                found = known.get(r.content)
-                if found is None:
-                    shared: dict[int, int] = {}
-                    for p in pairs:
-                        for i in at.get(p, ()):
-                            shared[i] = shared.get(i, 0) + 1
-                    best = max(shared, key=lambda i: (shared[i] / len(pairs | sets[i]), -i), default=None)
-                    if best is not None and shared[best] / len(pairs | sets[best]) >= least:
-                        found = ids[best]
-                out.append((r.work_id, r.seq, found or r.new_id, r.content, found is None))
-                if found is not None:
-                    continue
-            known.setdefault(r.content, r.new_id)
-            for p in pairs:
-                at.setdefault(p, []).append(len(ids))
-            ids.append(r.new_id)
-            sets.append(pairs)
-        return pd.DataFrame(out, columns=["work_id", "seq", "fact_id", "content", "is_new"])
-
-    found = rest.unionByName(base).groupBy("work_id").applyInPandas(assign, "work_id string, seq long, fact_id string, content string, is_new boolean")
-    return found.unionByName(k.where("fact_id IS NOT NULL").select("work_id", "seq", "fact_id", F.col("fact_content").alias("content"), F.lit(False).alias("is_new")))
+    known = facts.groupBy("work_id", F.col("content").alias("fact_content")).agg(F.min_by("id", "place").alias("fact_id"))
+    k = knowledge.select("work_id", "k", "fact_content").join(known, ["work_id", "fact_content"], "left")
+    exact = k.where("fact_id IS NOT NULL").select("work_id", "k", "fact_id", F.col("fact_content").alias("content"), F.lit(False).alias("is_new"))
+    open_ = k.where("fact_id IS NULL")
+    asked = open_.groupBy("work_id", F.col("fact_content").alias("content")).agg(F.min("k").alias("at")).withColumns({"id": _id("fact-", "work_id", "content"), "asks": F.lit(True)})
+    base = facts.join(asked.select("work_id").distinct(), "work_id", "left_semi").groupBy("work_id", "content").agg(F.min_by("id", "place").alias("id"), F.min("place").alias("at")).withColumn("asks", F.lit(False))
+    texts = numbered(asked.unionByName(base), ["work_id", "asks", "at", "id"], name="place")
+    pairs = stored(alike_pairs(texts.withColumn("pairs", T.fact_bigrams("content")), "pairs", least))
+    own = texts.select("work_id", F.col("place").alias("a"), "id", "at", "asks")
+    near = pairs.join(own, "a")
+    settled = near.where("NOT asks").select("b").distinct()  # a fact is like them, so they never become one
+    loose = pairs.join(near.where("asks").select("a", "b"), ["a", "b"], "left_semi").join(settled, "b", "left_anti").join(settled.toDF("a"), "a", "left_anti")
+    gone = first_fit(loose.select("a", "b")).union(settled)
+    made = texts.where("asks").join(gone.select(F.col("b").alias("place")), "place", "left_anti").select("work_id", "content", "id", "at")
+    # what a content may be linked to: facts, and contents that became one before the row; score first, then the earliest
+    option = F.struct("score", (-F.col("a")).alias("early"), "id", F.when(F.col("asks"), F.col("at")).otherwise(F.lit(-1)).alias("since"))
+    options = near.where("NOT asks").unionByName(near.where("asks").join(made.select("work_id", "id"), ["work_id", "id"], "left_semi").select(near.columns)).groupBy("b").agg(F.collect_list(option).alias("options"))
+    asking = texts.where("asks").select("work_id", "content", F.col("place").alias("b")).join(options, "b", "left").join(made.select("work_id", "content", F.col("id").alias("own"), "at"), ["work_id", "content"], "left")
+    rows = open_.select("work_id", "k", F.col("fact_content").alias("content")).join(asking, ["work_id", "content"])
+    best = F.array_max(F.filter("options", lambda o: o["since"] < F.col("k")))["id"]
+    linked = rows.select("work_id", "k", F.coalesce("own", best).alias("fact_id"), "content", F.coalesce(F.col("k") == F.col("at"), F.lit(False)).alias("is_new"))
+    return exact.unionByName(linked)
 
 
 def materialize(spark: SparkSession, n: dict[str, DataFrame], existing: Graph | None = None) -> Graph:
-    """The graph of normalised tables characters, facts, events, traits, emotions, knowledge, items, relationships."""
+    """What normalised tables (characters, facts, events, traits, emotions, knowledge, items, relationships) add to a graph.
+
+    New vertices and all edges are given; characters, facts and items that ``existing`` holds keep their ids and are not given
+    again, but for items that have become unique. Orders go on from those of ``existing``: over new facts, events, deaths that
+    facts tell of, feelings, knowledge (a fact it makes before its own), items and relations.
+    """
     old = existing or Graph.of(spark)
+    by = ["seq", "source_chunk_id"]
     chars = upserted(old.characters, n["characters"], "name", "char-").withColumn("chunk_id", F.element_at("merged_from", 1)["source_chunk_id"])
     names = name_dictionary(chars.select("work_id", "id", "seq", "name", "aliases").unionByName(old.characters.select("work_id", "id", "seq", "name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))))
-    facts = upserted(old.facts, n["facts"], "content", "fact-").withColumns({"is_true": F.lit(True), "is_secret": F.lit(False), "chunk_id": F.element_at("merged_from", 1)["source_chunk_id"], "established_order": F.round(F.row_number().over(Window.partitionBy("work_id").orderBy("seq", "content")) * 0.1, 4)})
-    ev = time_axes(n["events"]).withColumn("id", _id("event-", "work_id", "description", "location")).withColumn("chunk_id", F.col("source_chunk_id"))
+    facts = upserted(old.facts, n["facts"], "content", "fact-").withColumns({"is_true": F.lit(True), "is_secret": F.lit(False), "source_chunk_id": F.element_at("merged_from", 1)["source_chunk_id"]})
+    facts = stored(facts.withColumn("chunk_id", F.col("source_chunk_id")).drop("merged_from"))
+    deaths = named_deaths(facts, chars).withColumn("source_chunk_id", F.col("fact_id"))
+    feels = resolved(resolved(n["emotions"], names, "from_char", "from_id"), names, "to_char", "to_id")
+    know = numbered(resolved(n["knowledge"], names, "character_name", "from_id"), [*by, "event_type", "fact_content", "from_id"], ["work_id"], "k")
+    known = old.facts.select("work_id", "id", "content", "seq", F.lit(0).alias("late")).unionByName(facts.where("is_new").select("work_id", "id", "content", "seq", F.lit(1).alias("late")))
+    known = numbered(known, ["late", "seq", "id"], ["work_id"], "place")
+    linked = stored(know.join(link_facts(know, known).withColumnRenamed("fact_id", "to_id"), ["work_id", "k"]))
+    drawn = linked.withColumn("edge", F.explode(F.when(F.col("is_new"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    it = resolved(n["items"], names, "character_name", "from_id")
+    rel = resolved(resolved(n["relationships"], names, "char_a", "from_id"), names, "char_b", "to_id").withColumn("relationship_type", T.relationship_type("type_hint"))
+    start = stored(highest_orders(old))
+    placed = (facts.where("is_new"), by), (n["events"], by), (deaths, ["seq", "fact_id"]), (feels, by), (drawn, ["k", "edge"]), (it, by), (rel, by)
+    new, ev, deaths, feels, drawn, it, rel = ordered(placed, start)
+    ev = time_axes(ev).withColumns({"id": _id("event-", "work_id", "description", "location", "discourse_order"), "chunk_id": F.col("source_chunk_id")})
     dead_events = resolved(ev.where(F.col("status_char").isNotNull() & ((F.col("event_type") == "death") | F.rlike("description", F.lit(DEATH)))), names, "status_char", "from_id")
     at = F.coalesce(F.nullif("story_order", F.lit(0.0)), F.nullif("discourse_order", F.lit(0.0)), F.lit(0.0))
-    by_fact = named_deaths(facts, chars)
-    told = ev.groupBy("work_id").agg(F.count("*").alias("_n"))
-    nth = F.row_number().over(Window.partitionBy("work_id").orderBy("seq", "fact_id"))
-    by_fact = by_fact.join(told, "work_id", "left").withColumns({"id": _id("event-", "work_id", "fact_id", F.lit("death")), "story_order": F.lit(0.0), "discourse_order": F.round((F.coalesce("_n", F.lit(0)) + nth) * 0.1, 4)})
-    deaths = by_fact.select("work_id", "id", F.col("content").alias("description"), F.lit("death").alias("event_type"), "story_order", "discourse_order", F.lit(True).alias("is_linear"), F.array("name").alias("characters_involved"), "seq")
-    statuses = dead_events.select("work_id", "from_id", F.col("id").alias("to_id"), at.alias("story_order"), "discourse_order", "chunk_id", "seq").unionByName(by_fact.select("work_id", F.col("cid").alias("from_id"), F.col("id").alias("to_id"), "story_order", "discourse_order", F.lit(None).cast("string").alias("chunk_id"), "seq")).withColumn("status_type", F.lit("dead"))
-    tr = resolved(n["traits"], names, "character_name", "from_id").withColumns({"id": _id("trait-", "work_id", "from_id", "key", "value", "seq"), "is_immutable": F.rlike(F.concat_ws(" ", "key", "value"), F.lit(IMMUTABLE)), "chunk_id": F.col("source_chunk_id"), "category": F.col("category_hint")})
-    feels = resolved(resolved(n["emotions"], names, "from_char", "from_id"), names, "to_char", "to_id").withColumns({"intensity": F.lit(0.5), "discourse_order": F.round(F.row_number().over(Window.partitionBy("work_id").orderBy("seq")) * 0.1, 4)}).withColumn("story_order", F.col("discourse_order"))
-    know = resolved(n["knowledge"], names, "character_name", "from_id")
-    order = F.round(F.row_number().over(Window.partitionBy("work_id").orderBy("seq")) * 0.1, 4)
-    linked = know.join(link_facts(know.select("work_id", "seq", "fact_content"), facts.select("work_id", "id", "content", "seq")).select("work_id", "seq", F.col("fact_id").alias("to_id"), "content", "is_new"), ["work_id", "seq"]).withColumns({"story_order": order, "discourse_order": order, "believed_true": F.lit(True)})
-    new_facts = linked.where("is_new").groupBy("work_id", F.col("to_id").alias("id")).agg(F.min_by("content", "seq").alias("content"), F.min("seq").alias("seq")).withColumns({"category": F.lit("event_fact"), "is_true": F.lit(True), "is_secret": F.lit(False)})
-    it = resolved(n["items"], names, "character_name", "from_id").withColumns({"story_order": order, "discourse_order": order})
-    things = upserted(old.items, it.groupBy("work_id", F.col("item_name").alias("name")).agg(F.min("seq").alias("seq")), "name", "item-")
-    all_facts = facts.select("work_id", "content").union(new_facts.select("work_id", "content"))
-    unique = things.select("work_id", "name").join(all_facts.where(F.rlike("content", F.lit(UNIQUE))), "work_id").where(F.contains("content", "name")).select("work_id", "name").distinct().withColumn("is_unique", F.lit(True))
-    things = things.join(unique, ["work_id", "name"], "left").withColumn("is_unique", F.coalesce("is_unique", F.lit(False)))
+    deaths = deaths.withColumns({"id": _id("event-", "work_id", "fact_id", F.lit("death"), "discourse_order"), "story_order": F.lit(0.0)})
+    told = deaths.select("work_id", "id", F.col("content").alias("description"), F.lit("death").alias("event_type"), "story_order", "discourse_order", F.lit(True).alias("is_linear"), F.array("name").alias("characters_involved"), "seq")
+    statuses = dead_events.select("work_id", "from_id", F.col("id").alias("to_id"), at.alias("story_order"), "discourse_order", "chunk_id", "seq").unionByName(deaths.select("work_id", F.col("cid").alias("from_id"), F.col("id").alias("to_id"), "story_order", "discourse_order", F.lit(None).cast("string").alias("chunk_id"), "seq")).withColumn("status_type", F.lit("dead"))
+    tr = resolved(n["traits"], names, "character_name", "from_id").withColumns({"id": _id("trait-", "work_id", "from_id", "key", "value", "seq", "source_chunk_id"), "is_immutable": F.rlike(F.concat_ws(" ", "key", "value"), F.lit(IMMUTABLE)), "chunk_id": F.col("source_chunk_id"), "category": F.col("category_hint")})
+    same = {"story_order": F.col("discourse_order"), "chunk_id": F.col("source_chunk_id")}
+    feels = feels.withColumns({"intensity": F.lit(0.5)} | same)
+    edges = drawn.where("edge = 1").withColumns({"believed_true": F.lit(True)} | same)
+    new_facts = drawn.where("edge = 0").select("work_id", F.col("to_id").alias("id"), "content", F.lit("event_fact").alias("category"), F.lit(True).alias("is_true"), F.lit(False).alias("is_secret"), F.col("discourse_order").alias("established_order"), F.col("source_chunk_id").alias("chunk_id"), "seq")
+    full = new.select("work_id", "id", "content", "category", "is_true", "is_secret", F.col("discourse_order").alias("established_order"), "chunk_id", "seq").unionByName(new_facts)
+    it = it.withColumns(same)
+    things = upserted(old.items, it.groupBy("work_id", F.col("item_name").alias("name")).agg(F.min_by("source_chunk_id", "seq").alias("chunk_id"), F.min("seq").alias("seq")), "name", "item-")
+    every = old.items.select("work_id", "id", "name", F.coalesce("is_unique", F.lit(False)).alias("was")).unionByName(things.where("is_new").select("work_id", "id", "name", F.lit(False).alias("was")))
+    unique = unique_items(every.where("NOT was"), old.facts.select("work_id", "content").union(full.select("work_id", "content")))
+    given = things.where("is_new").select("work_id", "id", "name", "chunk_id", "seq").join(unique.withColumn("is_unique", F.lit(True)), ["work_id", "id"], "left").withColumn("is_unique", F.coalesce("is_unique", F.lit(False)))
+    become = old.items.join(unique, ["work_id", "id"], "left_semi").withColumn("is_unique", F.lit(True))
     own = it.join(things.select("work_id", F.col("name").alias("item_name"), F.col("id").alias("to_id")), ["work_id", "item_name"])
-    rel = resolved(resolved(n["relationships"], names, "char_a", "from_id"), names, "char_b", "to_id").withColumn("relationship_type", T.relationship_type("type_hint"))
-    full = facts.select("work_id", "id", "content", "category", "is_true", "is_secret", "established_order", "chunk_id", "seq").unionByName(new_facts, allowMissingColumns=True)
     return Graph.of(
         spark,
-        characters=chars, facts=full, events=ev.unionByName(deaths, allowMissingColumns=True), traits=tr, items=things, statuses=statuses, feels=feels, related=rel,
-        learns=linked.where("event_type = 'learns'"), mentions=linked.where("event_type = 'mentions'"), has_trait=tr.withColumn("to_id", F.col("id")),
+        characters=chars.where("is_new"), facts=full, events=ev.unionByName(told, allowMissingColumns=True), traits=tr, items=given.unionByName(become, allowMissingColumns=True), statuses=statuses, feels=feels,
+        related=rel.withColumn("chunk_id", F.col("source_chunk_id")), learns=edges.where("event_type = 'learns'"), mentions=edges.where("event_type = 'mentions'"), has_trait=tr.withColumn("to_id", F.col("id")),
         possesses=own.where("action <> 'loses'"), loses=own.where("action = 'loses'"),
     )
 
 
+def unique_items(items: DataFrame, facts: DataFrame) -> DataFrame:
+    """work_id, id of the items whose name is in a fact of their work that says there is only one.
+
+    Facts without a word for it never meet a name, and names are looked up by an index of the facts' tokens.
+    """
+    said = facts.where(F.rlike("content", F.lit(UNIQUE))).select("work_id", F.xxhash64("work_id", "content").alias("id"), F.col("content").alias("text")).distinct()
+    named = items.where("name <> ''")
+    found = holding(said.select("id", "text"), named.select(F.col("name").alias("word"))).join(said.select("id", "work_id"), "id")
+    return named.join(found.select("work_id", F.col("word").alias("name")).distinct(), ["work_id", "name"], "left_semi").select("work_id", "id").distinct()
+
+
 def lineage(g: Graph) -> DataFrame:
     """A row for each vertex with the chunk it comes from."""
     out = None

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import lexicons as L
 from storyloom.functions import text as T
+from storyloom.operators.alike import alike_pairs, matching_pairs
+from storyloom.operators.firstfit import first_fit
+from storyloom.plans.numbering import numbered
+from storyloom.plans.stored import stored
 
 
 def characters(raw: DataFrame) -> DataFrame:
@@ -49,44 +50,21 @@ def merge_facts(raw: DataFrame, ratio: float = 0.90, least: float = 0.78) -> Dat
 
     Equal normal texts are one before any pair is compared. Representatives are taken in order within a work; a pair says the
     same if neither polarity nor numbers conflict, and the texts' matching ratio or the Jaccard similarity of their words
-    is high enough. world_fact takes the first other category. raw: work_id, content, category_hint, source_chunk_id, seq.
+    is high enough. Pairs come from joins on rare words and rare character triples, and who is a representative is an ordered
+    first fit over them, so no task holds a work. world_fact takes the first other category.
+    raw: work_id, content, category_hint, source_chunk_id, seq.
     """
     t = raw.withColumns({"norm": T.normalize_text("content"), "kind": F.coalesce("category_hint", F.lit("world_fact"))})
     exact = t.groupBy("work_id", "norm").agg(F.min_by("content", "seq").alias("content"), F.array_sort(F.collect_list(F.struct("seq", "kind", "source_chunk_id"))).alias("members"), F.min("seq").alias("seq"))
-    words = exact.withColumns({"tokens": T.semantic_tokens("content"), "core": T.semantic_tokens("content", True), "negated": T.contains_negation("content"), "numbers": F.array_sort(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(\p{Nd}+)"), 1)))})
-
-    def jaccard(a: frozenset, b: frozenset) -> float:
-        return len(a & b) / len(a | b) if a and b else 0.0
-
-    def conflicts(a, b) -> bool:
-        if a["negated"] != b["negated"] and jaccard(a["core"], b["core"]) >= 0.60:
-            return True
-        if a["numbers"] and b["numbers"] and a["numbers"] != b["numbers"]:
-            return jaccard(a["plain"], b["plain"]) >= 0.60
-        return False
-
-    def lead(df: pd.DataFrame) -> pd.DataFrame:
-        heads: list[dict] = []
-        out = []
-        for r in df.sort_values(["seq", "norm"]).to_dict("records"):
-            r |= {"tokens": frozenset(r["tokens"]), "core": frozenset(r["core"]), "numbers": tuple(r["numbers"])}
-            r["plain"] = frozenset(x for x in r["tokens"] if not any(ch.isdigit() for ch in x))
-            found = None
-            for h in heads:
-                if conflicts(r, h):
-                    continue
-                m = SequenceMatcher(None, r["norm"], h["norm"])
-                if jaccard(r["tokens"], h["tokens"]) >= least or (m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and m.ratio() >= ratio):
-                    found = h
-                    break
-            if found is None:
-                heads.append(r)
-                found = r
-            out.append((r["work_id"], r["norm"], found["norm"]))
-        return pd.DataFrame(out, columns=["work_id", "norm", "head"])
-
-    to = words.select("work_id", "norm", "seq", "tokens", "core", "negated", "numbers").groupBy("work_id").applyInPandas(lead, "work_id string, norm string, head string")
-    joined = exact.join(to, ["work_id", "norm"])
+    exact = numbered(exact, ["work_id", "seq", "norm"], name="place")
+    words = exact.select("work_id", "place", F.lit(True).alias("asks"), T.semantic_tokens("content").alias("tokens"))
+    near = alike_pairs(words, "tokens", least).select("a", "b").union(matching_pairs(exact.select("work_id", "place", F.col("norm").alias("text")), ratio)).distinct()
+    said = exact.select("place", "content")
+    both = near.join(said.toDF("a", "content_a"), "a").join(said.toDF("b", "content_b"), "b")
+    same = stored(both.where(~(T.polarity_conflict("content_b", "content_a") | T.numeric_conflict("content_b", "content_a"))).select("a", "b"))
+    gone = first_fit(same)
+    to = same.join(gone, "b", "left_semi").join(gone.withColumnRenamed("b", "a"), "a", "left_anti").groupBy(F.col("b").alias("place")).agg(F.min("a").alias("head"))
+    joined = exact.join(to, "place", "left").withColumn("head", F.coalesce("head", "place"))
     g = joined.groupBy("work_id", "head").agg(F.min_by("content", "seq").alias("content"), F.array_sort(F.flatten(F.collect_list("members"))).alias("members"), F.min("seq").alias("seq"))
     kinds = F.transform("members", lambda m: m["kind"])
     better = F.filter(kinds, lambda k: k != "world_fact")

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from storyloom.operators.chunks import chunk
 from storyloom.operators.extract import extract
-from storyloom.operators.graph_ops import remove_sources
+from storyloom.operators.graph_ops import extended, remove_sources
 from storyloom.operators.materialize import materialize
 from storyloom.operators.normalize import normalized
-from storyloom.plans.graph import VERTICES, Graph, saved, saved_tables
+from storyloom.plans.graph import Graph, saved, saved_tables
+from storyloom.plans.stored import stored
 
 
 def _lines(c):
@@ -115,23 +116,32 @@ def rebuild(g: Graph, changed: DataFrame, sources: DataFrame) -> Graph:
     extraction, normalisation and materialisation comes in; characters, facts and items that other sources still hold
     keep their ids. A source without a changed chunk is left alone.
 
+    Sources of one work come in one after the other by source_id, each normalised by itself and linked to what the work holds
+    by then; the first of all works go together, then the second, so there are as many passes as a work has changed sources.
+    What comes in has orders and insertion numbers after all that its work holds.
     changed: source_id, chunk_index, content (from ``push``); sources: work_id, source_id, source_type.
     """
     of = sources.groupBy("source_id").agg(F.min("work_id").alias("work_id"), F.min("source_type").alias("source_type"))
-    rows = changed.join(of, "source_id").select(
-        "work_id", "source_id", F.concat_ws("#", "source_id", F.col("chunk_index").cast("string")).alias("chunk_id"), F.coalesce("source_type", F.lit("scenario")).alias("source_type"),
-        F.col("chunk_index").cast("long").alias("seq"), F.col("content").alias("text"),
+    rows = changed.join(of, "source_id").withColumn("chunk_id", F.concat_ws("#", "source_id", F.col("chunk_index").cast("string")))
+    turn = rows.select("work_id", "source_id").distinct().withColumn("turn", F.row_number().over(Window.partitionBy("work_id").orderBy("source_id")))
+    rows = stored(rows.join(turn, ["work_id", "source_id"]))
+    out = saved(remove_sources(g, rows.select("source_id")))
+    for k in range(1, (rows.agg(F.max("turn")).first()[0] or 0) + 1):
+        out = saved(_with_sources(out, rows.where(F.col("turn") == k)))
+    return out
+
+
+def _with_sources(g: Graph, rows: DataFrame) -> Graph:
+    """The graph with what the chunks of one source of each work give."""
+    last = None
+    for t in g.tables().values():
+        one = t.groupBy("work_id").agg(F.max("seq").alias("s"))
+        last = one if last is None else last.union(one)
+    after = last.groupBy("work_id").agg((F.floor(F.max("s") / 1000) + 1).cast("long").alias("_after"))
+    chunks = rows.join(after, "work_id", "left").select(
+        "work_id", "source_id", "chunk_id", F.coalesce("source_type", F.lit("scenario")).alias("source_type"),
+        (F.coalesce("_after", F.lit(0)) + F.col("chunk_index")).cast("long").alias("seq"), F.col("content").alias("text"),
     )
-    kept = remove_sources(g, rows.select("source_id"))
-    new = saved(materialize(g.characters.sparkSession, saved_tables(normalized(saved_tables(extract(rows)))), saved(kept)))
-    source = rows.select("work_id", "chunk_id", F.col("source_id").alias("_source"))
-
-    def sourced(t: DataFrame) -> DataFrame:
-        out = t.join(source, ["work_id", "chunk_id"], "left")
-        return out.withColumn("source_id", F.coalesce("source_id", "_source")).select(t.columns)
-
-    tables = {}
-    for n, t in kept.tables().items():
-        made = sourced(new.tables()[n])
-        tables[n] = t.unionByName(made.join(t.select("work_id", "id"), ["work_id", "id"], "left_anti") if n in VERTICES else made)
-    return Graph(**tables)
+    new = materialize(g.characters.sparkSession, saved_tables(normalized(saved_tables(extract(chunks)))), g)
+    source = rows.groupBy("work_id").agg(F.min("source_id").alias("_source"))
+    return extended(g, Graph(**{n: t.join(source, "work_id", "left").withColumn("source_id", F.coalesce("source_id", "_source")).select(t.columns) for n, t in saved(new).tables().items()}))

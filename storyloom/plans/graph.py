@@ -6,13 +6,14 @@ and seq; both have the columns of their label besides. ``seq`` is the order of i
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.plans.stored import shared_dir
+
 CHARACTER = "work_id string, id string, name string, aliases array<string>, tier int, description string, source_id string, chunk_id string, seq long"
 FACT = "work_id string, id string, content string, category string, importance string, is_true boolean, is_secret boolean, established_order double, source_id string, chunk_id string, seq long"
 EVENT = "work_id string, id string, description string, event_type string, story_order double, discourse_order double, is_linear boolean, location string, characters_involved array<string>, source_id string, chunk_id string, seq long"
@@ -75,14 +76,10 @@ def unmarked(edges: DataFrame) -> DataFrame:
 
 
 def saved_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The tables as Parquet in the folder that spark.checkpoint.dir names (a local one where it is unset, as in tests),
-    so that later steps read them and not all that led to them, and a lost executor costs one table at most."""
+    """The tables as Parquet in the shared folder, so that later steps read them and not all that led to them, and a lost
+    executor costs one table at most."""
     spark = next(iter(tables.values())).sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='storyloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/storyloom/tables-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
     for name, t in tables.items():
         t.write.parquet(f"{path}/{name}")
     return {name: spark.read.schema(t.schema).parquet(f"{path}/{name}") for name, t in tables.items()}

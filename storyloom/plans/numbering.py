@@ -28,3 +28,18 @@ def numbered(df: DataFrame, order: list[Column | str], by: list[str] | None = No
         on = on & c
     n = F.col("a.__at") - F.col("b.__first") + F.col("b.__before") + 1
     return at.alias("a").join(starts.alias("b"), on).select(*(F.col(f"a.`{c}`") for c in df.columns), n.alias(name))
+
+
+def running_sum(df: DataFrame, value: str, order: list[Column | str], by: list[str], name: str = "total") -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` (a whole number) over the rows before each in ``order`` within its group ``by``.
+
+    As ``numbered``: sums run within the sorted ranges, and only the ranges' totals meet.
+    """
+    at = stored(df.orderBy(*by, *order).withColumn("__at", F.monotonically_increasing_id())).withColumn("__range", F.shiftright("__at", 33))
+    up_to = Window.unboundedPreceding, -1
+    within = F.coalesce(F.sum(value).over(Window.partitionBy(*by, "__range").orderBy("__at").rowsBetween(*up_to)), F.lit(0))
+    totals = at.groupBy(*by, "__range").agg(F.sum(value).alias("__k")).withColumn("__before", F.coalesce(F.sum("__k").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(*up_to)), F.lit(0))).drop("__k")
+    on = F.col("a.__range") == F.col("b.__range")
+    for c in by:
+        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return at.withColumn("__within", within).alias("a").join(totals.alias("b"), on).select(*(F.col(f"a.`{c}`") for c in df.columns), (F.col("a.__within") + F.col("b.__before")).alias(name))
