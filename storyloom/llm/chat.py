@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.shared import bounded, shared_dir
+from storyloom.llm.shared import bounded, shared_dir, written
 from storyloom.llm.templates import Template
 
 #: Strings that models read as control, which a text may hold by chance.
@@ -65,7 +65,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 1_000_000) ->
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
-def format_chats(turns: DataFrame, source: str = CHAT, slice_bits: int = SLICE_BITS, folder: str | None = None) -> DataFrame:
+def format_chats(turns: DataFrame, source: str = CHAT, slice_bits: int = SLICE_BITS, folder: str | None = None, most_sent: int = 500_000) -> DataFrame:
     """The turns as formatted text, written as gzipped JSON lines to ``folder`` (by default a new one in the shared folder)
     and read from there: conv_id, slot, place (of the turn in its conversation), several, text, spans (s, e: code points of
     ``text`` under the loss mask).
@@ -82,9 +82,13 @@ def format_chats(turns: DataFrame, source: str = CHAT, slice_bits: int = SLICE_B
     w = Window.partitionBy("conv_id")
     counts = rows.groupBy("conv_id", "slot").agg(F.count("*").alias("k"))
     before = F.coalesce(F.sum("k").over(w.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.withColumns({"start": before, "final": F.max("slot").over(w) == F.col("slot"), "first": F.min("slot").over(w) == F.col("slot")}).where("NOT (first AND final)").select("conv_id", "slot", "start", "final")
+    starts = written(counts.withColumns({"start": before, "final": F.max("slot").over(w) == F.col("slot"), "first": F.min("slot").over(w) == F.col("slot")}).where("NOT (first AND final)").select("conv_id", "slot", "start", "final"))
+    many = starts.count()  # slices of conversations of several, a few dozen bytes each
     on = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.slot") == F.col("b.slot"))
-    placed = rows.alias("a").join(starts.alias("b"), on, "left").select("a.conv_id", "a.slot", "turn", "role", "text", "start", F.coalesce("final", F.lit(True)).alias("final"))
+    if many:
+        placed = rows.alias("a").join((F.broadcast(starts) if many <= most_sent else starts).alias("b"), on, "left").select("a.conv_id", "a.slot", "turn", "role", "text", "start", F.coalesce("final", F.lit(True)).alias("final"))
+    else:
+        placed = rows.select("conv_id", "slot", "turn", "role", "text", F.lit(None).cast("long").alias("start"), F.lit(True).alias("final"))
     ordered = placed.repartition("conv_id", "slot").sortWithinPartitions("conv_id", "slot", "turn", "role", "text").drop("turn")
     schema = pa.schema([("conv_id", pa.int64()), ("slot", pa.int64()), ("place", pa.int64()), ("several", pa.bool_()), ("text", pa.string()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))])
 

@@ -1,14 +1,16 @@
-"""Benchmark decontamination: BM25 retrieval with block-max pruning, then verified question and answer overlap.
+"""Benchmark decontamination: a BM25 index of the test items with block-max WAND, then verified question and answer overlap.
 
-The inverted index holds the test items, and every passage of every document is a query. Impacts are normalised, so
-that a score is the share of an item's BM25 weight that a passage holds, and one threshold suits all items. Items
-stand in blocks; for each query, blocks whose summed block maxima stay below the threshold are skipped whole, and
-the items of the others are scored exactly, so all items above the threshold are found. Queries are evaluated a
-batch at a time. Very common terms only add their largest impact to the bound.
+The inverted index holds the test items, and every document is a query. Terms are the word n-grams that the overlap test
+counts, so the least score of an item that can pass the test follows from it: all its weight but the heaviest terms that may be
+missing. Impacts are shares of that least score, which makes one threshold, 1, hold for all items and lose none. Cursors over
+the posting lists stand by item; the first at which the lists' greatest impacts can reach the threshold is the pivot, blocks
+whose maxima cannot are skipped, and only what is left is scored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.llm.shared import bounded, id_text
-from storyloom.llm.textkernel import Words, pieces
+from storyloom.llm.textkernel import _SPACE, Words, mix, parted
 
 BLOCK = 8
-#: Cells of a table that is set rather than sorted.
-DENSE = 32_000_000
 K1, B = 1.2, 0.75
+NEAR = 1e-6
 
 
 def plain(texts: pa.Array) -> pa.Array:
@@ -30,33 +31,48 @@ def plain(texts: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{N}]+", " ")
 
 
-def _ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All places of the ranges (first, size), and each one's range."""
-    ends = np.cumsum(size)
-    of = np.repeat(np.arange(len(size)), size)
-    return first[of] + np.arange(ends[-1] if len(ends) else 0) - (ends - size)[of], of
+def runs(h: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every run of ``k`` words of one row, from the words' hashes and rows."""
+    n = max(0, len(h) - k + 1)
+    g = np.full(n, k, dtype=np.uint64)
+    for i in range(k):
+        g = (g ^ h[i : i + n]) * np.uint64(0xD6E8FEB86659FD93)
+        g = g ^ (g >> np.uint64(32))
+    whole = of[:n] == of[k - 1 : k - 1 + n]
+    return of[:n][whole], mix(g[whole])
 
 
 class ItemIndex:
-    """The index of one shard of items. terms: (item, hash) of each distinct term of an item with its count."""
+    """The index of one shard of items: for each its question's and its answer's distinct terms, and how often each occurs.
 
-    def __init__(self, item: np.ndarray, term: np.ndarray, tf: np.ndarray, df: np.ndarray, length: np.ndarray, n_items: int, mean: float):
-        idf = np.log(1 + (n_items - df + 0.5) / (df + 0.5))
-        w = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(mean, 1e-9)))
-        w = w / np.maximum(np.bincount(item, weights=w, minlength=len(length)), 1e-12)[item]
+    items: (question terms, answer terms, {term: count}) of each item; df: of each term, over all shards.
+    """
+
+    def __init__(self, items: list[tuple[np.ndarray, np.ndarray, dict[int, int]]], df: dict[int, int], n_items: int, mean: float, share: float):
+        item, term, weight, self.whole = [], [], [], np.zeros(len(items))
+        for i, (q, a, tf) in enumerate(items):
+            t = np.unique(np.concatenate([q, a]))
+            size = sum(tf.values())
+            each = np.array([tf[int(x)] for x in t], dtype=np.float64)
+            often = np.array([df[int(x)] for x in t], dtype=np.float64)
+            w = np.log(1 + (n_items - often + 0.5) / (often + 0.5)) * each * (K1 + 1) / (each + K1 * (1 - B + B * size / max(mean, 1e-9)))
+            missing = sum(len(p) - int(np.ceil(share * len(p) - NEAR)) for p in (q, a))
+            least = w.sum() - np.sort(w)[::-1][:missing].sum()
+            self.whole[i] = w.sum() / max(least, 1e-12)
+            item.append(np.full(len(t), i))
+            term.append(t)
+            weight.append(w / max(least, 1e-12))
+        none = np.zeros(0)
+        item, term, weight = (np.concatenate(x) if x else none.astype(k) for x, k in ((item, np.int64), (term, np.uint64), (weight, float)))
         order = np.lexsort((item, term))
-        item, term, w, df = item[order], term[order], w[order], df[order]
-        self.blocks = max(1, -(-len(length) // BLOCK))
+        item, term, weight = item[order], term[order], weight[order]
         self.terms, first = np.unique(term, return_index=True)
-        self.item, self.weight = item.astype(np.int32), w.astype(np.float32)
-        of = np.repeat(np.arange(len(self.terms)), np.diff(np.append(first, len(term))))
-        key = of.astype(np.int64) * self.blocks + item // BLOCK
-        self.key, at = np.unique(key, return_index=True)
-        self.at = np.append(at, len(key))
-        self.top = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0, dtype=np.float32)
-        self.first_block = np.searchsorted(self.key, np.arange(len(self.terms) + 1) * self.blocks)
-        self.max = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
-        self.common = df[first] > max(16, n_items // 10) if len(first) else np.zeros(0, dtype=bool)
+        ends = np.append(first, len(term)).tolist()
+        self.items = [item[a:b].tolist() for a, b in zip(ends, ends[1:])]
+        self.weights = [weight[a:b].tolist() for a, b in zip(ends, ends[1:])]
+        self.tops = [[max(w[k : k + BLOCK]) for k in range(0, len(w), BLOCK)] for w in self.weights]
+        self.top = [max(t) for t in self.tops]
+        self.parts = [(set(np.searchsorted(self.terms, q).tolist()), set(np.searchsorted(self.terms, a).tolist())) for q, a, _ in items]
 
         # the places of terms by the first bits of their hashes; where two terms meet, the sorted terms are searched
         bits = min(24, max(16, len(self.terms).bit_length() + 4))
@@ -74,55 +90,61 @@ class ItemIndex:
         k[(k >= 0) & (self.terms[k] != h)] = -1
         return k
 
-    def find(self, query: np.ndarray, term: np.ndarray, n_queries: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, item, score) of all scores >= least. query and term (a place in terms) are the queries' distinct terms, by query."""
-        least -= 1e-5
-        rare = ~self.common[term]
-        more = np.bincount(query[~rare], weights=self.max[term[~rare]], minlength=n_queries)
-        place, of = _ranges(self.first_block[term[rare]], np.diff(self.first_block)[term[rare]])
-        cell = query[rare][of].astype(np.int64) * self.blocks + self.key[place] % self.blocks
-        if n_queries * self.blocks <= DENSE:
-            live = np.flatnonzero(np.bincount(cell, weights=self.top[place], minlength=n_queries * self.blocks) >= np.repeat(least - more, self.blocks))
-        else:
-            cells, inverse = np.unique(cell, return_inverse=True)
-            bound = np.bincount(inverse, weights=self.top[place], minlength=len(cells)) + more[cells // self.blocks]
-            live = cells[bound >= least]
-        if (whole := np.flatnonzero(more >= least)).size:  # the common terms alone could do: no block can be skipped
-            live = np.unique(np.concatenate([live, (whole[:, None] * self.blocks + np.arange(self.blocks)).reshape(-1)]))
-        if not len(live):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-        q, block = live // self.blocks, live % self.blocks
-        cuts = np.searchsorted(query, np.arange(n_queries + 1))
-        place, of = _ranges(cuts[q], cuts[q + 1] - cuts[q])
-        key = term[place].astype(np.int64) * self.blocks + block[of]
-        k = np.searchsorted(self.key, key)
-        good = k < len(self.key)
-        good[good] = self.key[k[good]] == key[good]
-        k, of = k[good], of[good]
-        posting, part = _ranges(self.at[k], self.at[k + 1] - self.at[k])
-        cell = of[part] * BLOCK + self.item[posting] % BLOCK
-        score = np.bincount(cell, weights=self.weight[posting], minlength=len(live) * BLOCK)
-        hit = np.flatnonzero(score >= least)
-        return q[hit // BLOCK], block[hit // BLOCK] * BLOCK + hit % BLOCK, score[hit]
-
-
-def _overlap(part: np.ndarray, doc: np.ndarray, n: int) -> float:
-    """The share of the part's distinct n-grams of words that the document has; of a shorter part, the whole sequence."""
-    n = min(n, len(part))
-    if not n:
-        return 0.0
-    own, there = ({tuple(x[i : i + n]) for i in range(len(x) - n + 1)} for x in (part.tolist(), doc.tolist()))
-    return len(own & there) / len(own)
-
-
-def find_leaks(docs: DataFrame, items: DataFrame, least_score: float = 0.5, n: int = 5, num: int = 80, den: int = 100, most_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str = "question", answer_col: str = "answer") -> DataFrame:
+    def find(self, terms: list[int]) -> list[tuple[int, float]]:
+        """(item, score) of all items whose impacts over the distinct ``terms`` (places) sum up to the threshold, by item."""
+        least, out = 1 - NEAR, []
+        cursors = [[self.items[t][0], 0, t] for t in terms]  # the item it stands at, the place of that in its list, the list
+        while cursors:
+            cursors.sort()
+            bound, pivot = 0.0, None
+            for k, c in enumerate(cursors):
+                bound += self.top[c[2]]
+                if bound >= least:
+                    pivot = c[0]
+                    break
+            if pivot is None:
+                break
+            k += sum(1 for c in cursors[k + 1 :] if c[0] == pivot)
+            bound, until = 0.0, cursors[k + 1][0] if k + 1 < len(cursors) else None
+            for _, at, t in cursors[: k + 1]:
+                at = bisect_left(self.items[t], pivot, at)
+                if at < len(self.items[t]):
+                    block = at // BLOCK
+                    bound += self.tops[t][block]
+                    after = self.items[t][min(len(self.items[t]), (block + 1) * BLOCK) - 1] + 1
+                    until = after if until is None else min(until, after)
+            if bound < least:  # nothing up to the end of the nearest block, or to the next cursor, can reach it
+                to = max(pivot + 1, until if until is not None else pivot + 1)
+                moved = cursors[: k + 1]
+            elif cursors[0][0] == pivot:
+                score = sum(self.weights[t][at] for i, at, t in cursors[: k + 1])
+                if score >= least:
+                    out.append((pivot, score))
+                to, moved = pivot + 1, cursors[: k + 1]
+            else:
+                to, moved = pivot, [c for c in cursors[: k + 1] if c[0] < pivot]
+            for c in moved:
+                c[1] = bisect_left(self.items[c[2]], to, c[1])
+                c[0] = self.items[c[2]][c[1]] if c[1] < len(self.items[c[2]]) else -1
+            cursors = [c for c in cursors if c[0] >= 0]
+        return out
+
+
+def _part_terms(w: Words, h: np.ndarray, i: int, n: int) -> np.ndarray:
+    """The terms of text i: its runs of ``n`` words, or, if it is shorter, the whole as one; repeats stay."""
+    own = h[w.first[i] : w.first[i + 1]]
+    return runs(own, np.zeros(len(own), dtype=np.int64), min(n, len(own)))[1] if len(own) else np.zeros(0, dtype=np.uint64)
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den: int = 100, most_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str = "question", answer_col: str = "answer") -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap for each document that holds a test item.
 
-    A document is queried by overlapping passages of twice the longest item's words, so any passage as long as an
-    item lies whole in one. What is retrieved counts as a leak if num / den of the n-word shingles of the question, and
-    as many of the answer's, are in the document. Items go in shards of about ``most_words`` words, a bound for what
-    is broadcast; each shard is one more pass over the documents. Null or empty texts and items match nothing; a null
-    answer is left out of the test; repeated rows give repeated results; null keys stay.
+    A leak holds num / den of the distinct n-word runs of the question, and as many of the answer's, anywhere in the document; a
+    part of fewer than n words counts as one run. All leaks are found: the index is asked for every item that could be one.
+    score is the share of the item's BM25 weight in the document. Items go in shards of about ``most_words`` words, a bound for
+    what is broadcast; each shard is one more pass over the documents. A text is read in parts, so its length does not bound
+    it. Null or empty texts and items match nothing; a null answer is left out of the test; repeated rows give repeated
+    results; null keys stay; no rows on either side give none.
     """
     spark = docs.sparkSession
     bounded(spark)
@@ -131,71 +153,70 @@ def find_leaks(docs: DataFrame, items: DataFrame, least_score: float = 0.5, n: i
 
     def terms(batches):
         for b in batches:
-            w = Words(plain(pc.binary_join_element_wise(b.column("q"), b.column("a"), " ")))
-            pairs = np.unique(np.stack([w.doc.astype(np.uint64), w.hashes()], axis=1), axis=0)
-            yield pa.RecordBatch.from_pydict({"term": pa.array(pairs[:, 1].view(np.int64)), "words": pa.array(np.zeros(len(pairs), dtype=np.int64))})
-            yield pa.RecordBatch.from_pydict({"term": pa.array([None] * b.num_rows, pa.int64()), "words": pa.array(w.count.astype(np.int64))})
-
-    counted = table.mapInArrow(terms, "term long, words long")
-    n_items, n_words = counted.where("term IS NULL AND words > 0").agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
+            found, size = [], np.zeros(b.num_rows, dtype=np.int64)
+            for c in ("q", "a"):
+                w = Words(plain(b.column(c)))
+                h = w.hashes()
+                for i in range(b.num_rows):
+                    t = _part_terms(w, h, i, n)
+                    size[i] += len(t)
+                    found.append(np.stack([np.full(len(t), i, dtype=np.uint64), t], axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.uint64)
+            yield pa.RecordBatch.from_pydict({"term": pa.array(pairs[:, 1].copy().view(np.int64)), "size": pa.array(np.zeros(len(pairs), dtype=np.int64))})
+            yield pa.RecordBatch.from_pydict({"term": pa.array([None] * b.num_rows, pa.int64()), "size": pa.array(size)})
+
+    counted = table.mapInArrow(terms, "term long, size long")
+    n_items, n_terms = counted.where("term IS NULL AND size > 0").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     frequency = counted.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
-    shards = max(1, -(-n_words // most_words))
+    shards = max(1, -(-n_terms // most_words))
     out = None
     for shard in range(shards):
         own = table.where(F.pmod(F.xxhash64("q", "a"), F.lit(shards)) == shard) if shards > 1 else table
-        df = dict(own.mapInArrow(terms, "term long, words long").where("term IS NOT NULL").select("term").distinct().join(frequency, "term").toLocalIterator())
-        found = _scan(rows, own.orderBy("item_id", "q", "a").collect(), df, n_items, n_words / max(1, n_items), least_score, n, num / den)
+        df = {t % (1 << 64): k for t, k in own.mapInArrow(terms, "term long, size long").where("term IS NOT NULL").select("term").distinct().join(frequency, "term").toLocalIterator()}
+        found = _scan(rows, own.orderBy("item_id", "q", "a").collect(), df, n_items, n_terms / max(1, n_items), n, num / den)
         out = found if out is None else out.union(found)
     return out
 
 
-def _scan(rows: DataFrame, items: list, df: dict[int, int], n_items: int, mean: float, least: float, n: int, share: float) -> DataFrame:
-    ids = [r["item_id"] for r in items]
-    sides = [Words(plain(pa.array([r[k] for r in items], pa.string()))) for k in ("q", "a")]
-    parts = [[h[w.first[i] : w.first[i + 1]] for i in range(len(items))] for w, h in ((w, w.hashes()) for w in sides)]
-    words = [np.concatenate([q, a]) for q, a in zip(*parts)]
-    length = np.array([len(x) for x in words], dtype=np.int64)
-    longest = int(length.max(initial=0))
-    each = [np.unique(x, return_counts=True) for x in words]
-    item = np.repeat(np.arange(len(items)), [len(t) for t, _ in each])
-    term = np.concatenate([t for t, _ in each]) if each else np.zeros(0, dtype=np.uint64)
-    tf = np.concatenate([c for _, c in each]) if each else np.zeros(0)
-    index = ItemIndex(item, term, tf, np.array([df[int(t)] for t in term.view(np.int64)]), length, n_items, mean)
-    sent = rows.sparkSession.sparkContext.broadcast((index, parts))
+def _scan(rows: DataFrame, items: list, df: dict[int, int], n_items: int, mean: float, n: int, share: float) -> DataFrame:
+    ids, shard, lengths = [], [], set()
+    sides = [(w, w.hashes()) for w in (Words(plain(pa.array([r[k] for r in items], pa.string()))) for k in ("q", "a"))]
+    for i, r in enumerate(items):
+        parts = [_part_terms(w, h, i, n) for w, h in sides]
+        if len(parts[0]) + len(parts[1]):
+            lengths |= {min(n, int(w.count[i])) for w, _ in sides if w.count[i]}
+            every, count = np.unique(np.concatenate(parts), return_counts=True)
+            ids.append(r["item_id"])
+            shard.append((np.unique(parts[0]), np.unique(parts[1]), dict(zip(every.tolist(), count.tolist()))))
+    sent = rows.sparkSession.sparkContext.broadcast((ItemIndex(shard, df, n_items, mean, share), ids))
     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
 
+    def held(texts: Iterator[tuple[pa.Array, bool]], index: ItemIndex, n_rows: int) -> list[set[int]]:
+        """The index's terms that each row holds, over all parts of a text."""
+        out: list[set[int]] = [set() for _ in range(n_rows)]
+        h, of = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        for t, part in texts:
+            w = Words(plain(t))
+            keep = min(n - 1, len(h)) if part else 0  # the words before, for runs that began there
+            h, of = np.concatenate([h[len(h) - keep :], w.hashes()]), np.concatenate([of[len(of) - keep :], w.doc])
+            for k in lengths:
+                row, g = runs(h, of, k)
+                at = index.places(g)
+                for r, x in zip(row[at >= 0].tolist(), at[at >= 0].tolist()):
+                    out[r].add(x)
+        return out
+
     def scan(batches):
-        index, parts = sent.value
-        for b in pieces(batches, "text"):
+        index, ids = sent.value
+        for b, texts in parted(batches, "text", _SPACE):
             if not len(index.terms):
                 continue
-            w = Words(plain(b.column("text")))
-            h = w.hashes()
-            at = index.places(h)
-            use = np.flatnonzero(at >= 0)
-            # passages begin every ``longest`` words of a document and hold twice as many: a word is in its own and in the one before
-            step = (use - w.first[w.doc[use]]) // longest
-            count = -(-w.count // longest)
-            base = np.concatenate([[0], np.cumsum(count)])
-            own = base[w.doc[use]] + step
-            query = np.concatenate([own, own[step > 0] - 1])
-            pair = query * len(index.terms) + np.concatenate([at[use], at[use][step > 0]])
-            if base[-1] * len(index.terms) <= DENSE:
-                there = np.zeros(int(base[-1]) * len(index.terms), dtype=bool)
-                there[pair] = True
-                pair = np.flatnonzero(there)
-            else:
-                pair = np.unique(pair)
-            q, found, score = index.find(pair // len(index.terms), pair % len(index.terms), int(base[-1]), least)
-            best: dict[tuple[int, int], float] = {}
-            for d, i, s in zip((np.searchsorted(base, q, side="right") - 1).tolist(), found.tolist(), score.tolist()):
-                best[d, i] = max(s, best.get((d, i), 0.0))
             out = []
-            for (d, i), s in sorted(best.items()):
-                text = h[w.first[d] : w.first[d + 1]]
-                over = [_overlap(p[i], text, n) for p in parts]
-                if all(x >= share or not len(p[i]) for x, p in zip(over, parts)):
-                    out.append((d, ids[i], min(s, 1.0), *over))
+            for d, there in enumerate(held(texts, index, b.num_rows)):
+                for i, score in index.find(sorted(there)) if there else ():
+                    over = [len(p & there) / len(p) if p else 0.0 for p in index.parts[i]]
+                    if all(x >= share - NEAR or not p for x, p in zip(over, index.parts[i])):
+                        out.append((d, ids[i], min(1.0, score / index.whole[i]), *over))
             if out:
                 d, *rest = zip(*out)
                 kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]

@@ -116,21 +116,63 @@ def test_leaks(spark, docs, empty):
     assert decontam.find_leaks(docs, items).count() == 0 and decontam.find_leaks(empty, items).count() == 0 and decontam.find_leaks(d, items.limit(0)).count() == 0
 
 
-def test_block_pruning_finds_all_above_the_threshold():
+def leaked(doc, q, a, n=5):
+    """The overlap test by itself, over whole texts."""
+    plain = lambda x: re.findall(r"[^\W_]+", x.lower())
+    words = plain(doc)
+    for part in filter(None, (plain(q), plain(a or ""))):
+        k = min(n, len(part))
+        own = {tuple(part[i : i + k]) for i in range(len(part) - k + 1)}
+        there = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
+        if len(own & there) < 0.8 * len(own) - 1e-9:
+            return False
+    return bool(plain(q) or plain(a or ""))
+
+
+def test_every_leak_is_found(spark):
+    """Items whole, cut at an end, edited, parted over a document, and in a text of many parts, with common terms and short parts."""
+    r = random.Random(6)
+    common = prose(12, 500)
+    items = [(i, f"{common if i % 3 == 0 else prose(8, 600 + i)} {prose(r.randint(2, 30), 700 + i)}?", [prose(r.randint(1, 25), 800 + i), None, "yes", prose(30, 900)][i % 4]) for i in range(60)]
+    docs = []
+    for i, q, a in items:
+        w, v = q.split(" "), (a or "").split(" ")
+        cut = lambda x, k: " ".join(x[: max(1, len(x) - k)])
+        for k in range(0, 8):
+            docs.append((len(docs), f"{cut(w, k)} {prose(r.choice([0, 5, 400]), 1000 + len(docs))}. {cut(v, k % 5)}"))
+        docs += [(len(docs) + k, f"{edited(q, k, k + 1)} {prose(3, k)} {edited(a, k, 1 + k // 2) if a else ''}") for k in range(4)]
+    docs += [(len(docs), prose(3000, 1)), (len(docs) + 1, f"{items[5][1]} " + "pad " * 600_000 + f"{items[5][2]} {items[6][1]} {items[6][2]}")]
+    table = spark.createDataFrame(items, "item_id long, question string, answer string")
+    want = {(d, i) for d, x in docs for i, q, a in items if leaked(x.replace("pad " * 599_990, ""), q, a)}
+    assert {(docs[-1][0], i) for i in (5, 6)} <= want
+    for most in (2_000_000, 300):
+        got = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), table, most_words=most)
+        assert {(x.doc_id, x.item_id) for x in got.collect()} == want, most
+    assert len(want) > 150
+
+
+def test_a_question_at_the_start_and_its_answer_at_the_end(spark):
+    items = spark.createDataFrame([(i, prose(30, 2000 + i), prose(30, 3000 + i)) for i in range(41)], "item_id long, question string, answer string")
+    first = lambda k: " ".join(prose(30, k).split(" ")[:26])
+    docs = spark.createDataFrame([(1, f"{first(2007)} {prose(400, 1)} {first(3007)}"), (2, f"{first(2007)} {prose(400, 1)}")], "doc_id long, text string")
+    assert [(x.doc_id, x.item_id) for x in decontam.find_leaks(docs, items).collect()] == [(1, 7)]
+
+
+def test_wand_finds_all_above_the_threshold():
     r = np.random.default_rng(3)
     terms = np.sort(r.integers(0, 2**63, 400).astype(np.uint64))
-    items = [np.unique(r.choice(terms, 12, p=np.r_[np.full(20, 0.03), np.full(380, 0.4 / 380)])) for _ in range(100)]
-    item, term = np.repeat(np.arange(100), [len(x) for x in items]), np.concatenate(items)
-    df = Counter(term.tolist())
-    index = decontam.ItemIndex(item, term, np.ones(len(item)), np.array([df[int(t)] for t in term]), np.array([len(x) for x in items]), 100, 12.0)
-    queries = [np.unique(np.concatenate([items[k % 100][: 6 + k % 7], r.choice(terms, 10)])) for k in range(50)]
-    query, there = np.repeat(np.arange(50), [len(x) for x in queries]), index.places(np.concatenate(queries))
-    order = np.lexsort((there, query))
-    keep = there[order] >= 0
-    q, i, s = index.find(query[order][keep], there[order][keep].astype(np.int64), 50, 0.5)
-    weight = {(int(a), int(index.terms[t])): w for t in range(len(index.terms)) for k in range(index.first_block[t], index.first_block[t + 1]) for a, w in zip(index.item[index.at[k] : index.at[k + 1]], index.weight[index.at[k] : index.at[k + 1]])}
-    want = {(k, j) for k in range(50) for j in range(100) if sum(weight.get((j, int(t)), 0) for t in queries[k]) >= 0.5}
-    assert set(zip(q.tolist(), i.tolist())) == want and want
+    items = [np.unique(r.choice(terms, 12, p=np.r_[np.full(20, 0.03), np.full(380, 0.4 / 380)])) for _ in range(300)]
+    df = Counter(t for x in items for t in x.tolist())
+    index = decontam.ItemIndex([(x[:5], x[5:], {int(t): 1 for t in x}) for x in items], df, 300, 12.0, 0.6)
+    for k in range(200):
+        query = np.unique(np.concatenate([items[k][: 3 + k % 9], r.choice(terms, 40)]))
+        at = index.places(query)
+        there = sorted(at[at >= 0].tolist())
+        score = Counter()
+        for t in there:
+            for i, w in zip(index.items[t], index.weights[t]):
+                score[i] += w
+        assert [i for i, _ in index.find(there)] == sorted(i for i, s in score.items() if s >= 1 - decontam.NEAR)
 
 
 def test_token_counts(spark, docs, texts, empty):
