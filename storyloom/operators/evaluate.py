@@ -2,43 +2,55 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import lexicons as L
-from storyloom.operators.holding import holding
+from storyloom.operators.holding import holding, names_in
+from storyloom.plans.numbering import numbered
+from storyloom.plans.stored import stored
 
 
-def match_scores(violations: DataFrame, gold: DataFrame) -> DataFrame:
-    """Case, gold id and violation id with the share of the gold's keywords in the violation's text, where it is above 0.
+def match_scores(violations: DataFrame, gold: DataFrame, least: float = 0.0) -> DataFrame:
+    """Case, gold id and violation id with the share of the gold's keywords in the violation's text, where it is above 0
+    and ``least`` or more.
 
-    violations: case, vid, seq, text, is_hard; gold: case, gid, seq, keywords, category, hard_soft. Only pairs of a case
-    that share a keyword are made; keywords that are empty or blank count as not found.
+    violations: case, vid, seq, text, is_hard; gold: case, gid, seq, keywords, category, hard_soft. A pair arises from one of the
+    gold's rarest keywords in its case, as many as must hold one that is found if ``least`` of all are, and is then
+    scored by all; keywords that are empty or blank count as not found.
     """
     own = ["case", "gid", "gseq", "category", "hard_soft"]
-    asked = gold.withColumnRenamed("seq", "gseq").select(*own, F.size("keywords").alias("all"), F.explode("keywords").alias("word"))
+    asked = gold.withColumnRenamed("seq", "gseq").select(*own, F.size("keywords").alias("all"), F.posexplode("keywords").alias("nth", "word"))
     held = holding(violations.select(F.struct("case", "vid").alias("id"), "text"), asked).select("id.case", "id.vid", "word")
-    hits = asked.join(held, ["case", "word"]).groupBy(*own, "vid").agg((F.count("*") / F.first("all")).alias("score"))
-    return hits.join(violations.select("case", "vid", "seq", "is_hard"), ["case", "vid"]).select(*own, "vid", "seq", "is_hard", "score")
+    held = stored(held.join(asked.select("case", "word").distinct(), ["case", "word"], "left_semi"))
+    often = held.groupBy("case", "word").agg(F.count("*").alias("f"))
+    ranked = asked.join(often, ["case", "word"]).withColumn("r", F.row_number().over(Window.partitionBy("case", "gid", "gseq").orderBy("f", "word", "nth")))
+    # keywords that no text holds are the rarest, and take places among those that may be missing
+    found = F.max("r").over(Window.partitionBy("case", "gid", "gseq"))
+    ranked = ranked.withColumn("missing", F.col("all") - found)
+    need = F.greatest(F.ceil(F.col("all") * least - 1e-9), F.lit(1))
+    near = ranked.where(F.col("r") <= F.col("all") - F.col("missing") - need + 1).select("case", "gid", "gseq", "word").join(held, ["case", "word"]).select("case", "gid", "gseq", "vid").distinct()
+    hits = near.join(asked, ["case", "gid", "gseq"]).join(held, ["case", "vid", "word"], "left_semi").groupBy(*own, "vid").agg((F.count("*") / F.first("all")).alias("score"))
+    return hits.where(F.col("score") >= least).join(violations.select("case", "vid", "seq", "is_hard"), ["case", "vid"]).select(*own, "vid", "seq", "is_hard", "score")
 
 
 def assign(violations: DataFrame, gold: DataFrame, least: float = 0.3) -> DataFrame:
-    """Each gold in order takes its best free violation of ``least`` or more, the first on ties: case, gid, category, hard_soft, vid (null: missed), is_hard, score."""
-    scored = match_scores(violations, gold).where(F.col("score") >= least)
+    """Each gold in order takes its best free violation of ``least`` or more, the first on ties: case, gid, category, hard_soft, vid (null: missed), is_hard, score.
 
-    def greedy(df: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for (_, gid), rows in df.sort_values(["gseq", "gid", "score", "seq", "vid"], ascending=[True, True, False, True, True]).groupby(["gseq", "gid"], sort=True):
-            for r in rows.itertuples(index=False):
-                if r.vid not in used:
-                    used.add(r.vid)
-                    out.append((r.case, gid, r.vid, r.is_hard, r.score))
-                    break
-        return pd.DataFrame(out, columns=["case", "gid", "vid", "is_hard", "score"])
-
-    taken = scored.groupBy("case").applyInPandas(greedy, "case string, gid string, vid string, is_hard boolean, score double")
-    return gold.select("case", "gid", "category", "hard_soft").join(taken, ["case", "gid"], "left")
+    In rounds every gold proposes to the best violation left to it, and a violation keeps the first gold of all that
+    propose; what is refused falls away for good, with all pairs of later golds with a violation that is kept. That gives what
+    one gold after the other would choose, and no task holds a case. Rounds end when no two golds propose to one violation.
+    """
+    scored = numbered(match_scores(violations, gold, least), ["case", "gseq", "gid", F.desc("score"), "seq", "vid"], name="place")
+    first = scored.groupBy("case", "gid", "gseq").agg(F.min("place").alias("g"))
+    left = stored(scored.join(first, ["case", "gid", "gseq"]))
+    while True:
+        best = stored(left.groupBy("g").agg(F.min("place").alias("place")).join(left, ["g", "place"]))
+        kept = stored(best.groupBy("case", "vid").agg(F.min("g").alias("holder"), F.count("*").alias("k")))
+        if kept.where("k > 1").isEmpty():
+            break
+        left = stored(left.join(kept.select("case", "vid", "holder"), ["case", "vid"], "left").where("holder IS NULL OR g <= holder").drop("holder"))
+    return gold.select("case", "gid", "category", "hard_soft").join(best.select("case", "gid", "vid", "is_hard", "score"), ["case", "gid"], "left")
 
 
 def counts(assigned: DataFrame, violations: DataFrame, cases: DataFrame) -> DataFrame:
@@ -120,15 +132,19 @@ def token_cost(usage: DataFrame, prices: dict[str, tuple[float, float]] = PRICES
 
 def extraction_metrics(characters: DataFrame, facts: DataFrame, gold_characters: DataFrame, gold_facts: DataFrame, relations: DataFrame | None = None, gold_relations: DataFrame | None = None) -> DataFrame:
     """For each case, characters' precision, recall and F1 by name or alias, and the recall of facts: half of a gold
-    fact's first five words are in one fact. With relations also their recall (``relation_recall``). characters: case, name, aliases; facts: case, content; gold: case, name / case, content."""
+    fact's first five words of two characters or more, rounded down but one at least, are in one fact. With relations also their recall (``relation_recall``). characters: case, name, aliases; facts: case, content; gold: case, name / case, content."""
     names = characters.select("case", "name", F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("all"))
     spelt = names.select("case", "name", F.explode("all").alias("spelt"))
-    hit = gold_characters.withColumnRenamed("name", "gold").join(spelt, (gold_characters["case"] == spelt["case"]) & (F.col("gold") == F.col("spelt"))).select(spelt["case"], "gold", spelt["name"])
+    hit = gold_characters.select("case", F.col("name").alias("spelt")).join(spelt, ["case", "spelt"]).withColumnRenamed("spelt", "gold")
     n = names.groupBy("case").agg(F.count("*").alias("found")).join(gold_characters.groupBy("case").agg(F.count("*").alias("gold")), "case", "full_outer").join(hit.groupBy("case").agg(F.countDistinct("gold").alias("matched"), F.countDistinct("name").alias("right")), "case", "left").fillna(0)
-    five = gold_facts.withColumn("words", F.slice(F.filter(F.split("content", r"\s+"), lambda w: w != ""), 1, 5)).select("case", F.col("content").alias("gold"), "words")
-    with_any = five.join(facts, "case").where(F.size(F.filter("words", lambda w: F.contains("content", w))) * 2 >= F.size("words"))
-    known = with_any.select("case", "gold").distinct().groupBy("case").agg(F.count("*").alias("known"))
-    recall = five.groupBy("case").agg(F.count("*").alias("facts")).join(known, "case", "left").fillna(0).select("case", ratio("known", "facts").alias("fact_recall"))
+    words = F.slice(F.filter(F.split("content", r"\s+"), lambda w: F.length(w) >= 2), 1, 5)
+    five = gold_facts.select("case", F.col("content").alias("gold"), words.alias("words"))
+    asked = five.distinct().select("case", "gold", F.greatest(F.lit(1), F.floor(F.size("words") / 2)).alias("need"), F.explode("words").alias("name"))
+    told = facts.select(F.col("case").alias("work_id"), F.xxhash64("content").alias("id"), F.col("content").alias("text")).distinct()
+    held = names_in(told, asked.select(F.col("case").alias("work_id"), "name")).withColumnRenamed("work_id", "case")
+    known = asked.join(held, ["case", "name"]).groupBy("case", "gold", "id").agg(F.count("*").alias("k"), F.first("need").alias("need")).where("k >= need").select("case", "gold").distinct()
+    right = five.join(known, ["case", "gold"], "left_semi").groupBy("case").agg(F.count("*").alias("known"))
+    recall = five.groupBy("case").agg(F.count("*").alias("facts")).join(right, "case", "left").fillna(0).select("case", ratio("known", "facts").alias("fact_recall"))
     out = n.withColumns({"precision": ratio("right", "found"), "recall": ratio("matched", "gold")}).withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     scored = out.select("case", "precision", "recall", "f1").join(recall, "case", "full_outer")
     return scored if relations is None else scored.join(relation_recall(relations, gold_relations), "case", "full_outer")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
 from storyloom.operators.alike import alike_pairs
+from storyloom.operators.components import components
 from storyloom.operators.consolidate import batches, display_evidence
 from storyloom.operators.firstfit import first_fit
+from storyloom.operators.holding import names_in
 from storyloom.plans.graph import Graph
 from storyloom.plans.numbering import numbered
 from storyloom.plans.stored import stored
@@ -90,46 +92,65 @@ def event_findings(findings: DataFrame, events: DataFrame) -> DataFrame:
     return first.select("work_id", "seq", F.lit("timeline").alias("type"), _severity(F.coalesce("severity", F.lit("major"))).alias("severity"), F.coalesce(F.nullif("description", F.lit("")), F.lit("이벤트 간 서술 일관성 위반")).alias("description"), sure.alias("confidence"), (sure < 0.8).alias("needs_user_input"), F.when(sure < 0.8, "timeline_ambiguity").alias("confirmation_type"), "event_a", "event_b", F.coalesce("chunk_a", "chunk_b").alias("chunk_id"), (sure >= 0.8).alias("is_hard"))
 
 
+def _like_texts(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of places of rows (work_id, place, text, asks) of a work with a < b, b asking, of which the shorter text is in
+    the longer or shares twenty characters in a row with it. Long texts meet by their windows of twenty characters, shorter ones by
+    the index of the texts that hold them."""
+    t = rows.where("text <> ''").withColumn("n", F.length("text"))
+    windows = t.where("n >= 20").select("work_id", "place", "asks", F.explode(F.expr("array_distinct(transform(sequence(1, n - 19), i -> xxhash64(substring(text, i, 20))))")).alias("h"))
+    long = windows.select("work_id", "h", F.col("place").alias("a")).join(windows.where("asks").select("work_id", "h", F.col("place").alias("b")), ["work_id", "h"]).select("a", "b")
+    short = t.where("n < 20").select("work_id", F.col("text").alias("name"), F.col("place").alias("s"), F.col("n").alias("n_s"), F.col("asks").alias("asks_s"))
+    held = names_in(t.select("work_id", F.col("place").alias("id"), "text"), short)
+    inside = held.join(t.select(F.col("place").alias("id"), "n", "asks"), "id").join(short, ["work_id", "name"]).where("n >= n_s AND (asks OR asks_s)")
+    either = inside.where("asks_s").select(F.col("id").alias("a"), F.col("s").alias("b")).union(inside.where("asks").select("s", "id"))
+    return long.union(either).where("a < b").distinct()
+
+
 def cross_dedup(existing: DataFrame, findings: DataFrame, alike: float = 0.5, less: float = 0.3, words: int = 3) -> DataFrame:
     """Existing (work_id, id, is_report, description, fact) and findings (work_id, id, seq, is_hard, description, rule) merged: work_id, id, source.
 
     In order of seq, a finding goes if its rule (over ten characters) is contained in a known fact, contains one or shares twenty
     characters in a row with it, or if its keywords, three or more, are like those of a row kept before. A hard finding
-    takes the place of a soft row that it is like by keywords. One pass for each work over its violations, which are few.
-    """
-    e = existing.select("work_id", "id", F.lit(0).alias("new"), "seq" if "seq" in existing.columns else F.monotonically_increasing_id().alias("seq"), "is_report", F.substring("fact", 1, 60).alias("fact"), T.report_keywords("description").alias("kw"))
-    f = findings.select("work_id", "id", F.lit(1).alias("new"), "seq", F.col("is_hard").alias("is_report"), F.substring("rule", 1, 60).alias("fact"), T.report_keywords("description").alias("kw"))
+    takes the place of a soft row that it is like by keywords.
 
-    def like_text(a: str, b: str) -> bool:
-        short, long = sorted((a, b), key=len)
-        return short in long or any(short[i : i + 20] in long for i in range(len(short) - 19))
+    Pairs of like texts and like keywords come from joins; the order matters only within what they connect, so a task
+    takes a component of like rows, never a work.
+    """
+    e = existing.select("work_id", "id", F.lit(0).alias("new"), "seq" if "seq" in existing.columns else F.lit(0).cast("long").alias("seq"), "is_report", F.substring("fact", 1, 60).alias("text"), T.report_keywords("description").alias("kw"))
+    f = findings.select("work_id", "id", F.lit(1).alias("new"), "seq", F.col("is_hard").alias("is_report"), F.substring("rule", 1, 60).alias("text"), T.report_keywords("description").alias("kw"))
+    rows = numbered(e.unionByName(f), ["work_id", "new", "seq", "id"], name="place")
+    told = _like_texts(rows.withColumn("asks", (F.col("new") == 1) & (F.length("text") > 10))).select("a", "b", F.lit(0).alias("kind"))
+    sets = rows.select("work_id", "place", (F.col("new") == 1).alias("asks"), "kw")
+    scored = alike_pairs(sets, "kw", less).join(rows.select(F.col("place").alias("a"), F.col("kw").alias("ka")), "a").join(rows.select(F.col("place").alias("b"), F.col("kw").alias("kb")), "b")
+    close = (F.col("score") > alike) | ((F.col("score") > less) & (F.size(F.array_intersect("ka", "kb")) >= words))
+    pairs = stored(told.union(scored.where(close & (F.size("kb") >= words)).select("a", "b", F.lit(1))))
+    of = components(pairs.select("a", "b"))
+    tied = rows.select("work_id", "id", "place", "new", "is_report", (F.coalesce(F.col("text"), F.lit("")) != "").alias("told")).join(of.withColumnRenamed("node", "place"), "place")
+    before = pairs.groupBy(F.col("b").alias("place")).agg(F.collect_list(F.when(F.col("kind") == 0, F.col("a"))).alias("texts"), F.collect_list(F.when(F.col("kind") == 1, F.col("a"))).alias("words"))
 
     def merge(df: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        facts: list[str] = []
-        for r in df.sort_values(["new", "seq", "id"]).to_dict("records"):
-            kw = set(r["kw"])
-            if r["new"]:
-                if r["fact"] and len(r["fact"]) > 10 and any(like_text(r["fact"], x) for x in facts):
+        report: dict[int, bool] = {}  # of the rows kept
+        since: dict[int, int] = {}  # their order
+        known: set[int] = set()  # rows whose text is a known fact
+        for r in df.sort_values("place").itertuples(index=False):
+            if r.new:
+                if any(x in known for x in (r.texts if r.texts is not None else ())):
                     continue
-                hit = None
-                if len(kw) >= words:
-                    for k in sorted(kept, key=lambda k: not k["is_report"]):
-                        both, all_ = len(kw & k["kw"]), len(kw | k["kw"])
-                        if k["kw"] and (both / all_ > alike or (both / all_ > less and both >= words)):
-                            hit = k
-                            break
-                if hit is not None:
-                    if r["is_report"] and not hit["is_report"]:
-                        kept.remove(hit)
-                        kept.append({"id": r["id"], "kw": kw, "is_report": True, "source": "finding"})
+                like = [x for x in (r.words if r.words is not None else ()) if x in report]
+                if like:
+                    hit = min(like, key=lambda x: (not report[x], since[x]))
+                    if r.is_report and not report[hit]:
+                        del report[hit]
+                        report[r.place], since[r.place] = True, len(since)
                     continue
-            if r["fact"]:
-                facts.append(r["fact"])
-            kept.append({"id": r["id"], "kw": kw, "is_report": bool(r["is_report"]), "source": "finding" if r["new"] else "rule"})
-        return pd.DataFrame({"work_id": df["work_id"].iloc[0], "id": [k["id"] for k in kept], "source": [k["source"] for k in kept]})
-
-    return e.unionByName(f).groupBy("work_id").applyInPandas(merge, "work_id string, id string, source string")
+            if r.told:
+                known.add(r.place)
+            report[r.place], since[r.place] = bool(r.is_report), len(since)
+        return df[df["place"].isin(list(report))][["work_id", "id", "new"]]
+
+    kept = tied.join(before, "place", "left").groupBy("component").applyInPandas(merge, "work_id string, id string, new int")
+    alone = rows.join(of.withColumnRenamed("node", "place"), "place", "left_anti").select("work_id", "id", "new")
+    return alone.union(kept).select("work_id", "id", F.when(F.col("new") == 1, "finding").otherwise("rule").alias("source"))
 
 
 def with_original_text(violations: DataFrame, characters: DataFrame, chunks: DataFrame, lines: DataFrame | None = None) -> DataFrame:

@@ -32,3 +32,13 @@ def holding(texts: DataFrame, words: DataFrame) -> DataFrame:
     if phrases:
         pairs = pairs.join(texts.select("id", "text"), "id").where(F.contains("text", "word")).select("id", "word").distinct()
     return pairs
+
+
+def names_in(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(work_id, id, name): the names of each text's own work that are in it. texts: work_id, id, text; names: work_id, name.
+
+    Names and texts meet by the index of tokens, in all works at once; a text never meets a name that it does not hold.
+    """
+    own = names.where("name <> ''").select("work_id", "name").distinct()
+    found = holding(texts.select(F.struct("work_id", "id").alias("id"), "text"), own.select(F.col("name").alias("word"))).select("id.work_id", "id.id", F.col("word").alias("name"))
+    return found.join(own, ["work_id", "name"], "left_semi").select("work_id", "id", "name")

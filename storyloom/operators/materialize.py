@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from storyloom.functions import text as T
 from storyloom.operators.alike import alike_pairs
 from storyloom.operators.firstfit import first_fit
-from storyloom.operators.holding import holding
+from storyloom.operators.holding import names_in
 from storyloom.plans.graph import Graph
 from storyloom.plans.numbering import numbered
 from storyloom.plans.stored import stored
@@ -56,36 +56,32 @@ def highest_orders(g: Graph) -> DataFrame:
     return out.groupBy("work_id").agg(F.round(F.coalesce(F.max("o"), F.lit(0.0)) * 10).cast("long").alias("n"))
 
 
-def ordered(steps: tuple[tuple[DataFrame, list[str]], ...], start: DataFrame) -> list[DataFrame]:
-    """The rows of all steps (rows, order) with ``discourse_order``: one running count of tenths for each work over all
-    steps, one step after the other and by its order within a step, that goes on from ``start`` (work_id, n).
+def ordered(steps: tuple[tuple[DataFrame, str, str], ...], start: DataFrame) -> list[DataFrame]:
+    """The rows of all steps (rows, and two columns of theirs that order them) with ``discourse_order``: one running count of
+    tenths for each work over all steps, one step after the other, that goes on from ``start`` (work_id, n).
 
-    Each step is numbered over sorted ranges, so a work of any size is spread over tasks; only the number of rows of each work
-    and step meet.
+    All steps are sorted and numbered in one pass over ranges, so a work of any size is spread over tasks.
     """
-    placed = [numbered(t, order, ["work_id"], "_n") for t, order in steps]
-    counts = start.select("work_id", F.lit(-1).alias("_step"), F.col("n").alias("_k"))
-    for i, t in enumerate(placed):
-        counts = counts.union(t.groupBy("work_id").agg(F.count("*").alias("_k")).select("work_id", F.lit(i).alias("_step"), "_k"))
-    w = Window.partitionBy("work_id").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
-    before = stored(counts.withColumn("_before", F.coalesce(F.sum("_k").over(w), F.lit(0))).drop("_k"))
-    return [
-        t.join(before.where(F.col("_step") == i).drop("_step"), "work_id", "left").withColumn("discourse_order", F.round((F.col("_before") + F.col("_n")) * 0.1, 4)).drop("_before", "_n")
-        for i, t in enumerate(placed)
-    ]
+    every = None
+    for i, (t, first, then) in enumerate(steps):
+        one = t.select("work_id", F.lit(i).alias("step"), F.col(first).cast("long").alias("o1"), F.col(then).cast("string").alias("o2"), F.struct(*t.columns).alias(f"r{i}"))
+        every = one if every is None else every.unionByName(one, allowMissingColumns=True)
+    n = numbered(every, ["step", "o1", "o2"], ["work_id"], "nth").join(start, "work_id", "left")
+    n = stored(n.withColumn("discourse_order", F.round((F.coalesce("n", F.lit(0)) + F.col("nth")) * 0.1, 4)))
+    return [n.where(F.col("step") == i).select(f"r{i}.*", "discourse_order") for i in range(len(steps))]
 
 
 def named_deaths(facts: DataFrame, chars: DataFrame) -> DataFrame:
     """For each fact that tells of a death the first character, in order of seq, of whom a name or alias is in it:
     work_id, fact_id, cid, name (canonical), content, seq.
 
-    Facts without a word of death never meet the names, and a name meets only facts that hold its first character.
+    Facts without a word of death never meet the names, and the others only those that they hold.
     facts: work_id, id, content, seq; chars: work_id, id, name, aliases, seq.
     """
     told = facts.where(F.rlike("content", F.lit(DEATH))).select("work_id", F.col("id").alias("fact_id"), "content", "seq")
     spelt = chars.select("work_id", F.col("id").alias("cid"), "name", F.col("seq").alias("rank"), F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("spelt")).where("spelt <> ''")
-    initial = told.withColumn("initial", F.explode(F.array_distinct(F.split("content", ""))))
-    hit = initial.join(spelt.withColumn("initial", F.substring("spelt", 1, 1)), ["work_id", "initial"]).where(F.contains("content", "spelt"))
+    held = names_in(told.select("work_id", F.col("fact_id").alias("id"), F.col("content").alias("text")), spelt.select("work_id", F.col("spelt").alias("name"))).select("work_id", F.col("id").alias("fact_id"), F.col("name").alias("spelt"))
+    hit = held.join(spelt, ["work_id", "spelt"]).join(told, ["work_id", "fact_id"])
     return hit.groupBy("work_id", "fact_id").agg(F.min_by(F.struct("cid", "name", "content", "seq"), F.struct("rank", "name", "cid")).alias("x")).select("work_id", "fact_id", "x.*")
 
 
@@ -106,15 +102,15 @@ def link_facts(knowledge: DataFrame, facts: DataFrame, least: float = 0.5) -> Da
 
     Equal contents are joined. Of the rest only contents that are alike meet, by their rarest character pairs. Which of them become
     facts is an ordered first fit among contents that no fact is like; all else follows by joins.
-    knowledge: work_id, k (its place in the work), fact_content; facts: work_id, id, content, place (their order in the work).
+    knowledge: work_id, k (its place in the work), fact_content; facts: work_id, id, content, place (what orders them in the work).
     """
     known = facts.groupBy("work_id", F.col("content").alias("fact_content")).agg(F.min_by("id", "place").alias("fact_id"))
     k = knowledge.select("work_id", "k", "fact_content").join(known, ["work_id", "fact_content"], "left")
     exact = k.where("fact_id IS NOT NULL").select("work_id", "k", "fact_id", F.col("fact_content").alias("content"), F.lit(False).alias("is_new"))
     open_ = k.where("fact_id IS NULL")
-    asked = open_.groupBy("work_id", F.col("fact_content").alias("content")).agg(F.min("k").alias("at")).withColumns({"id": _id("fact-", "work_id", "content"), "asks": F.lit(True)})
-    base = facts.join(asked.select("work_id").distinct(), "work_id", "left_semi").groupBy("work_id", "content").agg(F.min_by("id", "place").alias("id"), F.min("place").alias("at")).withColumn("asks", F.lit(False))
-    texts = numbered(asked.unionByName(base), ["work_id", "asks", "at", "id"], name="place")
+    asked = open_.groupBy("work_id", F.col("fact_content").alias("content")).agg(F.min("k").alias("at")).withColumns({"id": _id("fact-", "work_id", "content"), "asks": F.lit(True), "place": F.lit(None).cast(facts.schema["place"].dataType)})
+    base = facts.join(asked.select("work_id").distinct(), "work_id", "left_semi").groupBy("work_id", "content").agg(F.min_by("id", "place").alias("id"), F.min("place").alias("place")).withColumns({"at": F.lit(-1).cast("long"), "asks": F.lit(False)})
+    texts = numbered(asked.unionByName(base), ["work_id", "asks", "place", "at"], name="nth").drop("place").withColumnRenamed("nth", "place")
     pairs = stored(alike_pairs(texts.withColumn("pairs", T.fact_bigrams("content")), "pairs", least))
     own = texts.select("work_id", F.col("place").alias("a"), "id", "at", "asks")
     near = pairs.join(own, "a")
@@ -123,7 +119,7 @@ def link_facts(knowledge: DataFrame, facts: DataFrame, least: float = 0.5) -> Da
     gone = first_fit(loose.select("a", "b")).union(settled)
     made = texts.where("asks").join(gone.select(F.col("b").alias("place")), "place", "left_anti").select("work_id", "content", "id", "at")
     # what a content may be linked to: facts, and contents that became one before the row; score first, then the earliest
-    option = F.struct("score", (-F.col("a")).alias("early"), "id", F.when(F.col("asks"), F.col("at")).otherwise(F.lit(-1)).alias("since"))
+    option = F.struct("score", (-F.col("a")).alias("early"), "id", F.col("at").alias("since"))
     options = near.where("NOT asks").unionByName(near.where("asks").join(made.select("work_id", "id"), ["work_id", "id"], "left_semi").select(near.columns)).groupBy("b").agg(F.collect_list(option).alias("options"))
     asking = texts.where("asks").select("work_id", "content", F.col("place").alias("b")).join(options, "b", "left").join(made.select("work_id", "content", F.col("id").alias("own"), "at"), ["work_id", "content"], "left")
     rows = open_.select("work_id", "k", F.col("fact_content").alias("content")).join(asking, ["work_id", "content"])
@@ -148,15 +144,13 @@ def materialize(spark: SparkSession, n: dict[str, DataFrame], existing: Graph |
     deaths = named_deaths(facts, chars).withColumn("source_chunk_id", F.col("fact_id"))
     feels = resolved(resolved(n["emotions"], names, "from_char", "from_id"), names, "to_char", "to_id")
     know = numbered(resolved(n["knowledge"], names, "character_name", "from_id"), [*by, "event_type", "fact_content", "from_id"], ["work_id"], "k")
-    known = old.facts.select("work_id", "id", "content", "seq", F.lit(0).alias("late")).unionByName(facts.where("is_new").select("work_id", "id", "content", "seq", F.lit(1).alias("late")))
-    known = numbered(known, ["late", "seq", "id"], ["work_id"], "place")
+    known = old.facts.withColumn("late", F.lit(0)).unionByName(facts.where("is_new").withColumn("late", F.lit(1)), allowMissingColumns=True).select("work_id", "id", "content", F.struct("late", "seq", "id").alias("place"))
     linked = stored(know.join(link_facts(know, known).withColumnRenamed("fact_id", "to_id"), ["work_id", "k"]))
     drawn = linked.withColumn("edge", F.explode(F.when(F.col("is_new"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
     it = resolved(n["items"], names, "character_name", "from_id")
     rel = resolved(resolved(n["relationships"], names, "char_a", "from_id"), names, "char_b", "to_id").withColumn("relationship_type", T.relationship_type("type_hint"))
-    start = stored(highest_orders(old))
-    placed = (facts.where("is_new"), by), (n["events"], by), (deaths, ["seq", "fact_id"]), (feels, by), (drawn, ["k", "edge"]), (it, by), (rel, by)
-    new, ev, deaths, feels, drawn, it, rel = ordered(placed, start)
+    steps = (facts.where("is_new"), *by), (n["events"], *by), (deaths, "seq", "fact_id"), (feels, *by), (drawn, "k", "edge"), (it, *by), (rel, *by)
+    new, ev, deaths, feels, drawn, it, rel = ordered(steps, highest_orders(old))
     ev = time_axes(ev).withColumns({"id": _id("event-", "work_id", "description", "location", "discourse_order"), "chunk_id": F.col("source_chunk_id")})
     dead_events = resolved(ev.where(F.col("status_char").isNotNull() & ((F.col("event_type") == "death") | F.rlike("description", F.lit(DEATH)))), names, "status_char", "from_id")
     at = F.coalesce(F.nullif("story_order", F.lit(0.0)), F.nullif("discourse_order", F.lit(0.0)), F.lit(0.0))
@@ -189,10 +183,9 @@ def unique_items(items: DataFrame, facts: DataFrame) -> DataFrame:
 
     Facts without a word for it never meet a name, and names are looked up by an index of the facts' tokens.
     """
-    said = facts.where(F.rlike("content", F.lit(UNIQUE))).select("work_id", F.xxhash64("work_id", "content").alias("id"), F.col("content").alias("text")).distinct()
+    said = facts.where(F.rlike("content", F.lit(UNIQUE))).select("work_id", F.xxhash64("content").alias("id"), F.col("content").alias("text")).distinct()
     named = items.where("name <> ''")
-    found = holding(said.select("id", "text"), named.select(F.col("name").alias("word"))).join(said.select("id", "work_id"), "id")
-    return named.join(found.select("work_id", F.col("word").alias("name")).distinct(), ["work_id", "name"], "left_semi").select("work_id", "id").distinct()
+    return named.join(names_in(said, named).select("work_id", "name").distinct(), ["work_id", "name"], "left_semi").select("work_id", "id").distinct()
 
 
 def lineage(g: Graph) -> DataFrame:

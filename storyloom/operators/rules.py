@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import lexicons as L
 from storyloom.functions import text as T
-from storyloom.operators.holding import holding
+from storyloom.operators.holding import holding, names_in
 from storyloom.plans.graph import Graph, unmarked
+from storyloom.plans.numbering import numbered
+from storyloom.plans.stored import stored
 
 COLUMNS = ["work_id", "rule", "type", "severity", "description", "confidence", "character_id", "character_name", "evidence", "needs_user_input", "confirmation_type", "dialogue", "chunk_id", "is_hard", "seq"]
 
@@ -154,6 +156,27 @@ def relationship_conflicts(g: Graph) -> DataFrame:
     return violations(bad, "D7", "relationship", F.when(sure, "critical").otherwise("major"), say_, F.when(sure, 0.95).otherwise(0.6), {"pair": F.concat_ws(",", "lo", "hi"), "types": F.concat_ws(",", "kind", "kind2"), "seq2": "seq2"}, ~sure, "relationship_ambiguity")
 
 
+def active_at(related: DataFrame, probes: DataFrame, width: float = 1.0, levels: int = 24) -> DataFrame:
+    """Probes (work_id, from_id, time) with the relationships of that character that are valid then: the columns of ``related``, and time.
+
+    The order axis is cut into bins of ``width``. An interval goes to the few nodes of a binary tree over the bins that make it
+    up, and a probe to the nodes above its bin, so both stay small however long an interval is, and a character with many
+    of them is spread over nodes; the exact test follows. Open ends stay valid; orders beyond the tree's ends count to them.
+    """
+    top = (1 << levels) - 1
+    at = lambda c: F.least(F.greatest(F.floor(F.col(c) / width), F.lit(0)), F.lit(top)).cast("long")
+    nodes = f"""aggregate(sequence(0, {levels}), named_struct('l', _l, 'r', _r + 1, 'out', cast(array() as array<struct<level:int,node:bigint>>)), (a, k) ->
+      CASE WHEN a.l >= a.r THEN a ELSE named_struct('l', shiftright(a.l + a.l % 2, 1), 'r', shiftright(a.r - a.r % 2, 1), 'out', concat(a.out,
+        CASE WHEN a.l % 2 = 1 THEN array(named_struct('level', k, 'node', a.l)) ELSE array() END,
+        CASE WHEN a.r % 2 = 1 THEN array(named_struct('level', k, 'node', a.r - 1)) ELSE array() END)) END, a -> a.out)"""
+    spans = related.where("valid_from IS NOT NULL AND (valid_until IS NULL OR valid_from <= valid_until)").withColumns({"_l": at("valid_from"), "_r": F.when(F.col("valid_until").isNull(), F.lit(top).cast("long")).otherwise(at("valid_until"))})
+    spans = spans.withColumn("_n", F.explode(F.expr(nodes))).select(*related.columns, "_n.level", "_n.node")
+    asked = probes.select("work_id", "from_id", "time").where("time IS NOT NULL").withColumn("_b", at("time"))
+    asked = asked.select("work_id", "from_id", "time", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"), "_b").withColumn("node", F.expr("shiftright(_b, level)")).drop("_b")
+    found = spans.join(asked, ["work_id", "from_id", "level", "node"])
+    return found.where("valid_from <= time AND (valid_until IS NULL OR time <= valid_until)").select(*related.columns, "time")
+
+
 def relationships_at(g: Graph, time: float) -> DataFrame:
     """The relationships that are valid at a time; an open end stays valid."""
     return g.related.where((F.col("valid_from") <= time) & (F.col("valid_until").isNull() | (F.lit(time) <= F.col("valid_until"))))
@@ -253,13 +276,13 @@ def broken_prohibitions(g: Graph, respect_intent: bool = False) -> DataFrame:
     has = unmarked(g.has_trait) if respect_intent else g.has_trait
     traits = has.join(t, ["work_id", "to_id"]).select("work_id", F.col("from_id").alias("cid"), "key", "value", "fixed", F.lit(0).alias("rank"), F.col("seq").alias("order"), T.subject_keywords("value").alias("kws"))
     names = name_ids(g)
-    known = names.groupBy("work_id").agg(F.collect_set("name").alias("names"))
-    f = g.facts.where(T.is_prohibitive("content")).select("work_id", "content", "seq", T.subject_keywords("content").alias("kws"))
+    f = g.facts.where(T.is_prohibitive("content")).select("work_id", "content", "seq", F.struct("content", "seq").alias("id"), T.subject_keywords("content").alias("kws"))
     order = g.characters.groupBy("work_id", "name").agg(F.min("seq").alias("named"))
-    inside = f.join(order, "work_id").where(F.contains("content", "name") & (F.col("name") != ""))
-    named = _first(inside.select("work_id", "content", "seq", "name", "named"), ["work_id", "content", "seq"], "named")
-    f = f.join(named.drop("named"), ["work_id", "content", "seq"], "left").withColumn("name", F.coalesce("name", F.nullif(F.regexp_extract("content", "([가-힣A-Za-z0-9]+)", 1), F.lit(""))))
-    f = f.join(known, "work_id", "left").withColumn("kws", F.filter("kws", lambda k: ~F.coalesce(F.array_contains("names", k), F.lit(False))))
+    inside = names_in(f.select("work_id", "id", F.col("content").alias("text")), order).join(order, ["work_id", "name"])
+    named = _first(inside.select("work_id", "id", "name", "named"), ["work_id", "id"], "named", "name")
+    words = f.select("work_id", "id", F.posexplode("kws").alias("pos", "name")).join(names.select("work_id", "name"), ["work_id", "name"], "left_anti")
+    words = words.groupBy("work_id", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "name")))["name"].alias("kws"))  # names are no keywords
+    f = f.drop("kws").join(words, ["work_id", "id"]).join(named.drop("named"), ["work_id", "id"], "left").withColumn("name", F.coalesce("name", F.nullif(F.regexp_extract("content", "([가-힣A-Za-z0-9]+)", 1), F.lit(""))))
     facts = f.join(names.withColumnRenamed("id", "cid"), ["work_id", "name"]).select("work_id", "cid", F.lit("fact").alias("key"), F.col("content").alias("value"), F.lit(False).alias("fixed"), F.lit(1).alias("rank"), F.col("seq").alias("order"), "kws")
     rules = traits.union(facts).where(F.size("kws") > 0)
     cast = g.events.select("work_id", "id", "description", "story_order", "discourse_order", F.col("seq").alias("seq"), F.posexplode("characters_involved").alias("pos", "name"))
@@ -311,17 +334,32 @@ def broken_gaps(g: Graph) -> DataFrame:
     Hours of a rule count sixty minutes; seconds are compared as if they were minutes, as the rule has always done.
     """
     at = F.coalesce(F.nullif("story_order", F.lit(0.0)), F.nullif("discourse_order", F.lit(0.0)), F.lit(0.0))
-    timed = g.events.withColumns({"ts": T.timestamp_minutes("description"), "at": at}).where("ts IS NOT NULL")
-    w = Window.partitionBy("work_id").orderBy("at", "seq")  # only events that name a clock time, which are few
-    gaps = timed.select("work_id", "description", "at", "seq", "chunk_id", "ts", F.lag("ts").over(w).alias("ts0"), F.lag("description").over(w).alias("before")).withColumn("gap", F.col("ts") - F.col("ts0")).where("gap > 0")
+    timed = g.events.withColumns({"ts": T.timestamp_minutes("description"), "at": at}).where("ts IS NOT NULL").select("work_id", "description", "at", "seq", "chunk_id", "ts")
+    timed = stored(numbered(timed, ["at", "seq", "description"], ["work_id"]))
+    before = timed.select("work_id", (F.col("n") + 1).alias("n"), F.col("ts").alias("ts0"), F.col("description").alias("before"))
+    gaps = timed.join(before, ["work_id", "n"]).withColumn("gap", F.col("ts") - F.col("ts0")).where("gap > 0")
     rules = constraints(g).where("kind = 'min_duration'").withColumn("minutes", F.when(F.col("unit") == "시간", F.col("least") * 60).otherwise(F.col("least")))
-    about = (F.size("kws") <= 2) | F.expr("exists(kws, k -> contains(concat(before, ' ', description), k))")
-    hits = gaps.join(rules, "work_id").where((F.col("gap") < F.col("minutes")) & about)
-    bad = _first(hits.select("work_id", "fact_id", "kind", "least", "unit", "content", "description", "before", "at", "gap", "minutes", "seq", "order", "nth", "chunk_id"), ["work_id", "fact_id", "kind", "least"], "at", "seq", "order", "nth")
+    told = ["at", "seq", "n", "gap", "description", "before", "chunk_id"]
+    # of few keywords: the first gap below each length of time, over the lengths that occur in the work, of which a day has few
+    first = gaps.groupBy("work_id", F.col("gap").alias("of")).agg(F.min(F.struct(*told)).alias("g")).withColumn("asks", F.lit(1))
+    free = rules.where(F.size("kws") <= 2).withColumn("of", F.least(F.col("minutes"), F.lit(LONGEST)))
+    asked = free.select("work_id", "of", F.lit(None).cast(first.schema["g"].dataType).alias("g"), F.lit(0).alias("asks")).distinct()
+    w = Window.partitionBy("work_id").orderBy("of", "asks").rowsBetween(Window.unboundedPreceding, -1)
+    least = first.unionByName(asked).withColumn("g", F.min("g").over(w)).where("asks = 0 AND g IS NOT NULL").select("work_id", "of", "g.*")
+    hits = free.join(least.withColumnRenamed("chunk_id", "own"), ["work_id", "of"])
+    # of more keywords: the gaps whose two texts hold one
+    bound = rules.where(F.size("kws") > 2)
+    words = bound.select("*", F.explode("kws").alias("word"))
+    held = holding(gaps.select(F.struct("work_id", "n").alias("id"), F.concat("before", F.lit(" "), "description").alias("text")), words).select("id.*", "word")
+    about = held.join(words, ["work_id", "word"]).join(gaps.withColumnRenamed("chunk_id", "own"), ["work_id", "n"]).where(F.col("gap") < F.col("minutes"))
+    keep = ["work_id", "fact_id", "kind", "least", "unit", "content", "description", "before", "at", "gap", "minutes", "seq", "n", "order", "nth", F.col("own").alias("chunk_id")]
+    bad = _first(hits.select(keep).union(about.select(keep)), ["work_id", "fact_id", "kind", "least"], "at", "seq", "n", "order", "nth")
     say_ = say("세계 규칙 위반 — 최소 ", F.col("least"), F.col("unit"), " 소요 구간을 ", F.col("gap"), "분 만에 이동(story_order=", F.col("at"), "): ", F.substring("description", 1, 60))
     return violations(bad, "D18", "timeline", "critical", say_, 0.95, {"fact": "content", "fact_id": "fact_id", "time_diff_min": "gap", "required_min": "minutes"}, dialogue="description")
 
 
+#: Minutes beyond which all lengths of time are alike for gaps between clock times, which are at most two digits of hours.
+LONGEST = 10_000
 RULES = [mention_before_learning, taught_by_ignorant, appears_after_death, acts_after_death, two_places, resurrections, relationship_conflicts, trait_conflicts, emotion_flips, shared_items, repossessions, unexplained_transfers, lies_after_truth, believed_lies, broken_prohibitions, broken_numbers, broken_gaps]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +83,32 @@ def number_graph(spark: SparkSession, sf_dir: str, works: int = 500) -> Graph:
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("double").alias("story_order"),
     )
     return Graph.of(spark, facts=facts, events=happened)
+
+
+def clock_graph(spark: SparkSession, sf_dir: str, works: int = 50) -> Graph:
+    """Parts as rules of least durations, two of three about the part; line items as arrivals at clock times."""
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    work = lambda c: (F.col(c) % works).cast("string").alias("work_id")
+    content = F.concat(F.lit("최소 "), F.col("p_size").cast("string"), F.lit("분 소요"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit(" "), "p_name")))
+    facts = part.select(work("p_partkey"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_partkey").alias("seq"), content.alias("content"))
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"))
+    seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    told = F.concat("p_name", F.lit(" "), (F.col("q") % 24).cast("string"), F.lit("시 "), (F.col("l_orderkey") % 60).cast("string"), F.lit("분 도착"))
+    happened = line.join(part, line.l_partkey == part.p_partkey).select(work("l_partkey"), seq.cast("string").alias("id"), seq.alias("seq"), told.alias("description"), seq.cast("double").alias("story_order"))
+    return Graph.of(spark, facts=facts, events=happened)
+
+
+def habit_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The event graph with what each user must not touch, one trait for each signup, every other one for good."""
+    g = event_graph(spark, sf_dir)
+    must_not = g.learns.select("work_id", "seq", "from_id", F.col("seq").cast("string").alias("id"), F.lit("k").alias("key"), F.concat("to_id", F.lit(" 금지")).alias("value"), (F.col("seq") % 2 == 0).alias("is_immutable"))
+    new = Graph.of(spark, traits=must_not, has_trait=must_not.withColumn("to_id", F.col("id")))
+    return replace(g, traits=new.traits, has_trait=new.has_trait)
+
+
+def spans_and_probes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Relationships valid for a while, or from then on, and times at which they are asked for, by user."""
+    e = _events(spark, sf_dir)
+    until = F.when(F.col("seq") % 4 > 0, F.col("story_order") + F.col("seq") % 997)
+    spans = e.where("event_type <> 'signup'").select("work_id", "from_id", "to_id", "seq", F.col("story_order").alias("valid_from"), until.alias("valid_until"))
+    return spans, e.where("event_type = 'signup'").select("work_id", "from_id", F.col("story_order").alias("time"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.functions import lexicons as L
@@ -94,6 +94,30 @@ ORACLE_SQL["d17_broken_numbers"] = """WITH kw AS (SELECT *, CAST(p_partkey % 500
     QUALIFY row_number() OVER (PARTITION BY f.work_id, f.fact_id ORDER BY l.seq) = 1)
   SELECT work_id, 'timeline' AS type, 'critical' AS severity, '세계 규칙 위반 — 최소 ' || p_size || '분 소요 구간을 ' || q || '분 만에 이동(story_order=' || CAST(seq AS DOUBLE) || '): ' || substr(txt, 1, 80) AS description, 0.95::DOUBLE AS confidence, CAST(NULL AS VARCHAR) AS character_id, false AS needs_user_input, true AS is_hard, seq FROM hit"""
 
+_rule("d15_broken_prohibitions", rules.broken_prohibitions, bindings.habit_graph)
+ORACLE_SQL["d15_broken_prohibitions"] = _report_sql("trait", "CASE WHEN fixed THEN 'critical' ELSE 'major' END", "'캐릭터 ''U' || from_id || '''의 특성 ''k: ' || kw || ' 금지''을(를) 위반하는 행동 발생(story_order=' || so || '): ' || txt", "CASE WHEN fixed THEN 0.85 ELSE 0.7 END", "bad", "NOT fixed",
+    ctes=""", bad AS (SELECT t.work_id, t.from_id, t.to_id AS kw, t.seq % 2 = 0 AS fixed, c.so, c.seq, 'event ' || c.to_id AS txt FROM learns t JOIN e c ON c.work_id = t.work_id AND c.from_id = t.from_id AND c.event_type IN ('click', 'view')
+      AND length(t.to_id) >= 2 AND contains('event ' || c.to_id, t.to_id) QUALIFY row_number() OVER (PARTITION BY t.work_id, t.from_id, t.to_id ORDER BY c.seq, t.seq) = 1)""")
+_rule("d18_broken_gaps", rules.broken_gaps, bindings.clock_graph)
+ORACLE_SQL["d18_broken_gaps"] = """WITH told AS (SELECT p_partkey, p_size, p_name, '최소 ' || p_size || '분 소요' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' ' || p_name END AS content FROM part),
+  words AS (SELECT *, CAST(p_partkey % 50 AS VARCHAR) AS work_id, [w FOR w IN regexp_extract_all(content, '[가-힣A-Za-z0-9]+') IF length(w) >= 2 AND w NOT IN ('최소', '소요')] AS ws FROM told),
+  facts AS (SELECT *, list_slice([ws[i] FOR i IN range(1, len(ws) + 1) IF list_position(ws, ws[i]) = i], 1, 5) AS kws FROM words),
+  line AS (SELECT CAST(l_partkey % 50 AS VARCHAR) AS work_id, l_orderkey * 10 + l_linenumber AS seq, (CAST(l_quantity AS INT) % 24) * 60 + l_orderkey % 60 AS ts, p_name || ' ' || CAST(l_quantity AS INT) % 24 || '시 ' || l_orderkey % 60 || '분 도착' AS txt FROM lineitem JOIN part ON l_partkey = p_partkey),
+  pairs AS (SELECT *, ts - lag(ts) OVER w AS gap, lag(txt) OVER w AS before FROM line WINDOW w AS (PARTITION BY work_id ORDER BY seq, txt)),
+  hit AS (SELECT f.work_id, f.p_size, g.seq, g.gap, g.txt FROM facts f JOIN pairs g ON f.work_id = g.work_id AND g.gap > 0 AND g.gap < f.p_size AND (len(f.kws) <= 2 OR len([k FOR k IN f.kws IF contains(g.before || ' ' || g.txt, k)]) > 0)
+    QUALIFY row_number() OVER (PARTITION BY f.work_id, f.p_partkey ORDER BY g.seq, g.txt) = 1)
+  SELECT work_id, 'timeline' AS type, 'critical' AS severity, '세계 규칙 위반 — 최소 ' || p_size || '분 소요 구간을 ' || gap || '분 만에 이동(story_order=' || CAST(seq AS DOUBLE) || '): ' || substr(txt, 1, 60) AS description, 0.95::DOUBLE AS confidence, CAST(NULL AS VARCHAR) AS character_id, false AS needs_user_input, true AS is_hard, seq FROM hit"""
+
+
+def active_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans, probes = bindings.spans_and_probes(spark, sf_dir)
+    return rules.active_at(spans, probes, width=16.0).groupBy("work_id", "from_id", "time").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+QUERIES["d07b_active_relationships"] = active_relationships
+ORACLE_SQL["d07b_active_relationships"] = f"""WITH {EVENTS} SELECT work_id, from_id, p.so AS time, count(*) AS n, min(s.seq) AS first_seq, max(s.seq) AS last_seq FROM learns p JOIN e s USING (work_id, from_id)
+  WHERE s.event_type <> 'signup' AND s.so <= p.so AND (s.seq % 4 = 0 OR p.so <= s.so + s.seq % 997) GROUP BY ALL"""
+
 
 def violation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storyloom.operators.consolidate import summary
@@ -198,6 +222,73 @@ def normalized_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["t04_normalized_text"] = normalized_turns
 
 
+#: Latin letters as Korean syllables with which words end, deny or begin, so that the rules for Korean words have work.
+LETTERS, SYLLABLES = "etanosrihlducm", "다은는이가을를의와과못않없민"
+
+
+def _korean(c: str) -> Column:
+    return F.translate(F.coalesce(F.col(c), F.lit("")), LETTERS, SYLLABLES)
+
+
+def korean_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns spelt in Korean syllables: normal text, words, negation, keywords, and how alike a turn and the one before are."""
+    from pyspark.sql import Window
+
+    from storyloom.functions import text as T
+
+    c = bindings.read(spark, sf_dir, "conversations").select("conv_id", "turn", _korean("text").alias("k"))
+    c = c.withColumn("before", F.lag("k").over(Window.partitionBy("conv_id").orderBy("turn"))).withColumn("before", F.coalesce("before", F.lit("")))
+    joined = lambda a: F.md5(F.array_join(F.array_sort(a), " "))
+    return c.select(
+        "conv_id", "turn", F.md5(T.normalize_text("k")).alias("normal"), joined(T.semantic_tokens("k")).alias("words"), joined(T.semantic_tokens("k", True)).alias("core"), T.contains_negation("k").alias("negated"),
+        F.array_join(T.subject_keywords("k"), " ").alias("subjects"), joined(T.report_keywords("k")).alias("report"), joined(T.hangul_words("k")).alias("hangul"),
+        F.round(T.jaccard(T.semantic_tokens("before"), T.semantic_tokens("k")), 6).alias("shared"), F.round(T.fact_similarity("before", "k"), 6).alias("similarity"),
+    )
+
+
+def _listed(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _cut_sql(x: str, suffixes: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN ends_with({x}, '{s}') AND length({x}) > {len(s) + 1} THEN left({x}, length({x}) - {len(s)})" for s in suffixes) + f" ELSE {x} END"
+
+
+def _normal_sql(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(lower(trim({x}, e' \t\n\r')), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _tokens_sql(x: str, stop: list[str]) -> str:
+    return f"list_distinct([w FOR w IN [{_cut_sql('v', L.TOKEN_SUFFIXES)} FOR v IN regexp_extract_all({_normal_sql(x)}, '[가-힣A-Za-z0-9]+')] IF w NOT IN ({_listed(stop)}) AND w <> ''])"
+
+
+def _alike_sql(a: str, b: str) -> str:
+    return f"round(CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) ELSE 0 END, 6)"
+
+
+def _pairs_sql(x: str) -> str:
+    bare = rf"trim(regexp_replace(regexp_replace(regexp_replace(trim({x}, e' \t\n\r'), '[.!?,。、·…]', ' ', 'g'), '([가-힣])(?:이야|이다|이에요|이었|이고|이며|이랑|야|다|해요|했다|해|ㅎ)+', '\1 ', 'g'), '\s+', ' ', 'g'))"
+    return f"[CASE WHEN length(t) >= 2 THEN list_distinct([substr(t, i, 2) FOR i IN range(1, length(t))]) ELSE [t] END FOR t IN [{bare}]][1]"
+
+
+def _report_words_sql(x: str) -> str:
+    bare = "w"
+    for ending in L.REPORT_ENDINGS:
+        bare = f"regexp_replace({bare}, '({ending})$', '')"
+    return rf"list_distinct(list_concat([v FOR v IN [{bare} FOR w IN regexp_extract_all({x}, '[가-힣]+')] IF length(v) >= 2], regexp_extract_all({x}, '[0-9]+[분시간일월년]')))"
+
+
+QUERIES["t05_korean_words"] = korean_words
+ORACLE_SQL["t05_korean_words"] = rf"""WITH c AS (SELECT conv_id, turn, translate(coalesce(text, ''), '{LETTERS}', '{SYLLABLES}') AS k FROM conversations),
+  b AS (SELECT *, coalesce(lag(k) OVER (PARTITION BY conv_id ORDER BY turn), '') AS before FROM c),
+  w AS (SELECT *, {_tokens_sql("k", L.SEMANTIC_STOP)} AS ws, {_tokens_sql("before", L.SEMANTIC_STOP)} AS bs, {_pairs_sql("k")} AS ps, {_pairs_sql("before")} AS qs,
+    [x FOR x IN [{_cut_sql("v", sorted(L.PARTICLES, key=len, reverse=True))} FOR v IN regexp_extract_all(k, '[가-힣A-Za-z0-9]+')] IF length(x) >= 2 AND x NOT IN ({_listed(L.CONTENT_STOP)})] AS sk FROM b)
+  SELECT conv_id, turn, md5({_normal_sql("k")}) AS normal, md5(array_to_string(list_sort(ws), ' ')) AS words, md5(array_to_string(list_sort({_tokens_sql("k", L.SEMANTIC_STOP + L.NEGATIONS)}), ' ')) AS core,
+    len([x FOR x IN string_split({_normal_sql("k")}, ' ') IF x IN ({_listed(L.NEGATIONS)}) OR regexp_matches(x, '^({"|".join(L.NEGATION_PREFIXES)})')]) > 0 AS negated,
+    array_to_string([sk[i] FOR i IN range(1, len(sk) + 1) IF list_position(sk, sk[i]) = i][1:5], ' ') AS subjects, md5(array_to_string(list_sort({_report_words_sql("k")}), ' ')) AS report,
+    md5(array_to_string(list_sort(list_distinct(regexp_extract_all(k, '[가-힣]{{2,}}'))), ' ')) AS hangul, {_alike_sql("bs", "ws")} AS shared, {_alike_sql("qs", "ps")} AS similarity FROM w"""
+
+
 def fact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation that follow each other, with the similarity of their character pairs."""
     from pyspark.sql import Window
@@ -278,6 +369,18 @@ def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["c01_full_scan"] = full_scan
 
 
+def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14 over the event graph with its traits: totals of reports and confirmations after all steps."""
+    from storyloom.plans.analysis import full_scan as whole
+
+    g = bindings.habit_graph(spark, sf_dir)
+    none = spark.createDataFrame([], "work_id string, chunk_id string, text string, seq long")
+    return whole(g, none)["summary"]
+
+
+QUERIES["c14_analysed"] = analysed
+
+
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as scripts: a chunk for each turn, ``role: sentence`` a line; a work for each conversation."""
     c = bindings.read(spark, sf_dir, "conversations")

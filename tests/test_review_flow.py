@@ -41,7 +41,7 @@ def test_a_death_told_by_a_fact_is_an_event(spark):
     }
     g = materialize.materialize(spark, n)
     death = g.events.where("event_type = 'death'").first()
-    assert (death.description, death.characters_involved, death.story_order, death.discourse_order) == ("민수는 사망했다", ["민수"], 0.0, 0.2)
+    assert (death.description, death.characters_involved, death.story_order, death.discourse_order) == ("민수는 사망했다", ["민수"], 0.0, 0.3)
     status = g.statuses.first()
     assert status.to_id == death.id and status.status_type == "dead" and status.from_id == g.characters.first().id
 
