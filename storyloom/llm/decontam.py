@@ -147,7 +147,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den
     results; null keys stay; no rows on either side give none.
     """
     spark = docs.sparkSession
-    bounded(spark)
+    bounded(spark, 2 << 20)
     rows = id_text(docs, id_col, text_col)
     table = items.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(question_col, F.lit("")).alias("q"), F.coalesce(answer_col, F.lit("")).alias("a")).distinct()
 
@@ -208,7 +208,7 @@ def _scan(rows: DataFrame, items: list, df: dict[int, int], n_items: int, mean:
 
     def scan(batches):
         index, ids = sent.value
-        for b, texts in parted(batches, "text", _SPACE):
+        for b, texts in parted(batches, "text", _SPACE, 250_000):
             if not len(index.terms):
                 continue
             out = []

@@ -14,10 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.shared import id_text, written
+from storyloom.llm.shared import bounded, id_text, written
 from storyloom.llm.textkernel import pieces as slices
 from storyloom.llm.tokens import encoder
 
+#: Bytes of text that are encoded at a time.
+SLICE = 250_000
+
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's ids plus ``end_id``, cut into pieces of ``capacity`` ids where it is longer.
@@ -31,7 +34,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
 
     def cut(batches):
         encode, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             flat, sizes = encode(b.column("text"))
             ends = np.cumsum(sizes)
             rows: list[tuple] = []
@@ -45,6 +48,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
             cols = [b.column("doc_id").take(pa.array(k)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(k), pa.int32()), pa.array(local, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array([x.astype(np.int32) for x in own], pa.list_(pa.int32()))] if keep_ids else []), names=names)
 
+    bounded(docs.sparkSession, 2 << 20)
     return id_text(docs, id_col, text_col).mapInArrow(cut, schema)
 
 
