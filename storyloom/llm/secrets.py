@@ -20,7 +20,8 @@ RULES = [
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 ]
 LONG = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
-WORD = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{6,}"
+#: A word that touches no place where a rule's value was taken out (a null character).
+WORD = r"(?<![A-Za-z0-9+/_\x00-])[A-Za-z0-9+/_-]{6,}+(?!\x00)"
 #: Symbols of the models: a-z, A-Z, digits and all else.
 SYMBOLS = 63
 SPAN = "array<struct<s:int,e:int,v:int>>"
@@ -59,16 +60,19 @@ def train(docs: DataFrame, sample_docs: int = 4000, id_col: str = "doc_id", text
     """Log-likelihood ratios of the SYMBOLS ** 2 bigrams, random against ordinary, by first and second symbol.
 
     The sample is the ``sample_docs`` documents whose keys have the smallest hashes, whole. Its positives are the
-    values that the rules catch there, its negatives the words of six characters or more elsewhere. With no sample
-    at all both models are flat and nothing is reported.
+    values that the rules catch there, its negatives the words of six characters or more in what is left without them. With
+    no sample at all both models are flat and nothing is reported.
     """
     key = F.xxhash64(id_col)
     last = docs.select(key.alias("k")).orderBy("k").limit(sample_docs).agg(F.max("k")).first()[0]
     ruled = scan_rules(docs.where(key <= F.lit(last if last is not None else 0)).select(text_col), text_col)
     base = F.concat("assign", "access", "hex")
     caught = ruled.select(F.explode(base).alias("x"), "__text").select(F.lit(1).alias("random"), F.expr("substring(__text, x.e - x.v + 1, x.v)").alias("w"))
-    others = ruled.select(base.alias("base"), "__text", F.explode(_spans("__text", WORD)).alias("x")).where("NOT exists(base, b -> b.s < x.e AND x.s < b.e)")
-    words = caught.union(others.select(F.lit(0), F.expr("substring(__text, x.s + 1, x.e - x.s)")))
+    rest = F.col("__text")
+    for _, pattern, group, least in RULES:
+        rest = F.regexp_replace(rest, F.lit(pattern.replace(".=-]+)", f".=-]{{{least},}})") if group else pattern), F.lit("\x00"))
+    others = ruled.select(F.lit(0), F.explode(F.regexp_extract_all(rest, F.lit(WORD), F.lit(0))))
+    words = caught.union(others)
     codes = words.withColumn("c", F.expr(f"transform(split(w, ''), ch -> {_symbol('ch')})")).where("size(c) > 1")
     counts = codes.select("random", F.explode(F.expr(f"zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (x, y) -> x * {SYMBOLS} + y)")).alias("g")).groupBy("random", "g").count()
     table = [[0] * SYMBOLS**2 for _ in range(2)]
