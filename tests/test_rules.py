@@ -103,3 +103,32 @@ def test_empty_graph_and_order_of_partitions(spark):
     mixed = Graph(**{n: t.repartition(5) for n, t in plain.tables().items()})
     cols = ["description", "seq"]
     assert sorted(map(tuple, consolidate(rules.scan(plain)).select(cols).collect())) == sorted(map(tuple, consolidate(rules.scan(mixed)).select(cols).collect()))
+
+
+FACTS, EVENTS = "work_id string, id string, content string, seq long", "work_id string, id string, description string, story_order double, seq long"
+
+
+def test_numbers_of_events_that_share_an_id(spark):
+    """Each text holds its own words, and a rule's own fact does not break it, though it is first in every order."""
+    facts = ([("w", "f1", "항구까지 최소 12분 소요, 5분 후", 1), ("w", "f2", "등대까지 최소 9분 소요", 2), ("w", "f3", "최소 7 분", 3)], FACTS)
+    events = ([("w", "e", "등대를 4분 만에 지나다", 5.0, 5), ("w", "e", "항구를 6분 만에 지나다", 5.0, 5)], EVENTS)
+    own = {(r.evidence[0]["fact_id"], r.evidence[0]["compared_text"]) for r in rules.broken_numbers(graph(spark, facts=facts)).collect()}
+    assert own == {("f3", "항구까지 최소 12분 소요, 5분 후")}
+    got = {(r.evidence[0]["fact_id"], r.evidence[0]["compared_text"]) for r in rules.broken_numbers(graph(spark, facts=facts, events=events)).collect()}
+    assert got == {("f1", "항구를 6분 만에 지나다"), ("f2", "등대를 4분 만에 지나다"), ("f3", "등대를 4분 만에 지나다")}
+
+
+def test_numeric_rules_meet_no_pairs(spark, monkeypatch):
+    """As many rules as texts about one place: what is left to choose from grows with the rules, not with their product."""
+    n = 60
+    facts = ([("w", f"f{i}", f"항구 등대 시장 최소 {i % 7 + 20}분 소요", i) for i in range(n)], FACTS)
+    events = ([("w", f"e{i}", f"{i % 3 + 1}시 {i % 59}분 항구, {i % 11 + 15}분 만에 도착", float(i), 1000 + i) for i in range(n)], EVENTS)
+    seen, first = [], rules._first
+    monkeypatch.setattr(rules, "_first", lambda df, *a: (seen.append(df.count()), first(df, *a))[1])
+    g = graph(spark, facts=facts, events=events)
+    gaps = {r.evidence[0]["fact_id"]: r.seq for r in rules.broken_gaps(g).collect()}
+    numbers = {r.evidence[0]["fact_id"]: r.seq for r in rules.broken_numbers(g).collect()}
+    minute = [(i % 3 + 1) * 60 + i % 59 for i in range(n)]
+    assert gaps == {f"f{k}": next(1000 + i for i in range(1, n) if 0 < minute[i] - minute[i - 1] < k % 7 + 20) for k in range(n) if any(0 < minute[i] - minute[i - 1] < k % 7 + 20 for i in range(1, n))}
+    assert numbers == {f"f{k}": next(1000 + i for i in range(n) if i % 11 + 15 < k % 7 + 20) for k in range(n)}
+    assert max(seen) <= 5 * n
