@@ -65,6 +65,17 @@ def test_consolidation_equals_the_loop(spark):
     assert consolidate.consolidate(v.limit(0)).count() == 0
 
 
+def test_a_class_of_many_characters_has_few_edges(spark, monkeypatch):
+    """Rows of one type and the same words of two hundred characters, and their second rows, most of which the first exclude."""
+    rows = [("w", 0, i, "rule", "t", "new" if i == 201 else f"c{i % 200}", False, ("민수 학교 비밀" if i < 200 else "민수 학교 비밀 열쇠") if i % 5 else "기차 거짓", []) for i in range(400)]
+    v = spark.createDataFrame(rows, "work_id string, rule_order int, seq long, rule string, type string, character_id string, is_hard boolean, description string, evidence array<map<string,string>>")
+    seen, fit = [], consolidate.first_fit
+    monkeypatch.setattr(consolidate, "first_fit", lambda edges: (seen.append(edges.count()), fit(edges))[1])
+    got = sorted(r.seq for r in consolidate.consolidate(v).collect())
+    ordered = v.withColumns({"words": T.hangul_words("description"), "vid": F.xxhash64("rule", "description", "character_id", "seq")}).orderBy("seq").collect()
+    assert got == covered(ordered) and max(seen) < 10 * len(rows)
+
+
 def test_batches_equal_the_loop(spark):
     r = random.Random(5)
     corpus = [(w, i, "x" * r.choice([1, 3, 40, 90, 300])) for w, n in (("hot", 700), ("b", 30), ("c", 1), ("full", 9)) for i in range(n)]
