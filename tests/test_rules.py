@@ -132,3 +132,14 @@ def test_numeric_rules_meet_no_pairs(spark, monkeypatch):
     assert gaps == {f"f{k}": next(1000 + i for i in range(1, n) if 0 < minute[i] - minute[i - 1] < k % 7 + 20) for k in range(n) if any(0 < minute[i] - minute[i - 1] < k % 7 + 20 for i in range(1, n))}
     assert numbers == {f"f{k}": next(1000 + i for i in range(n) if i % 11 + 15 < k % 7 + 20) for k in range(n)}
     assert max(seen) <= 5 * n
+
+
+def test_prohibitions_of_one_text_meet_once(spark, monkeypatch):
+    """Repeated traits and repeated events of a character are one each before they meet; the first of both is reported."""
+    n = 30
+    t = ([("w", f"t{i}", "습관", "커피 금지", i == 0, i) for i in range(n)], "work_id string, id string, key string, value string, is_immutable boolean, seq long")
+    events = ([("w", f"e{i}", "A가 커피를 마신다", float(i), 100 + i, ["A"]) for i in range(n)], "work_id string, id string, description string, story_order double, seq long, characters_involved array<string>")
+    seen, first = [], rules._first
+    monkeypatch.setattr(rules, "_first", lambda df, *a: (seen.append(df.count()), first(df, *a))[1])
+    got = rules.broken_prohibitions(graph(spark, characters=people("A"), traits=t, has_trait=([("w", "A", f"t{i}", None, i) for i in range(n)], E), events=events)).collect()
+    assert [(r.character_id, r.seq, r.confidence) for r in got] == [("A", 100, 0.85)] and max(seen) <= n
