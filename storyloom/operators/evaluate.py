@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import lexicons as L
-from storyloom.operators.holding import holding, names_in
+from storyloom.operators.holding import holding, meeting, names_in
 from storyloom.plans.numbering import numbered
 from storyloom.plans.stored import stored
 
@@ -15,23 +16,21 @@ def match_scores(violations: DataFrame, gold: DataFrame, least: float = 0.0) ->
     """Case, gold id and violation id with the share of the gold's keywords in the violation's text, where it is above 0
     and ``least`` or more.
 
-    violations: case, vid, seq, text, is_hard; gold: case, gid, seq, keywords, category, hard_soft. A pair arises from one of the
-    gold's rarest keywords in its case, as many as must hold one that is found if ``least`` of all are, and is then
-    scored by all; keywords that are empty or blank count as not found.
+    violations: case, vid, seq, text, is_hard; gold: case, gid, seq, keywords, category, hard_soft. Slices of a case's texts meet its
+    golds; a keyword counts as often as the gold has it, and keywords that are empty or blank count as not found.
     """
+
+    def enough(held: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        # keywords left out count as not found, so these bounds let pass all that reach ``least`` of all
+        hits = [held[rows].sum(axis=0) for rows in sets]
+        near = [np.flatnonzero(h >= max(1.0, least * len(rows) - 1e-9)) for h, rows in zip(hits, sets)]
+        k = np.repeat(np.arange(len(sets)), [len(x) for x in near])
+        return k, np.concatenate(near), np.concatenate([h[x] for h, x in zip(hits, near)]), np.zeros(len(k), dtype=np.int64)
+
     own = ["case", "gid", "gseq", "category", "hard_soft"]
-    asked = gold.withColumnRenamed("seq", "gseq").select(*own, F.size("keywords").alias("all"), F.posexplode("keywords").alias("nth", "word"))
-    held = holding(violations.select(F.struct("case", "vid").alias("id"), "text"), asked).select("id.case", "id.vid", "word")
-    held = stored(held.join(asked.select("case", "word").distinct(), ["case", "word"], "left_semi"))
-    often = held.groupBy("case", "word").agg(F.count("*").alias("f"))
-    ranked = asked.join(often, ["case", "word"]).withColumn("r", F.row_number().over(Window.partitionBy("case", "gid", "gseq").orderBy("f", "word", "nth")))
-    # keywords that no text holds are the rarest, and take places among those that may be missing
-    found = F.max("r").over(Window.partitionBy("case", "gid", "gseq"))
-    ranked = ranked.withColumn("missing", F.col("all") - found)
-    need = F.greatest(F.ceil(F.col("all") * least - 1e-9), F.lit(1))
-    near = ranked.where(F.col("r") <= F.col("all") - F.col("missing") - need + 1).select("case", "gid", "gseq", "word").join(held, ["case", "word"]).select("case", "gid", "gseq", "vid").distinct()
-    hits = near.join(asked, ["case", "gid", "gseq"]).join(held, ["case", "vid", "word"], "left_semi").groupBy(*own, "vid").agg((F.count("*") / F.first("all")).alias("score"))
-    return hits.where(F.col("score") >= least).join(violations.select("case", "vid", "seq", "is_hard"), ["case", "vid"]).select(*own, "vid", "seq", "is_hard", "score")
+    asked = gold.withColumnRenamed("seq", "gseq").select(*own, F.size("keywords").alias("all"), F.col("keywords").alias("words"))
+    hits = meeting(violations.select("case", "vid", "seq", "text", "is_hard"), asked, enough).withColumn("score", F.col("score") / F.col("all"))
+    return hits.where(F.col("score") >= least).select(*own, "vid", "seq", "is_hard", "score")
 
 
 def assign(violations: DataFrame, gold: DataFrame, least: float = 0.3) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import random
 
+from pyspark.sql import functions as F
 from test_consolidation import jac
 from test_full_scan import merged
 
 from storyloom.functions import text as T
-from storyloom.operators import evaluate, findings, graph_ops
+from storyloom.operators import evaluate, findings, graph_ops, holding
 
 WORDS = ["the", "of", "an", *(f"w{i}" for i in range(40)), "theory", "rare"]
 
@@ -85,3 +86,20 @@ def test_fact_recall_equals_the_loop(spark):
             hits += any(sum(w in f for w in words) >= max(1, len(words) // 2) for k, f in facts if k == c)
         want[c] = hits / len(own)
     assert {x.case: x.fact_recall for x in got.collect() if x.fact_recall is not None} == want and 0 < want["x"]
+
+
+def test_search_and_matching_move_texts_once(spark, monkeypatch):
+    """No row for each word that a text holds: common words in every text left hundreds of rows a text before."""
+    made = []
+    keep = lambda df: made.append(out := plain(df)) or out
+    plain = graph_ops.stored
+    for m in (graph_ops, evaluate, holding):
+        monkeypatch.setattr(m, "stored", keep)
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    c = spark.createDataFrame([(f"c{i}", i, " ".join(words)) for i in range(50)], "id string, seq long, content string")
+    q = spark.createDataFrame([(i, " ".join(words[i:])) for i in range(3)], "query_id long, query string")
+    assert [(x.query_id, x.rank, x.id, x.score) for x in graph_ops.search(c, q, 2).orderBy("query_id", "rank").collect()] == [(i, k + 1, f"c{k}", 100 - i) for i in range(3) for k in range(2)]
+    v = c.select(F.lit("x").alias("case"), F.col("id").alias("vid"), "seq", F.col("content").alias("text"), F.lit(True).alias("is_hard"))
+    g = q.select(F.lit("x").alias("case"), F.col("query_id").cast("string").alias("gid"), F.col("query_id").alias("seq"), F.split("query", " ").alias("keywords"), F.lit("k").alias("category"), F.lit("hard").alias("hard_soft"))
+    assert evaluate.match_scores(v, g, 0.8).where("score = 1").count() == 150
+    assert max(t.count() for t in made) <= 50
