@@ -43,8 +43,11 @@ def _row_key(id_col: str, text_col: str) -> Column:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, rid (names a row's key and text), no, line, id (names the line): all lines but blank ones."""
-    each = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("rid"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
-    return each.where("trim(BOTH ' \t\r\x0b\x0c' FROM line) <> ''").withColumn("id", F.xxhash64("line"))
+    # each text is hashed and split once: in one projection with its lines it would be hashed for each, and an inner explode
+    # adds a filter that splits it again; a line is blank if nothing is left of its start
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("rid"), F.split(text_col, "\n").alias("lines"))
+    each = rows.select("doc_id", "rid", F.posexplode_outer("lines").alias("no", "line"))
+    return each.where("trim(LEADING ' \t\r\x0b\x0c' FROM line) <> ''").withColumn("id", F.xxhash64("line"))
 
 
 def _chars(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -301,9 +304,9 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "d
     shared = written(_among(bands, "band", several).join(several, "band").select("band", "id", "size").distinct())
     removed(banded)
     # the text of a line is fetched once, from its first occurrence
-    own = F.xxhash64("id", "doc_id", "rid", "no")
-    at = written(first.join(shared.select("id").distinct(), "id").select("id", "first").join(occurrences, "id").where(_place() == F.col("first")).select(own.alias("own")))
-    texts = written(_among(lines.withColumn("own", own), "own", at.select("own")).join(at, "own").dropDuplicates(["id"]).select("id", "line"))
+    own = lambda place: F.xxhash64("id", place).alias("own")
+    at = written(first.join(shared.select("id").distinct(), "id").select(own(F.col("first"))))
+    texts = written(_among(lines.withColumn("own", own(_place())), "own", at).join(at, "own").dropDuplicates(["id"]).select("id", "line"))
     found = written(components(_group_links(shared, texts, num, den, block_lines, block_chars)))
     # the occurrences that go
     whole_first = first.join(found.withColumnRenamed("node", "id"), "id", "left")

@@ -506,3 +506,12 @@ def test_shortcut_equals_the_full_search():
         a, b = langid._label(s, 6.0), langid._viterbi(s, 6.0)
         value = lambda p: s[np.arange(len(p)), p].sum() - 6.0 * (np.diff(p) != 0).sum()  # noqa: B023, E731
         assert abs(value(a) - value(b)) < 1e-9
+
+
+def test_lines_are_split_and_hashed_once_a_text(spark, capsys):
+    docs = spark.createDataFrame([(1, "a\n \n\tb\x0b\n"), (None, "a"), (2, ""), (3, None), (4, " \t\r\x0b\x0c\n\u00a0")], "doc_id long, text string")
+    lines = linededup._lines(docs, "doc_id", "text")
+    assert sorted((x.doc_id or 0, x.no, x.line) for x in lines.collect()) == [(0, 0, "a"), (1, 0, "a"), (1, 2, "\tb\x0b"), (4, 1, "\u00a0")]
+    lines.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("split(") == 1 and plan.index("Generate") < plan.index("AS rid")
