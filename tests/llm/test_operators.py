@@ -450,6 +450,17 @@ def test_alike_lines_of_a_group_by_brute_force():
     assert len(want) > 20 and sorted(got) == sorted(want)
 
 
+def test_line_dedup_runs_no_python_on_executors(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, f"{prose(30, 7)}\nown"), (1, prose(30, 7))], "doc_id long, text string")
+
+    def refused(*_):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, refused)
+    assert [r.n_removed for r in sorted(linededup.dedup_lines(docs).collect())] == [0, 1]
+
+
 def test_short_and_blank_lines(spark):
     assert line_rows(spark, ["a\na\n\n \t\n\n}", "}\nab\na", " \n\n"]) == ["a\n\n \t\n\n}", "ab", " \n\n"]
 
